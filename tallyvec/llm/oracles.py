@@ -17,3 +17,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
+
+
+def _op6_sums(prefix: str, by: str, units: str) -> str:
+    n, good = "nullif(CAST(sum(n) AS DOUBLE), 0)", "CAST(sum(good) AS DOUBLE)"
+    return f"""SELECT {by} sum(n) AS {prefix}_n, sum(good) AS {prefix}_good,
+       CASE WHEN m < 2 OR v <= 1e-6 OR v IS NULL THEN 1000.0 ELSE greatest(1.0, least(1000.0, p * (1 - p) / nullif(v, 0) - 1)) END AS {prefix}_k
+FROM (SELECT {by} *, b - p * (1 - p) * m / t AS v FROM (
+      SELECT {by} sum(n) AS n, sum(good) AS good, {good} / {n} AS p, sum(CASE WHEN n > 0 THEN CAST(good AS DOUBLE) * good / n END) / {n} - ({good} / {n}) * ({good} / {n}) AS b,
+             sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS m, {n} AS t
+      FROM {units} {"GROUP BY " + by.rstrip(", ") if by else ""}))"""
+
+
+OP6 = r"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+r AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+h AS (SELECT host, count(quality) AS n, coalesce(sum(quality), 0) AS good, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+      FROM r LEFT JOIN labels ON page_id = doc_id GROUP BY host),
+d AS (""" + _op6_sums("d", "domain, suffix, ", "h").replace("sum(n) AS d_n, sum(good) AS d_good", "n AS d_n, good AS d_good") + r"""),
+s AS (""" + _op6_sums("s", "suffix, ", "(SELECT suffix, d_n AS n, d_good AS good FROM d)").replace("sum(n) AS s_n, sum(good) AS s_good", "n AS s_n, good AS s_good") + r"""),
+t AS (""" + _op6_sums("t", "", "(SELECT s_n AS n, s_good AS good FROM s)").replace("sum(n) AS t_n, sum(good) AS t_good", "n AS t_n, good AS t_good") + r"""),
+sp AS (SELECT suffix, s_k, (s_good + t_k * (coalesce(t_good, 0) + 1) / (coalesce(t_n, 0) + 1.25)) / (s_n + t_k) AS s_p FROM s, t),
+dp AS (SELECT domain, d_k, (d_good + s_k * s_p) / (d_n + s_k) AS d_p FROM d JOIN sp USING (suffix)),
+ab AS (SELECT host, good + d_k * d_p AS a, n - good + d_k * (1 - d_p) AS b FROM h JOIN dp USING (domain)),
+bound AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab),
+j AS (SELECT *, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM r)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM j JOIN bound USING (host)
+"""

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, oracles
+from . import decontaminate, langid, oracles, packing, token_output, urls
 from .common import fold, table
 
 
+def op4_pack(spark, sf_dir):
+    """Every token piece of every document with its place in a sequence."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_token_output(spark, sf_dir):
+    """Every segment of every document as read back from the written id matrices."""
+    return token_output.written_segments(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict of every page; `labels` gives the outcome of the page with the same number."""
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("bound")
+
+
 def op7_decontaminate(spark, sf_dir):
     """Words, benchmark hits and the contamination verdict of every document."""
     return decontaminate.digest(decontaminate.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -18,5 +33,5 @@ def op9_language(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op7_decontaminate": op7_decontaminate, "op9_language": op9_language}
-ORACLE_SQL = {"op7_decontaminate": oracles.OP7}
+QUERIES = {f.__name__: f for f in (op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op9_language)}
+ORACLE_SQL = {"op6_url_filter": oracles.OP6, "op7_decontaminate": oracles.OP7}
