@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, oracles, packing, token_output, urls
+from . import decontaminate, langid, oracles, packing, quality, secrets, token_output, urls
 from .common import fold, table
 
 
+def op1_secrets(spark, sf_dir):
+    """Secret spans of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+def op3_quality(spark, sf_dir):
+    """Quality score of every document, learned from four fifths of the labelled ones."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    return quality.classify(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_pack(spark, sf_dir):
     """Every token piece of every document with its place in a sequence."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -33,5 +46,5 @@ def op9_language(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op9_language)}
 ORACLE_SQL = {"op6_url_filter": oracles.OP6, "op7_decontaminate": oracles.OP7}
