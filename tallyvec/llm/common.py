@@ -60,3 +60,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node, label (the smallest node of its connected component) for every node of edges (a, b).
+
+    Minimum labels spread over the edges and are then followed to their own labels, so that paths halve; every round is
+    a written table. A hub's rows are combined before they are shuffled.
+    """
+    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")), f"{name}-edges")
+    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), name)
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        least = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("least"))
+        jump = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
+        after = written(least.join(jump, "least").select("node", F.least("least", "far").alias("label"), (F.least("least", "far") < F.col("label")).alias("moved")), name)
+        moved = after.where("moved").limit(1).count()
+        dropped(labels)
+        labels = after.select("node", "label")
+        if not moved:
+            dropped(both)
+            return labels

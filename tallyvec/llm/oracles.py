@@ -51,3 +51,22 @@ j AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound < 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM j JOIN bound USING (host)
 """
+
+
+OP8 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS g FROM d),
+n AS (SELECT r, doc_id, len(g) AS n FROM s),
+c AS (SELECT min(r) AS c, list_sort(g) AS g FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+m AS (SELECT r, c FROM s JOIN c ON list_sort(s.g) = c.g),
+x AS (SELECT c, len(g) AS n, unnest(g) AS t FROM c),
+p AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.t = b.t AND a.c < b.c GROUP BY a.c, b.c),
+e AS (SELECT a, b FROM p WHERE 100 * k >= 75 * (na + nb - k)),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
+low AS (SELECT c, min(doc_id) AS first FROM m JOIN d USING (r) GROUP BY c),
+comp AS (SELECT reach.a AS c, min(first) AS component_id FROM reach JOIN low ON reach.b = low.c GROUP BY reach.a)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id
+FROM n LEFT JOIN m USING (r) LEFT JOIN comp USING (c)
+"""

@@ -29,7 +29,7 @@ TREES, DEPTH, PENALTY = 24, 3, 0.002
 
 STATISTICS = (
     "log_bytes", "log_words", "log_lines", "letter_share", "upper_share", "digit_share", "space_share", "symbol_share", "comma_share", "stop_share", "bang_share", "pipe_share", "bracket_share", "high_share",
-    "word_bytes", "distinct_words", "distinct_lines", "line_words", "short_word_share", "long_word_share", "top_word_share", "marked_word_share", "deflated",
+    "word_bytes", "distinct_words", "distinct_lines", "line_words", "short_word_share", "long_word_share", "top_word_share", "marked_word_share", "echo_share", "deflated",
 )
 
 _UPPER = np.zeros(256, bool); _UPPER[65:91] = True
@@ -59,7 +59,7 @@ def statistics(text: bytes) -> list[float]:
         share(b"#$%&*@^~+=<>\\_/"), share(b",;:"), share(b"."), share(b"!?"), share(b"|"), share(b"()[]{}"), high / n,
         float(sizes.mean()) if words else 0.0, len(counts) / w, len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)),
         float((sizes <= 3).mean()) if words else 0.0, float((sizes >= 12).mean()) if words else 0.0, max(counts.values(), default=0) / w, marked / max(1, len(counts)),
-        len(zlib.compress(text, 1)) / n,
+        sum(map(bytes.__eq__, words, words[1:])) / w, len(zlib.compress(text, 1)) / n,
     ]
 
 

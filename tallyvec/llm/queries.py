@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, oracles, packing, quality, secrets, token_output, urls
+from . import decontaminate, langid, ngram_join, oracles, packing, quality, secrets, token_output, urls
 from .common import fold, table
 
 
@@ -39,6 +39,11 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_ngram_join(spark, sf_dir):
+    """Shingle count and near-duplicate component of every document."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark, sf_dir):
     """The predicted language of every document, learned from two thirds of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
@@ -46,5 +51,5 @@ def op9_language(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op9_language)}
-ORACLE_SQL = {"op6_url_filter": oracles.OP6, "op7_decontaminate": oracles.OP7}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op8_ngram_join, op9_language)}
+ORACLE_SQL = {"op6_url_filter": oracles.OP6, "op7_decontaminate": oracles.OP7, "op8_ngram_join": oracles.OP8}
