@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, ngram_join, oracles, packing, quality, secrets, token_output, urls
+from . import decontaminate, langid, line_dedup, ngram_join, oracles, packing, quality, secrets, token_output, urls
 from .common import fold, table
 
 
@@ -12,6 +12,11 @@ def op1_secrets(spark, sf_dir):
     return secrets.scan(docs, secrets.fit(docs))
 
 
+def op2_line_dedup(spark, sf_dir):
+    """Lines before and after fuzzy deduplication of every document."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark, sf_dir):
     """Quality score of every document, learned from four fifths of the labelled ones."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -51,5 +56,5 @@ def op9_language(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op8_ngram_join, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op8_ngram_join, op9_language)}
 ORACLE_SQL = {"op6_url_filter": oracles.OP6, "op7_decontaminate": oracles.OP7, "op8_ngram_join": oracles.OP8}
