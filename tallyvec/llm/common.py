@@ -81,3 +81,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if not moved:
             dropped(both)
             return labels
+
+
+def bit_table(df: DataFrame, digest: str, bits: int):
+    """A bit array of fixed size (as 64-bit words) with the bits of these digests set: says for sure which aren't among them."""
+    import numpy as np
+
+    bit = F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("bigint").bitwiseAND(F.lit((1 << bits) - 1))
+    words = df.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for batch in words.toArrow().to_batches():
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return table.view(np.uint64)
+
+
+def in_bits(table, digest: bytes, bits: int) -> bool:
+    bit = int.from_bytes(digest[:4], "big") & ((1 << bits) - 1)
+    return bool(int(table[bit >> 6]) >> (bit & 63) & 1)

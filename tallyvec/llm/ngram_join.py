@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, prepare, written
+from .common import bit_table, components, dropped, in_bits, prepare, written
 
 SHINGLE = 5
 #: Similarity as a share of whole numbers.
@@ -172,13 +172,7 @@ def _shared(batches):
 def _needed_sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
     """digest and set of the documents whose digest is needed; a fixed-size table lets most others stop at the scan."""
     spark = docs.sparkSession
-    mask = (1 << NEED_BITS) - 1
-    words = needed.select(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint").bitwiseAND(F.lit(mask)).alias("bit"))
-    words = words.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    table = np.zeros(1 << (NEED_BITS - 6), np.int64)
-    for batch in words.toArrow().to_batches():
-        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    held = spark.sparkContext.broadcast(table.view(np.uint64))
+    held = spark.sparkContext.broadcast(bit_table(needed, "digest", NEED_BITS))
 
     def run(batches):
         seen: set[bytes] = set()
@@ -187,8 +181,7 @@ def _needed_sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
             for body in batch.column(0).to_pylist():
                 own = shingles(body)
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                bit = int.from_bytes(digest[:4], "big") & mask
-                if digest not in seen and int(held.value[bit >> 6]) >> (bit & 63) & 1:
+                if digest not in seen and in_bits(held.value, digest, NEED_BITS):
                     if len(seen) > _LIMIT:
                         seen.clear()
                     seen.add(digest)

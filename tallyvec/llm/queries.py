@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, ngram_join, oracles, packing, quality, secrets, token_output, urls
+import corpus_pipeline
+
+from . import decontaminate, langid, line_dedup, media, ngram_join, oracles, packing, quality, secrets, token_output, urls
 from .common import fold, table
 
 
@@ -56,5 +58,15 @@ def op9_language(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op8_ngram_join, op9_language)}
+def op10_media(spark, sf_dir):
+    """Stored media and features of every document, read back from the chunk store."""
+    return media.columns(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_pack, op5_token_output, op6_url_filter, op7_decontaminate, op8_ngram_join, op9_language, op10_media, pipeline)}
 ORACLE_SQL = {"op6_url_filter": oracles.OP6, "op7_decontaminate": oracles.OP7, "op8_ngram_join": oracles.OP8}
