@@ -28,7 +28,7 @@ def score_function(references: DataFrame, k: int = knn.K):
     if n > MOST_CARRIED:
         raise ValueError(f"more than {MOST_CARRIED} references: search the index instead")
     rows = references.select("idx", F.col("q").cast("array<int>").alias("q"), "is_fraud").orderBy("idx").toPandas()
-    table = np.array(rows["q"].tolist(), np.float64).reshape(len(rows), -1)
+    table = np.array(rows["q"].tolist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
     held = references.sparkSession.sparkContext.broadcast((table, (table * table).sum(1), rows["is_fraud"].to_numpy(bool)))
 
     @F.pandas_udf("fraud_score double, err int")
