@@ -80,7 +80,10 @@ class Automaton:
     floor: float = -math.inf
 
     def likelihood(self, run: str) -> float:
-        """Log-likelihood of the characters; symbols never seen in a state cost MISS."""
+        return self.scored(run)[0]
+
+    def scored(self, run: str) -> tuple[float, float]:
+        """Log-likelihood, and that of each character without the end; symbols never seen in a state cost MISS."""
         state, total = 0, 0.0
         for c in symbols(run):
             to = self.moves[state].get(c)
@@ -91,7 +94,7 @@ class Automaton:
                 state = to[0]
                 total += to[1]
             total -= _WITHIN.get(c, 0.0)
-        return total + self.ends[state]
+        return total + self.ends[state], total / max(1, len(run))
 
 
 MISS = -9.0
@@ -188,7 +191,7 @@ class Model:
         if not self.formats or self.ordinary is None:
             return False
         plain = self.ordinary.likelihood(run)
-        return any((x := a.likelihood(run)) - plain >= MARGIN and x / len(run) >= a.floor for a in self.formats.values())
+        return any((x := a.scored(run))[0] - plain >= MARGIN and x[1] >= a.floor for a in self.formats.values())
 
 
 def train(labelled: dict[str, list[str]], ordinary: list[str], tail: float = TAIL) -> Model:
@@ -196,7 +199,7 @@ def train(labelled: dict[str, list[str]], ordinary: list[str], tail: float = TAI
     for kind, values in sorted(labelled.items()):
         if values:
             automaton = infer(sorted(values))
-            scores = sorted(automaton.likelihood(v) / len(v) for v in values)
+            scores = sorted(automaton.scored(v)[1] - 1e-9 for v in values)
             automaton.floor = scores[int(tail * len(scores))]
             model.formats[kind] = automaton
     return model
