@@ -1,6 +1,7 @@
 """Fuzzy line deduplication, with DataFrame functions only.
 
-Lines are normalised (lower-cased, anything but letters and digits one space) and get a 64-bit SimHash of their words.
+Lines are normalised (lower-cased, without punctuation and control characters, one space between words) and get a
+64-bit SimHash of their words of over four characters, or of all words if none is that long.
 Two different normalised lines are linked if their SimHashes differ in at most BITS bits and their edit similarity
 (1 - Levenshtein distance / longer length) is at least SIMILARITY. The bits are cut into five blocks; lines within
 three bits agree on two of them at least, so they meet under one of ten pairs of blocks: no link is missed.
@@ -9,9 +10,9 @@ Lines under one key are never expanded into all pairs: each is first compared wi
 lines of different components are, against the component with most of the key. Equal normalised lines are one node.
 The first occurrence of each connected group, by document id and line number, stays; all others go.
 
-Defined results. Lines end at a newline; blank lines always stay and count as no line. A line without letters or digits
+Defined results. Lines end at a newline; blank lines always stay and count as no line. A line of nothing but punctuation
 is normalised to itself, trimmed. A null text stays null. Rows that repeat both id and text are one occurrence: all of
-them keep a line or none does. Null ids come after all others. A line of over 262,143 words is compared by equality only.
+them keep a line or none does. Null ids come after all others. A line of over 262,143 such words is compared by equality only.
 An empty table gives no rows. Other columns are ignored by report() and kept by deduplicate(), also if their names are
 those used here. Lines are told apart by 64-bit hashes.
 """
@@ -23,7 +24,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, dropped, fresh, written
+from .common import components, dropped, fresh, settle, written
 
 BITS = 3
 #: Least edit similarity, as a share of whole numbers.
@@ -38,9 +39,21 @@ _MOST_WORDS = (1 << GUARD) - 1
 NEED_BITS = 22
 
 
+#: ASCII and Latin-1 control characters, punctuation and signs, and Unicode's general punctuation.
+_MARKS = r"[\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3001-\u3003]+"
+
+
+def _plain(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), _MARKS, ""))
+
+
+def _spaced(line: Column, plain: Column) -> Column:
+    words = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
+    return F.when(plain != "", words).otherwise(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+
+
 def normalised(line: Column) -> Column:
-    words = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-    return F.when(words != "", words).otherwise(F.trim(line))
+    return _spaced(line, _plain(line))
 
 
 def key_of(doc_id: Column, text: Column) -> Column:
@@ -48,21 +61,32 @@ def key_of(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with this column, computed once a row: Catalyst copies a projected expression to wherever it is used, but not a generated one."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """row, doc, line, norm, node (the hash of norm) of every line that isn't blank."""
-    rows = docs.select(key_of(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "raw"))
-    lines = rows.select("row", "doc", "line", normalised(F.col("raw")).alias("norm")).where("norm <> ''")
-    return lines.withColumn("node", F.xxhash64("norm"))
+    rows = once(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "row", key_of(F.col("doc"), F.col("text")))
+    lines = rows.select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    lines = once(lines, "plain", _plain(F.col("raw")))
+    lines = once(lines.select("row", "doc", "line", "raw", "plain"), "norm", _spaced(F.col("raw"), F.col("plain"))).where("norm <> ''")
+    return once(lines.select("row", "doc", "line", "norm"), "node", F.xxhash64("norm"))
 
 
 def hashed(lines: DataFrame) -> DataFrame:
     """row, doc, line, node, chars, sim of every line: votes are summed per line, combined before they are shuffled."""
-    words = lines.select("row", "doc", "line", "node", F.length("norm").alias("chars"), F.explode(F.split("norm", " ")).alias("word")).withColumn("h", F.xxhash64("word"))
-    votes = [F.expr(f"try_sum(shiftrightunsigned(h, {i}) & {_ONES}L)").alias(f"v{i}") for i in range(LANE)]
+    some = lines.select("row", "doc", "line", "node", F.length("norm").alias("chars"), F.col("norm").rlike("[^ ]{5}").alias("long"), F.split("norm", " ").alias("words"))
+    # a line of too many words gets one without a hash, so that its sums are null
+    few = F.when(F.size("words") <= _MOST_WORDS, F.col("words")).otherwise(F.array(F.lit(None).cast("string")))
+    words = some.select("row", "doc", "line", "node", "chars", "long", F.explode(few).alias("word")).where(~F.col("long") | F.col("word").isNull() | (F.length("word") > 4))
+    h = "CASE WHEN word IS NOT NULL THEN xxhash64(word) END"
+    votes = [F.expr(f"sum(shiftrightunsigned({h}, {i}) & {_ONES}L)").alias(f"v{i}") for i in range(LANE)]
     summed = words.groupBy("row", "doc", "line", "node", "chars").agg(F.count("*").alias("total"), *votes)
     guard, need = f"{(1 << GUARD) * _ONES}L", f"(total div 2 + 1) * {_ONES}L"
     bits = " | ".join(f"shiftleft(shiftrightunsigned(v{i} + {guard} - {need}, {GUARD}) & {_ONES if i + 2 * LANE < 64 else 1 | 1 << LANE}L, {i})" for i in range(LANE))
-    return summed.select("row", "doc", "line", "node", "chars", F.expr(f"CASE WHEN total <= {_MOST_WORDS} THEN {bits} END").alias("sim"))
+    return summed.select("row", "doc", "line", "node", "chars", F.expr(bits).alias("sim"))
 
 
 def keys_of(sim: str) -> Column:
@@ -76,7 +100,8 @@ def _texts(lines: DataFrame, needed: DataFrame) -> DataFrame:
     bit = F.expr(f"node & {(1 << NEED_BITS) - 1}L")
     table = needed.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     passed = lines.select("node", "norm", bit.alias("bit")).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(table), "word").where(F.expr("shiftrightunsigned(bits, cast(bit & 63 as int)) & 1 = 1"))
-    return passed.select("node", "norm").join(needed, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
+    # an inner join: a semi-join would be pushed to the lines, below the table
+    return passed.select("node", "norm").join(needed, "node").groupBy("node").agg(F.first("norm").alias("norm"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -86,22 +111,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"levenshtein(l, r, {most}) >= 0")).select("a", "b")
 
 
+def _may(sim: Column, chars: Column, other_sim: Column, other_chars: Column, bits: int, percent: int) -> Column:
+    """Whether SimHashes and lengths allow a link."""
+    return (F.bit_count(sim.bitwiseXOR(other_sim)) <= bits) & (F.least(chars, other_chars) * 100 >= F.greatest(chars, other_chars) * percent)
+
+
 def _close(pairs: DataFrame, nodes: DataFrame, bits: int, percent: int) -> DataFrame:
     """Of the pairs (a, b): those whose SimHashes and lengths allow a link."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sim").alias(f"{c}_sim"), F.col("chars").alias(f"{c}_chars"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    lengths = F.least("a_chars", "b_chars") * 100 >= F.greatest("a_chars", "b_chars") * percent
-    return both.where((F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= bits) & lengths).select("a", "b")
+    return both.where(_may(F.col("a_sim"), F.col("a_chars"), F.col("b_sim"), F.col("b_chars"), bits, percent)).select("a", "b")
 
 
 def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines: row, doc, line, node, chars, sim; labels: node, label of the nodes that are linked to others)."""
     lines = occurrences(docs, doc_id, text)
     table = written(hashed(lines), "lines")
+    settle(docs.sparkSession)
     nodes = table.where("sim IS NOT NULL").groupBy("node").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"))
     keyed = nodes.select("node", F.explode(keys_of("sim")).alias("key"))
     group = Window.partitionBy("key")
     shared = written(keyed.select("key", "node", F.min("node").over(group).alias("pivot"), F.count("*").over(group).alias("size")).where("size > 1").drop("size"), "shared")
+    settle(docs.sparkSession)
     inside = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "inside")
     stars = written(_close(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), inside, bits, percent), "stars")
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -111,15 +142,19 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     counted = known.groupBy("key", "label").agg(F.count("*").alias("m"))
     mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", "top")
     open_ = written(known.join(mixed, "key"), "open")
-    left = open_.where("label <> top").select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-    rest = left.join(open_, "key").where("label <> other AND (label = top OR b < node)").select(F.col("node").alias("a"), "b").distinct()
-    rest = written(_close(rest, inside, bits, percent), "rest")
+    facts = open_.join(inside, "node")
+    left = facts.where("label <> top").select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("sim").alias("b_sim"), F.col("chars").alias("b_chars"))
+    rest = left.join(facts, "key").where("label <> other AND (label = top OR b < node)").where(_may(F.col("sim"), F.col("chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
+    rest = written(rest.select(F.col("node").alias("a"), "b").distinct(), "rest")
+    if not rest.limit(1).count():
+        return table, labels
     more = written(_verified(rest, written(_texts(lines, ends(rest)), "texts"), percent), "more")
     if more.limit(1).count():
         dropped(labels)
         labels = components(near.union(more))
     for t in (shared, inside, stars, open_, rest, near, more):
         dropped(t)
+    settle(docs.sparkSession)
     return table, labels
 
 
