@@ -8,55 +8,60 @@ are compared exactly.
 
 Groups of documents that share a prefix shingle are never expanded into all pairs. Exact copies count once; every
 member is first compared with the group's pivot; then only members of different components that share shingles are
-candidates, against the component that has most of the group. That loses no link that joins components.
+candidates, against the component that has most of the group. Shingles that very many documents share (far over the
+usual bucket count) come last in the order. Two sets that are similar without sharing a rarer one share frequent ones
+only; then each is also similar to the smallest set with the other's frequent shingles, and those two are similar, so
+that for frequent shingles only these smallest sets are partners. None of this loses a link that joins components.
 
 Defined results. Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of fewer than five
 words is one shingle; one without words, or null, has an empty set and only itself as component. Repeated rows and
 repeated ids are documents of their own, ids of a component count once; a null id is never the smallest. An empty table
-gives no rows. Other columns are ignored by join() and kept by keep_first().
+gives no rows. Other columns are ignored by join() and kept by keep_first(). Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, components, dropped, in_bits, prepare, written
+from .common import bit_table, components, dropped, in_bits, prepare, settle, written
 
 SHINGLE = 5
 #: Similarity as a share of whole numbers.
 PERCENT = 75
 #: Longest multi-match requirement; cost of comparing two sets, in rows scanned.
 MOST_MATCHES, COMPARE = 6, 20
-#: Buckets of the shingle counts (2 ** BUCKET_BITS 32-bit counts, 4 MB), of which 2 ** SLOT_BITS travel together.
-BUCKET_BITS, SLOT_BITS = 20, 15
+#: Buckets of the shingle counts (2 ** BUCKET_BITS 32-bit counts, 16 MB), of which 2 ** SLOT_BITS travel together.
+BUCKET_BITS, SLOT_BITS = 22, 16
 #: Bits of the table that says which sets are needed again; others pass by mistake at times and only cost time.
 NEED_BITS = 25
+#: A shingle is frequent if its bucket's count is so far over the usual one, in documents and in deviations.
+FREQUENT, DEVIATIONS = 100, 6.0
 #: A shingle's group, or a pivot's pairs, are dealt over tasks beyond this many.
 GROUP = 4000
 
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LIMIT = 1_000_000
+#: Bytes that are hashed together.
+BLOCK = 1 << 20
+# a word's hash is a polynomial of its bytes' numbers in _BASE, modulo 2 ** 64, whatever its place in the text
+_BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_SPACE = np.zeros(256, np.uint8)
+_SPACE[[9, 10, 11, 12, 13, 32]] = 1
+_NUMBER = np.array([int.from_bytes(hashlib.blake2b(bytes([b + 32 if 65 <= b <= 90 else b]), digest_size=8).digest(), "big") | 1 for b in range(256)], np.uint64)
+_NUMBER[_SPACE == 1] = 0
+_powers: list[np.ndarray] = []
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _LIMIT:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_words = _Words()
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE to the powers 0 .. n, and their inverses."""
+    if not _powers or len(_powers[0]) <= n:
+        _powers[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(n, BLOCK), x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers[0], _powers[1]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -65,17 +70,90 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = h * _MIX[4] + w[i : len(w) - k + 1 + i] * _MIX[i % 4] + _MIX[(i + 1) % 4]
-    return np.unique(_mixed(h))
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and their hashes; data ends with a space."""
+    raw = np.frombuffer(data, np.uint8)
+    space = _SPACE[raw]
+    edge = np.empty(len(raw), np.uint8)
+    edge[0] = space[0] ^ 1
+    np.bitwise_xor(space[1:], space[:-1], out=edge[1:])
+    edges = np.flatnonzero(edge)
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _power_tables(len(raw))
+    total = np.empty(len(raw) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_NUMBER[raw] * power[: len(raw)], out=total[1:])
+    return starts, _mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def _parts(text: bytes) -> list[bytes]:
+    """A long text cut between words."""
+    out, at = [], 0
+    while len(text) - at > BLOCK:
+        size = BLOCK
+        while (cut := max(text.rfind(c, at, at + size) for c in b" \n\t\r\x0b\x0c")) <= at and at + size < len(text):
+            size *= 2
+        if cut <= at:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def _sets_of(words: np.ndarray, firsts: np.ndarray, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of the words from each of firsts up to the next."""
+    rolled = None
+    if len(words) >= width:
+        rolled = np.full(len(words) - width + 1, width, np.uint64)
+        for i in range(width):
+            rolled = rolled * _STEP + words[i : len(words) - width + 1 + i]
+        rolled = _mixed(rolled)
+    out = []
+    for a, b in zip(firsts.tolist(), firsts[1:].tolist()):
+        if b - a >= width:
+            own = np.sort(rolled[a : b - width + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        elif b > a:
+            h = np.full(1, b - a, np.uint64)
+            for w in words[a:b]:
+                h = h * _STEP + w
+            out.append(_mixed(h))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts: list[bytes | None], width: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles; texts are hashed many at a time."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def hashed():
+        if held:
+            sizes = np.cumsum([0, *(len(t) + 1 for t in held)])
+            starts, words = _word_hashes(b" ".join(held) + b" ")
+            out.extend(_sets_of(words, np.searchsorted(starts, sizes), width))
+            held.clear()
+
+    size = 0
+    for text in texts:
+        text = text or b""
+        if size + len(text) > BLOCK:
+            hashed()
+            size = 0
+        if len(text) > BLOCK:
+            words = np.concatenate([_word_hashes(p + b" ")[1] for p in _parts(text)])
+            out.extend(_sets_of(words, np.array([0, len(words)]), width))
+        else:
+            held.append(text)
+            size += len(text) + 1
+    hashed()
+    return out
+
+
+def node_of(own: np.ndarray) -> int:
+    """Names a set."""
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -88,18 +166,18 @@ def bucket_counts(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches):
         table = np.zeros(1 << BUCKET_BITS, np.uint32)
         for batch in batches:
-            sets = [shingles(x) for x in batch.column(0).to_pylist()]
+            sets = shingle_sets(batch.column(0).to_pylist())
             if sets:
                 table += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(table)).astype(np.uint32)
         if table.any():
             slots = table.reshape(-1, 1 << SLOT_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(slots)), pa.int32()), pa.array([s.tobytes() for s in slots], pa.binary())], names=["slot", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(slots)), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in slots], pa.binary())], names=["slot", "counts"])
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                sums[slot] = sums.get(slot, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
+                sums[slot] = sums.get(slot, 0) + np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["slot", "counts"])
 
     parts = docs.select(F.col(text).cast("binary")).mapInArrow(count, "slot int, counts binary")
@@ -109,110 +187,148 @@ def bucket_counts(docs: DataFrame, text: str) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _usual(counts: np.ndarray) -> float:
+    return float(np.median(counts[counts > 0])) if (counts > 0).any() else 0.0
+
+
 def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, percent: int, most: int) -> DataFrame:
-    """doc_id, n, digest (of the set) and the longest prefix of each document, in the global order."""
+    """doc_id, n, node (a hash of the set), the longest prefix in the global order (null where the same task gave it before), how many shingles are rare (they come first), and a key of the frequent ones."""
+    usual = _usual(counts)
+    most_rare = usual + max(FREQUENT, DEVIATIONS * usual**0.5)
     held = docs.sparkSession.sparkContext.broadcast(counts)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            n, digests, prefixes = [], [], []
-            for body in batch.column(1).to_pylist():
-                own = shingles(body)
+            n, nodes, prefixes, rare, keys = [], [], [], [], []
+            for own in shingle_sets(batch.column(1).to_pylist()):
+                node = node_of(own)
+                count = held.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                often = own[count > most_rare]
                 n.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                order = np.argsort(held.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
-                prefixes.append(own[order[: len(own) - least_overlap(len(own), percent) + most]].view(np.int64) if len(own) else own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
+                nodes.append(node)
+                rare.append(len(own) - len(often))
+                keys.append(node_of(often))
+                if node in seen:
+                    prefixes.append(None)
+                else:
+                    if len(seen) > _LIMIT:
+                        seen.clear()
+                    seen.add(node)
+                    order = np.argsort(count, kind="stable")
+                    prefixes.append(own[order[: len(own) - least_overlap(len(own), percent) + most]].view(np.int64) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "node", "prefix", "rare", "often"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, digest binary, prefix array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, prefix array<bigint>, rare bigint, often bigint")
 
 
 def _shared(batches):
-    """Of rows sorted by token and salt: those in groups of several, or of a salted token, with their group's first node as pivot."""
-    names = ["token", "salt", "node", "place", "n", "pivot"]
-    rest, pivot = None, 0  # the last row, not yet given out as its group may go on; its group's pivot
-
-    def given(cols, last):
-        nonlocal rest, pivot
-        token, salt, node = cols[0], cols[1], cols[2]
-        first = np.empty(len(token), bool)
-        first[0] = True
+    """Of rows (token, salt, node, place, n) sorted by token and salt: those in groups of several, or of a salted token, with node, place and n of their group's first row as pivot.
+
+    Holds one batch, and of the group that goes on into the next its last row and pivot.
+    """
+    names = ["token", "salt", "node", "place", "n", "pivot", "pivot_place", "pivot_n"]
+    held, size, pivot = None, 0, None  # the last row, not given out yet; how many of its group came so far, up to 2; its group's pivot
+    for batch in _and_none(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        new = [c.to_numpy() for c in batch.columns] if batch is not None else None
+        if held is None:
+            if new is None:
+                return
+            cols, before = new, 0
+        else:
+            cols, before = ([np.concatenate([h, c]) for h, c in zip(held, new)] if new is not None else held), size
+        token, salt, node = cols[:3]
+        if len(token) > 1:  # copies from several tasks
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            cols = [c[fresh] for c in cols]
+            token, salt = cols[:2]
+        first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
         starts = np.flatnonzero(first)
-        pivots = node[starts][np.cumsum(first) - 1]
-        if rest is not None and len(token) and (token[0], salt[0]) == rest[1]:
-            pivots[: starts[1] if len(starts) > 1 else len(token)] = pivot
-        alone = first.copy()
-        alone[:-1] &= first[1:]
-        if rest is not None and (token[0], salt[0]) == rest[1] and rest[0] > 1:
-            alone[0] = False
-        keep = ~alone | (salt >= 0)
-        upto = len(token) if last else len(token) - 1
-        return [c[:upto][keep[:upto]] for c in (*cols, pivots)], pivots
-
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [c.to_numpy() for c in batch.columns]
-        cols = new if held is None else [np.concatenate([h, c]) for h, c in zip(held, new)]
-        out, pivots = given(cols, False)
-        last = len(pivots) - 1
-        size = 2 if last and (cols[0][last - 1], cols[1][last - 1]) == (cols[0][last], cols[1][last]) or (rest is not None and rest[0] > 1 and (cols[0][last], cols[1][last]) == rest[1] and (cols[0][0], cols[1][0]) == rest[1]) else 1
-        held = [c[-1:] for c in cols]
-        rest, pivot = (size, (cols[0][last], cols[1][last])), pivots[last]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names=names)
-    if held is not None:
-        out, _ = given(held, True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names=names)
+        group = np.cumsum(first) - 1
+        pivots = [c[starts] for c in cols[2:5]]
+        counts = np.diff(np.append(starts, len(token)))
+        if before:
+            for p, own in zip(pivots, pivot):
+                p[0] = own
+            counts[0] += before - 1
+        upto = len(token) if new is None else len(token) - 1
+        keep = ((counts[group] > 1) | (salt >= 0))[:upto]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[:upto][keep])) for c in (*cols, *(p[group] for p in pivots))], names=names)
+        held, size, pivot = [c[-1:] for c in cols], min(2, int(counts[-1])), [p[-1] for p in pivots]
+
+
+def _and_none(batches):
+    yield from batches
+    yield None
 
 
 def _needed_sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
-    """digest and set of the documents whose digest is needed; a fixed-size table lets most others stop at the scan."""
+    """node and items (its set) of the needed nodes; a table of fixed size lets most others stop at the scan."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(bit_table(needed, "digest", NEED_BITS))
+    held = spark.sparkContext.broadcast(bit_table(needed.select(F.unhex(F.lpad(F.hex("node"), 16, "0")).alias("node")), "node", NEED_BITS))
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
-            digests, sets = [], []
-            for body in batch.column(0).to_pylist():
-                own = shingles(body)
-                digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                if digest not in seen and in_bits(held.value, digest, NEED_BITS):
+            nodes, sets = [], []
+            for own in shingle_sets(batch.column(0).to_pylist()):
+                node = node_of(own)
+                if node not in seen and in_bits(held.value, node.to_bytes(8, "big", signed=True), NEED_BITS):
                     if len(seen) > _LIMIT:
                         seen.clear()
-                    seen.add(digest)
-                    digests.append(digest)
+                    seen.add(node)
+                    nodes.append(node)
                     sets.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
 
-    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "digest binary, items array<bigint>").join(needed, "digest").groupBy("node").agg(F.first("items").alias("items"))
+    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "node bigint, items array<bigint>").join(needed, "node").groupBy("node").agg(F.first("items").alias("items"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, j for pairs (a, b), exactly; j: the similarity if it reaches the limit. A node with many pairs is dealt over several tasks."""
+    """The pairs (a, b) whose sets reach the similarity, exactly. A node with many pairs is dealt over several tasks."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("parts"))
     left = sets.join(many, sets.node == many.a).select("a", F.col("items").alias("left"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     both = dealt.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b").join(left, ["a", "part"])
     common = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - common
-    return both.select("a", "b", common.alias("common"), union.alias("union")).where(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
+    return both.select("a", "b", common.alias("common"), (F.size("left") + F.size("right")).alias("sizes")).where(F.col("common") * 100 >= (F.col("sizes") - F.col("common")) * percent).select("a", "b")
+
+
+def _least_common(n: str, m: str, percent: int) -> Column:
+    """Shingles that sets of n and m must share to reach the similarity."""
+    return F.ceil((F.col(n) + F.col(m)) * percent / F.lit(100 + percent))
+
+
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs with met shared shingles up to the places p and q (the last shared ones): those that can still reach the similarity, as all shared shingles but those after these places are counted."""
+    return pairs.where(F.col("met") + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= _least_common("n", "m", percent))
+
+
+def _checked(docs: DataFrame, text: str, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar, with sets made again from the texts of their documents."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_needed_sets(docs, text, ends), "sets")
+    found = written(_verified(pairs, sets, percent), "near")
+    dropped(sets)
+    settle(docs.sparkSession)
+    return found
 
 
 def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n, digest; sets: digest, node, label): enough links to join all sets that similarity joins."""
-    prepare(docs.sparkSession)
+    """(documents: doc_id, n, node; labels: node, label, without those that are alone): enough links to join all sets that similarity joins."""
+    spark = docs.sparkSession
+    prepare(spark)
     counts = bucket_counts(docs, text)
-    signed = written(signatures(docs, counts, doc_id=doc_id, text=text, percent=percent, most=most).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    nodes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node")), "nodes")
-    usual = float(np.median(counts[counts > 0])) if (counts > 0).any() else 0.0
-    hot = docs.sparkSession.sparkContext.broadcast(counts)
-    kept = signed.select(F.col("row").alias("node"), "n", "prefix").join(nodes.select("node"), "node")
-    tokens = kept.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", "node", "place", "n")
+    signed = written(signatures(docs, counts, doc_id=doc_id, text=text, percent=percent, most=most), "signatures")
+    usual = _usual(counts)
+    hot = spark.sparkContext.broadcast(counts)
+    tokens = signed.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", "node", "place", "n")
 
     def salted(batches):
         """salt: -1, or for a frequent shingle one of as many as its bucket's count calls for."""
@@ -225,49 +341,80 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
 
     schema = "token bigint, salt bigint, node bigint, place int, n bigint"
     dealt = tokens.mapInArrow(salted, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
-    shared = written(dealt.mapInArrow(_shared, schema + ", pivot bigint"), "shared")
+    shared = written(dealt.mapInArrow(_shared, schema + ", pivot bigint, pivot_place int, pivot_n bigint"), "shared")
+    settle(spark)
 
     # every member against its group's pivot, and the pivots of one shingle's salts against the first of them
-    first = shared.where("salt >= 0").groupBy("token").agg(F.min("pivot").alias("a"))
-    stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(shared.where("salt >= 0").select("token", F.col("pivot").alias("b")).distinct().join(first, "token").where("a <> b").select("a", "b"))
-    stars = written(stars.distinct(), "stars")
-    needed = shared.select("node").distinct().join(nodes, "node")
-    sets = written(_needed_sets(docs, text, needed), "sets")
-    near = written(_verified(stars, sets, percent), "near")
+    heads = shared.where("salt >= 0").select("token", "pivot", "pivot_place", "pivot_n").distinct()
+    first = heads.groupBy("token").agg(F.min(F.struct("pivot", "pivot_place", "pivot_n")).alias("f"))
+    across = heads.join(first, "token").where("pivot <> f.pivot").select(F.col("f.pivot").alias("a"), F.col("f.pivot_place").alias("p"), F.col("f.pivot_n").alias("n"), F.col("pivot").alias("b"), F.col("pivot_place").alias("q"), F.col("pivot_n").alias("m"))
+    inside = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("pivot_place").alias("p"), F.col("pivot_n").alias("n"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("n").alias("m"))
+    sized = inside.union(across).where((F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100))
+    stars = sized.groupBy("a", "b", "n", "m").agg(F.count("*").alias("met"), F.max("p").alias("p"), F.max("q").alias("q"))
+    # other groups of the same two may have other pivots, so these pairs' counts are too low: they count twice here, and what is missed is found below
+    stars = written(_possible(stars.withColumn("met", 2 * F.col("met")), percent).select("a", "b"), "stars")
+    near = _checked(docs, text, stars, percent)
     labels = components(near)
 
     # what the pivots didn't settle: members of different components that share shingles of their prefixes
     known = shared.join(labels, "node", "left").select("token", "node", "place", "n", F.coalesce("label", "node").alias("label"))
-    size = known.groupBy("token", "label").agg(F.count("*").alias("m"))
-    mixed = size.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.sum("m").alias("df"), F.count("*").alias("k")).where("k > 1").select("token", "top", "df")
-    open_ = written(known.join(mixed, "token"), "open")
+    size = known.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = size.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("df"), F.count("*").alias("k")).where("k > 1").select("token", "top", "df")
+    open_ = mixed_rows = written(known.join(mixed, "token"), "open")
+    dropped(shared)
+    facts = signed.where("prefix IS NOT NULL").select("node", "n", "rare", "often").distinct()
+    smallest = facts.where("rare < n").groupBy("often").agg(F.min(F.struct("n", "node")).alias("s")).select(F.col("s.node").alias("node"), F.lit(True).alias("smallest"))
     own = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("bigint")  # places up to own are in the 1-prefix
-    bound = F.least(F.lit(most), F.ceil(F.col("n") * percent / F.lit(100))).cast("int")
-    scans = open_.withColumns({"own": own, "bound": bound}).groupBy("node").agg(F.max("bound").alias("bound"), *(F.sum(F.when(F.col("place") <= F.col("own") + m - 1, F.col("df") - 1).otherwise(0)).alias(f"scan{m}") for m in range(1, most + 1)))
-    costs = F.array(*(F.struct((F.when(F.col("bound") >= m, F.col(f"scan{m}") * (1 + F.lit(float(COMPARE)) / m)).otherwise(F.lit(float("inf")))).alias("cost"), F.lit(m).alias("need")) for m in range(1, most + 1)))
-    need = scans.select("node", F.array_min(costs)["need"].alias("need"))
-    rows = written(open_.join(need, "node").withColumn("own", own), "rows")
-    left = rows.where("label <> top").select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "place", "n", "label", "need", "own")))
+    # a prefix that reaches frequent shingles is matched on one shingle; all rarer ones are joined as they are
+    bound = F.when(F.col("rare") < own + most, F.lit(1)).otherwise(F.least(F.lit(most), F.ceil(F.col("n") * percent / F.lit(100)))).cast("int")
+    open_ = open_.join(facts.select("node", "rare"), "node").join(smallest, "node", "left").withColumns({"own": own, "bound": bound})
+    scans = open_.groupBy("node").agg(F.max("bound").alias("bound"), *(F.sum(F.when(F.col("place") <= F.col("own") + i - 1, F.col("df") - 1).otherwise(0)).alias(f"scan{i}") for i in range(1, most + 1)))
+    costs = F.array(*(F.struct((F.when(F.col("bound") >= i, F.col(f"scan{i}") * (1 + F.lit(float(COMPARE)) / i)).otherwise(F.lit(float("inf")))).alias("cost"), F.lit(i).alias("need")) for i in range(1, most + 1)))
+    rows = written(open_.drop("bound").join(scans.select("node", F.array_min(costs)["need"].alias("need")), "node"), "rows")
+    settle(spark)
+    left = rows.select("token", F.col("node").alias("a"), F.col("place").alias("p"), "n", F.col("label").alias("label_"), F.col("need").alias("need_"), F.col("own").alias("own_"), F.col("rare").alias("rare_"), F.col("label") == F.col("top"))
+    left = left.toDF(*left.columns[:-1], "in_top")
+    right = rows.select("token", F.col("node").alias("b"), F.col("place").alias("q"), F.col("n").alias("m"), "label", "top", "need", "own", "rare", "smallest")
     least = F.least("need", "need_")
-    met = left.join(rows, "token").where("label <> label_ AND (label = top OR node_ < node)").where((F.col("n") * percent <= F.col("n_") * 100) & (F.col("n_") * percent <= F.col("n") * 100)).where((F.col("place") <= F.col("own") + least - 1) & (F.col("place_") <= F.col("own_") + least - 1))
-    rest = met.groupBy(F.col("node").alias("a"), F.col("node_").alias("b")).agg(F.count("*").alias("met"), F.min(least).alias("least")).where("met >= least").select("a", "b")
-    rest = written(rest, "rest")
-    more = written(_verified(rest, sets, percent), "more")
-    if more.limit(1).count():
-        dropped(labels)
-        labels = components(near.union(more))
-    for t in (shared, stars, sets, open_, rows, rest, more, near):
+
+    def shared_places(left: DataFrame, right: DataFrame, once: str) -> DataFrame:
+        """Shingles that two of different components have in their prefixes; each once for a pair."""
+        both = left.join(right, "token").where(f"label <> label_ AND {once}").where((F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100))
+        both = both.where((F.col("p") <= F.col("own_") + least - 1) & (F.col("q") <= F.col("own") + least - 1))
+        both = both.where(F.least("p", "q") + 1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= _least_common("n", "m", percent))
+        return both.select("a", "b", "n", "m", "p", "q", least.alias("least"))
+
+    def candidates(places: DataFrame) -> DataFrame:
+        found = places.groupBy("a", "b", "n", "m").agg(F.count("*").alias("met"), F.max("p").alias("p"), F.max("q").alias("q"), F.min("least").alias("least")).where("met >= least")
+        return _possible(found, percent).select("a", "b")
+
+    rare_left, often_left = left.where("p < rare_"), left.where("p >= rare_")
+    rare_right, partners = right.where("q < rare"), right.where("q >= rare AND smallest")
+    # which side a set is on depends on the shingle's group: pairs are turned one way before their shingles are counted
+    turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("n", "m"), ("m", "n"), ("p", "q"), ("q", "p"))]
+    rare = shared_places(rare_left.where("NOT in_top"), rare_right, "(label = top OR a < b)").select(*turned, "least")
+    often = shared_places(often_left.where("NOT in_top"), partners, "true").union(shared_places(often_left.where("in_top"), partners.where("label <> top"), "true"))
+    rest = candidates(rare).union(candidates(often))
+    rest = written(rest.distinct(), "rest")
+    if rest.limit(1).count():
+        more = _checked(docs, text, rest, percent)
+        if more.limit(1).count():
+            dropped(labels)
+            labels = components(near.union(more))
+        dropped(more)
+    for t in (stars, mixed_rows, rows, rest, near):
         dropped(t)
-    return signed.select("doc_id", "n", "digest"), nodes.join(labels, "node", "left").select("digest", "node", F.coalesce("label", "node").alias("label"))
+    settle(spark)
+    return signed.select("doc_id", "n", "node"), labels
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST_MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    rows, sets = links(docs, doc_id=doc_id, text=text, percent=percent, most=most)
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    sets = sets.join(firsts, "digest")
-    sets = sets.join(sets.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("digest", "component_id")
-    return rows.join(written(sets, "classes"), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, labels = links(docs, doc_id=doc_id, text=text, percent=percent, most=most)
+    firsts = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
+    classes = written(firsts.join(least, "label").select("node", "component_id"), "classes")
+    return rows.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
