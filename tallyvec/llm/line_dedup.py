@@ -43,13 +43,16 @@ NEED_BITS = 22
 _MARKS = r"[\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3001-\u3003]+"
 
 
+_BLANK = " \t\r\x0b\x0c"
+
+
 def _plain(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), _MARKS, ""))
 
 
 def _spaced(line: Column, plain: Column) -> Column:
     words = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
-    return F.when(plain != "", words).otherwise(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+    return F.when(plain != "", words).otherwise(F.btrim(line, F.lit(_BLANK)))
 
 
 def normalised(line: Column) -> Column:
@@ -95,13 +98,20 @@ def keys_of(sim: str) -> Column:
     return F.array(*(F.expr(f"{n}L * 67108864L + {cut[a]} * 8192L + {cut[b]}") for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))))
 
 
-def _texts(lines: DataFrame, needed: DataFrame) -> DataFrame:
-    """node and norm of the needed nodes; a bit table of fixed size is broadcast, so that most other lines stop at the scan."""
-    bit = F.expr(f"node & {(1 << NEED_BITS) - 1}L")
-    table = needed.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    passed = lines.select("node", "norm", bit.alias("bit")).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(table), "word").where(F.expr("shiftrightunsigned(bits, cast(bit & 63 as int)) & 1 = 1"))
-    # an inner join: a semi-join would be pushed to the lines, below the table
-    return passed.select("node", "norm").join(needed, "node").groupBy("node").agg(F.first("norm").alias("norm"))
+def _texts(docs: DataFrame, doc_id: str, text: str, table: DataFrame, needed: DataFrame) -> DataFrame:
+    """node and norm of the needed nodes, from one document each; a bit table of fixed size is broadcast, so that most other documents stop at the scan."""
+    rows = table.join(needed, "node").groupBy("node").agg(F.min("row").alias("row")).select("row").distinct()
+    keyed = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), key_of(F.col(doc_id), F.col(text)).alias("_row"))
+    lines = occurrences(_passing(keyed, "_row", rows), "doc", "text")
+    return lines.select("node", "norm").join(needed, "node").groupBy("node").agg(F.first("norm").alias("norm"))
+
+
+def _passing(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
+    """The rows of df whose key is one of needed (row), and few others. Inner joins: a semi-join would be pushed below the table."""
+    bit = lambda c: F.expr(f"{c} & {(1 << NEED_BITS) - 1}L")
+    table = needed.select(bit("row").alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
+    some = df.withColumn("_bit", bit(key)).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(table), "_word")
+    return some.where(F.expr("shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1 = 1")).select(*df.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -136,7 +146,7 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     inside = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "inside")
     stars = written(_close(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), inside, bits, percent), "stars")
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    near = written(_verified(stars, written(_texts(lines, ends(stars)), "texts"), percent), "near")
+    near = written(_verified(stars, written(_texts(docs, doc_id, text, table, ends(stars)), "texts"), percent), "near")
     labels = components(near)
     known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     counted = known.groupBy("key", "label").agg(F.count("*").alias("m"))
@@ -148,7 +158,7 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     rest = written(rest.select(F.col("node").alias("a"), "b").distinct(), "rest")
     if not rest.limit(1).count():
         return table, labels
-    more = written(_verified(rest, written(_texts(lines, ends(rest)), "texts"), percent), "more")
+    more = written(_verified(rest, written(_texts(docs, doc_id, text, table, ends(rest)), "texts"), percent), "more")
     if more.limit(1).count():
         dropped(labels)
         labels = components(near.union(more))
@@ -188,5 +198,5 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     both = pair.withColumn("row", key_of(F.col("doc_id"), F.col("text"))).join(found, "row", "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     left = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    n = F.size(F.filter(lines, lambda x: normalised(x) != "")).cast("bigint")
+    n = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(_BLANK)) != "")).cast("bigint")  # what normalises to nothing
     return both.select("doc_id", n.alias("n_lines"), (n - F.coalesce(F.size("gone"), F.lit(0))).alias("n_kept"), F.sha2(left.cast("binary"), 256).alias("text_sha256"))
