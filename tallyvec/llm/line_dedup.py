@@ -70,26 +70,26 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """row, doc, line, norm, node (the hash of norm) of every line that isn't blank."""
-    rows = once(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "row", key_of(F.col("doc"), F.col("text")))
-    lines = rows.select("row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    """copy (tells repeated rows apart), row, doc, line, norm, node (the hash of norm) of every line that isn't blank."""
+    rows = once(docs.select(F.monotonically_increasing_id().alias("copy"), F.col(doc_id).alias("doc"), F.col(text).alias("text")), "row", key_of(F.col("doc"), F.col("text")))
+    lines = rows.select("copy", "row", "doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     lines = once(lines, "plain", _plain(F.col("raw")))
-    lines = once(lines.select("row", "doc", "line", "raw", "plain"), "norm", _spaced(F.col("raw"), F.col("plain"))).where("norm <> ''")
-    return once(lines.select("row", "doc", "line", "norm"), "node", F.xxhash64("norm"))
+    lines = once(lines.select("copy", "row", "doc", "line", "raw", "plain"), "norm", _spaced(F.col("raw"), F.col("plain"))).where("norm <> ''")
+    return once(lines.select("copy", "row", "doc", "line", "norm"), "node", F.xxhash64("norm"))
 
 
 def hashed(lines: DataFrame) -> DataFrame:
-    """row, doc, line, node, chars, sim of every line: votes are summed per line, combined before they are shuffled."""
-    some = lines.select("row", "doc", "line", "node", F.length("norm").alias("chars"), F.col("norm").rlike("[^ ]{5}").alias("long"), F.split("norm", " ").alias("words"))
+    """row, doc, line, node, chars, sim of every line: votes are summed per line of each row, repeated or not, and combined before they are shuffled."""
+    some = lines.select("copy", "row", "doc", "line", "node", F.length("norm").alias("chars"), F.col("norm").rlike("[^ ]{5}").alias("long"), F.split("norm", " ").alias("words"))
     # a line of too many words gets one without a hash, so that its sums are null
     few = F.when(F.size("words") <= _MOST_WORDS, F.col("words")).otherwise(F.array(F.lit(None).cast("string")))
-    words = some.select("row", "doc", "line", "node", "chars", "long", F.explode(few).alias("word")).where(~F.col("long") | F.col("word").isNull() | (F.length("word") > 4))
+    words = some.select("copy", "row", "doc", "line", "node", "chars", "long", F.explode(few).alias("word")).where(~F.col("long") | F.col("word").isNull() | (F.length("word") > 4))
     h = "CASE WHEN word IS NOT NULL THEN xxhash64(word) END"
     votes = [F.expr(f"sum(shiftrightunsigned({h}, {i}) & {_ONES}L)").alias(f"v{i}") for i in range(LANE)]
-    summed = words.groupBy("row", "doc", "line", "node", "chars").agg(F.count("*").alias("total"), *votes)
+    summed = words.groupBy("copy", "row", "doc", "line", "node", "chars").agg(F.count("*").alias("total"), *votes)
     guard, need = f"{(1 << GUARD) * _ONES}L", f"(total div 2 + 1) * {_ONES}L"
     bits = " | ".join(f"shiftleft(shiftrightunsigned(v{i} + {guard} - {need}, {GUARD}) & {_ONES if i + 2 * LANE < 64 else 1 | 1 << LANE}L, {i})" for i in range(LANE))
-    return summed.select("row", "doc", "line", "node", "chars", F.expr(bits).alias("sim"))
+    return summed.select("row", "doc", "line", "node", "chars", F.expr(f"CASE WHEN total <= {_MOST_WORDS} THEN {bits} END").alias("sim"))
 
 
 def keys_of(sim: str) -> Column:

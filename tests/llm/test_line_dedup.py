@@ -61,6 +61,15 @@ def test_simhash_is_the_plain_one(spark):
     assert got == {i: brute.simhash(brute.norm_line(x)) for i, x in enumerate(lines)}
 
 
+def test_line_in_many_repeated_rows(spark):
+    """All copies together have more words than one sum of votes holds."""
+    r = random.Random(9)
+    line = " ".join("".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(100))
+    docs = spark.createDataFrame([(1, line)] * 8000 + [(2, line + " of")], "doc_id bigint, text string").repartition(3)
+    assert {r.sim & (1 << 64) - 1 for r in L.hashed(L.occurrences(docs, "doc_id", "text")).collect()} == {brute.simhash(line)}
+    assert {(r.doc_id, r.n_lines, r.n_kept) for r in L.report(docs).collect()} == {(1, 1, 1), (2, 1, 0)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert L.deduplicate(docs).count() == 0 and L.report(docs).count() == 0
