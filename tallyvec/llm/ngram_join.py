@@ -16,7 +16,8 @@ that for frequent shingles only these smallest sets are partners. None of this l
 Defined results. Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of fewer than five
 words is one shingle; one without words, or null, has an empty set and only itself as component. Repeated rows and
 repeated ids are documents of their own, ids of a component count once; a null id is never the smallest. An empty table
-gives no rows. Other columns are ignored by join() and kept by keep_first(). Shingles and sets are told apart by 64-bit hashes.
+gives no rows. Other columns are ignored by join() and kept by keep_first(). Shingles and sets are told apart by 64-bit
+hashes, and so are rows by keep_first(), which keeps exactly one of each component.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, components, dropped, in_bits, prepare, settle, written
+from .common import bit_table, components, dropped, fresh, in_bits, prepare, settle, written
 
 SHINGLE = 5
 #: Similarity as a share of whole numbers.
@@ -418,7 +419,21 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each component; a component whose ids are all null stays whole. Of repeated rows with that id, all stay."""
-    found = join(docs.select(doc_id, text), doc_id=doc_id, text=text, percent=percent)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """The rows, with all their columns, that are left when exactly one row of each component stays: one of its smallest id, null ids last. Rows with an empty set all stay. Rows are told apart by a hash of id and text; of rows that repeat both, any one stands for all."""
+    (key,) = fresh(docs, "_key")
+    own = F.xxhash64(F.col(doc_id), F.col(text))
+    rows, labels = links(docs.select(F.struct(F.col(doc_id).alias("id"), own.alias("key")).alias("place"), F.col(text).alias("text")), doc_id="place", text="text", percent=percent)
+    place = F.struct(F.col("doc_id.id").isNull().alias("none"), F.col("doc_id.id").alias("id"), F.col("doc_id.key").alias("key"))
+    places = written(rows.where("n > 0").groupBy("node", place.alias("place")).agg(F.count("*").alias("copies")), "places")
+    firsts = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("c")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = firsts.groupBy("label").agg(F.min("first").alias("kept"), F.sum("c").alias("c")).where("c > 1").select("label", F.col("kept.key").alias("kept"))
+    gone = firsts.select("node", "label").join(least, "label").join(places, "node").where("place.key <> kept").select(F.col("place.key").alias(key), F.lit(False).alias("stays"))
+    # a row that stays and occurs several times: all but one go
+    once = places.where("copies > 1").select(F.col("place.key").alias(key), F.lit(True).alias("stays")).join(gone.select(key), key, "left_anti")
+    found = written(gone.union(once), "gone")
+    dropped(places)
+    keyed = docs.withColumn(key, own)
+    left = keyed.join(found.select(key), key, "left_anti").select(*docs.columns)
+    if not found.where("stays").limit(1).count():
+        return left
+    return left.union(keyed.join(found.where("stays").select(key), key, "left_semi").dropDuplicates([key]).select(*docs.columns))

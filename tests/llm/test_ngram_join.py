@@ -40,6 +40,25 @@ def test_same_as_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} >= first
 
 
+def test_keeps_one_row_of_each_component(spark):
+    rows = _rows(3, 40)
+    rows += [(5, "a text of its own that nobody else has"), (5, rows[9][1]), (None, rows[9][1]), (None, rows[9][1] + " x"), (None, "null ids only in this component"), (None, "null ids only in THIS component"), (7, rows[7][1]), (7, rows[7][1])]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id bigint, text string, _key int").repartition(4)
+    kept = N.keep_first(docs)
+    assert kept.schema == docs.schema
+    sets, groups = [brute.shingles(t) for _, t in rows], brute.Groups()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                groups.join(i, j)
+    want, order = {}, lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    for i in range(len(rows)):
+        want[groups.find(i)] = min(want.get(groups.find(i), order(i)), order(i))
+    got = kept.collect()
+    assert sorted((groups.find(r["_key"]), order(r["_key"])) for r in got) == sorted(want.items())
+    assert all((r.doc_id, r.text) == rows[r["_key"]] for r in got)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert N.join(docs).count() == 0 and N.keep_first(docs).count() == 0
