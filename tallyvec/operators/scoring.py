@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import features, transport
 from . import knn
 
-#: Reference vectors that a score function may carry to the executors; more need the index.
+#: Reference vectors that a score function may carry to the executors; more are searched where they are by evaluated().
 MOST_CARRIED = 2_000_000
 
 
@@ -22,11 +22,21 @@ def score_requests(requests: DataFrame, references: DataFrame, k: int = knn.K) -
     return out.withColumn("response", transport.response(F.col("approved"), F.col("fraud_score")))
 
 
+def carried(references: DataFrame) -> bool:
+    """Whether a score function may carry the references."""
+    return references.limit(MOST_CARRIED + 1).count() <= MOST_CARRIED
+
+
+def evaluated(queries: DataFrame, references: DataFrame, k: int = knn.K) -> DataFrame:
+    """qid, fraud_score, err for each of queries (qid, q; each qid once), like the score function, but for any number of references: they stay where they are."""
+    out = knn.scored(queries, knn.exact(queries, references, k))
+    return out.select("qid", "fraud_score", F.when(F.col("cnt") == 0, 1).otherwise(0).alias("err"))
+
+
 def score_function(references: DataFrame, k: int = knn.K):
     """A vectorised function from an int16 vector to (fraud_score, err): err 1 without references. The references' number is checked before they are carried."""
-    n = references.limit(MOST_CARRIED + 1).count()
-    if n > MOST_CARRIED:
-        raise ValueError(f"more than {MOST_CARRIED} references: search the index instead")
+    if not carried(references):
+        raise ValueError(f"more than {MOST_CARRIED} references: use evaluated() instead")
     rows = references.select("idx", F.col("q").cast("array<int>").alias("q"), "is_fraud").orderBy("idx").toPandas()
     table = np.array(rows["q"].tolist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
     held = references.sparkSession.sparkContext.broadcast((table, (table * table).sum(1), rows["is_fraud"].to_numpy(bool)))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyvec.functions import vectors
+import __spark_entry__ as spark_entry
 from tallyvec.operators import ivf, knn, latency, scoring
 from tallyvec.sources import readers
 
@@ -128,3 +129,14 @@ def test_percentiles_of_few_and_none(spark):
     got = {r.metric: (r.p50, round(r.p95, 9), round(r.p99, 9)) for r in latency.percentiles(facts).collect()}
     assert got["lb_tt_ms"] == (3.0, 8.8, 9.76)
     assert {(r.p50, r.p99) for r in latency.percentiles(facts.where("false")).collect()} == {(0.0, 0.0)}
+
+
+def test_scores_beyond_what_is_carried(spark, monkeypatch):
+    for name in ("udf_score_eval", "stream_score"):
+        run = lambda: spark_entry.queries()[name](spark, spark_entry.SMOKE_DIR)  # noqa: B023, E731
+        want = run()
+        rows = sorted(want.collect())
+        monkeypatch.setattr(scoring, "MOST_CARRIED", 10)
+        got = run()
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == rows and rows
+        monkeypatch.undo()
