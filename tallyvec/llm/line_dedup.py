@@ -4,7 +4,8 @@ Lines are normalised (lower-cased, without punctuation and control characters, o
 64-bit SimHash of their words of over four characters, or of all words if none is that long.
 Two different normalised lines are linked if their SimHashes differ in at most BITS bits and their edit similarity
 (1 - Levenshtein distance / longer length) is at least SIMILARITY. The bits are cut into five blocks; lines within
-three bits agree on two of them at least, so they meet under one of ten pairs of blocks: no link is missed.
+three bits agree on two of them at least, so they meet under one of ten pairs of blocks: no link is missed. Lines that
+are as similar by edits but differ in more bits are not linked, and these are most of the near lines (see README).
 
 Lines under one key are never expanded into all pairs: each is first compared with the key's first line, then only
 lines of different components are, against the component with most of the key. Equal normalised lines are one node.
