@@ -8,7 +8,8 @@ are compared exactly.
 
 Groups of documents that share a prefix shingle are never expanded into all pairs. Exact copies count once; every
 member is first compared with the group's pivot; then only members of different components that share shingles are
-candidates, against the component that has most of the group. Shingles that very many documents share (far over the
+candidates, against the component that has most of the group. Of the many unsettled members of a crowd around one
+component, only those are that share shingles which the smallest of the crowd lacks. Shingles that very many documents share (far over the
 usual bucket count) come last in the order. Two sets that are similar without sharing a rarer one share frequent ones
 only; then each is also similar to the smallest set with the other's frequent shingles, and those two are similar, so
 that for frequent shingles only these smallest sets are partners. None of this loses a link that joins components.
@@ -45,6 +46,8 @@ NEED_BITS = 25
 FREQUENT, DEVIATIONS = 100, 6.0
 #: A shingle's group, or a pivot's pairs, are dealt over tasks beyond this many.
 GROUP = 4000
+#: Unsettled sets around one component that are compared by what the smallest of them lacks.
+CROWD = 32
 
 _LIMIT = 1_000_000
 #: Bytes that are hashed together.
@@ -321,6 +324,79 @@ def _checked(docs: DataFrame, text: str, pairs: DataFrame, percent: int) -> Data
     return found
 
 
+def _mixed_groups(rows: DataFrame, by: list[str], party: str, name: str) -> DataFrame:
+    """The rows of the groups that hold several parties, with the party that has most of the group (top) and the group's size (df)."""
+    size = rows.groupBy(*by, party).agg(F.count("*").alias("c"))
+    mixed = size.groupBy(*by).agg(F.max_by(party, F.struct("c", party)).alias("top"), F.sum("c").alias("df"), F.count("*").alias("k")).where("k > 1").drop("k")
+    return written(rows.join(mixed, by), name)
+
+
+def _crowds(open_: DataFrame) -> DataFrame:
+    """node, n, crowd, pivot, m for the sets in crowds: at least CROWD unsettled sets whose prefix shingles are mostly those of one component. The crowd's smallest set is its pivot, of m shingles."""
+    weights = open_.groupBy("node", "n", "top").agg(F.sum("df").alias("w"))
+    own = weights.groupBy("node", "n").agg(F.max_by("top", F.struct("w", "top")).alias("crowd"))
+    large = own.groupBy("crowd").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("s")).where(F.col("c") >= CROWD)
+    return written(own.join(large, "crowd").select("node", "n", "crowd", F.col("s.node").alias("pivot"), F.col("s.n").alias("m")), "crowds")
+
+
+def _within_crowds(docs: DataFrame, text: str, crowds: DataFrame, near: DataFrame, labels: DataFrame, counts: np.ndarray, percent: int) -> DataFrame | None:
+    """Enough links (a, b) within crowds to join what similarity joins; None if there are no crowds.
+
+    All of a crowd meet its pivot, the smallest of them. A set that isn't similar to the pivot shares more with a set
+    that it is similar to than the pivot has of it, so the two share shingles that the pivot lacks, at least as many as
+    the overlap lacks. Those outside shingles, rarer ones first, have prefixes of their own, in which such two meet.
+    """
+    spark = docs.sparkSession
+    if not crowds.limit(1).count():
+        return None
+    sets = written(_needed_sets(docs, text, crowds.select("node")), "sets")
+    pivots = sets.join(crowds.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("items").alias("theirs"))
+    both = crowds.join(sets, "node").join(pivots, "pivot")
+    outside = both.select("node", "n", "crowd", "pivot", "m", F.array_except("items", "theirs").alias("outside"))
+    held = spark.sparkContext.broadcast(counts)
+
+    def cut(batches):
+        for batch in batches:
+            n, m = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            items, inside, left = batch.column(5), [], []
+            prefixes = []
+            for i in range(batch.num_rows):
+                own = items[i].values.to_numpy()
+                met = int(n[i]) - len(own)
+                least = max(1, -(-(int(n[i]) + int(m[i])) * percent // (100 + percent)) - met)
+                count = held.value[(own.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                prefixes.append(own[np.argsort(count, kind="stable")[: max(0, len(own) - least + 1)]])
+                inside.append(met)
+                left.append(len(own))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(inside, pa.int64()), pa.array(left, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "n", "crowd", "pivot", "m", "inside", "left", "prefix"])
+
+    cuts = written(outside.mapInArrow(cut, "node bigint, n bigint, crowd bigint, pivot bigint, m bigint, inside bigint, left bigint, prefix array<bigint>"), "outside")
+    dropped(sets)
+    settle(spark)
+    found = written(cuts.where((F.col("node") != F.col("pivot")) & (F.col("inside") * 100 >= (F.col("n") + F.col("m") - F.col("inside")) * percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "near")
+    now = components(near.union(found))
+    rows = cuts.select("crowd", "node", "n", "inside", "left", F.posexplode("prefix").alias("place", "token")).join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = _mixed_groups(rows, ["crowd", "token"], "label", "outside-open")
+    a = mixed.where("label <> top").select("crowd", "token", F.col("node").alias("a"), "n", F.col("inside").alias("inside_a"), F.col("left").alias("left_a"), F.col("place").alias("p"), F.col("label").alias("label_"))
+    b = mixed.select("crowd", "token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("inside").alias("inside_b"), F.col("left").alias("left_b"), F.col("place").alias("q"), "label", "top")
+    least = _least_common("n", "m", percent) - F.least("inside_a", "inside_b")
+    places = a.join(b, ["crowd", "token"]).where("label <> label_ AND (label = top OR a < b)").where((F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100))
+    places = places.where(F.least("p", "q") + 1 + F.least(F.col("left_a") - F.col("p") - 1, F.col("left_b") - F.col("q") - 1) >= least)
+    turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("p", "q"), ("q", "p"), ("left_a", "left_b"), ("left_b", "left_a"))]
+    met = places.select(*turned, least.alias("least")).groupBy("a", "b", "left_a", "left_b", "least").agg(F.count("*").alias("met"), F.max("p").alias("p"), F.max("q").alias("q"))
+    pairs = written(met.where(F.col("met") + F.least(F.col("left_a") - F.col("p") - 1, F.col("left_b") - F.col("q") - 1) >= F.col("least")).select("a", "b"), "pairs")
+    out = found
+    if pairs.limit(1).count():
+        more = _checked(docs, text, pairs, percent)
+        out = written(found.union(more), "near")
+        for t in (found, more):
+            dropped(t)
+    for t in (cuts, now, mixed, pairs):
+        dropped(t)
+    settle(spark)
+    return out
+
+
 def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n, node; labels: node, label, without those that are alone): enough links to join all sets that similarity joins."""
     spark = docs.sparkSession
@@ -358,29 +434,39 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     labels = components(near)
 
     # what the pivots didn't settle: members of different components that share shingles of their prefixes
-    known = shared.join(labels, "node", "left").select("token", "node", "place", "n", F.coalesce("label", "node").alias("label"))
-    size = known.groupBy("token", "label").agg(F.count("*").alias("c"))
-    mixed = size.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("df"), F.count("*").alias("k")).where("k > 1").select("token", "top", "df")
-    open_ = mixed_rows = written(known.join(mixed, "token"), "open")
+    open_ = _mixed_groups(shared.join(labels, "node", "left").select("token", "node", "place", "n", F.coalesce("label", "node").alias("label")), ["token"], "label", "open")
     dropped(shared)
+    crowds = _crowds(open_)
+    inside_crowds = _within_crowds(docs, text, crowds, near, labels, counts, percent)
+    if inside_crowds is not None:
+        near_all = written(near.union(inside_crowds), "near")
+        for t in (near, inside_crowds, labels):
+            dropped(t)
+        near, labels = near_all, components(near_all)
+    # pairs of one crowd are done: a row's party is its crowd or else its component, and only different parties meet
+    parties = open_.select("token", "node", "place", "n").join(crowds.select("node", "crowd"), "node", "left").join(labels, "node", "left")
+    parties = parties.select("token", "node", "place", "n", F.coalesce("label", "node").alias("label"), F.coalesce("crowd", "label", "node").alias("party"))
+    mixed_rows = _mixed_groups(parties, ["token"], "party", "parties")
+    dropped(open_)
+    dropped(crowds)
     facts = signed.where("prefix IS NOT NULL").select("node", "n", "rare", "often").distinct()
     smallest = facts.where("rare < n").groupBy("often").agg(F.min(F.struct("n", "node")).alias("s")).select(F.col("s.node").alias("node"), F.lit(True).alias("smallest"))
     own = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("bigint")  # places up to own are in the 1-prefix
     # a prefix that reaches frequent shingles is matched on one shingle; all rarer ones are joined as they are
     bound = F.when(F.col("rare") < own + most, F.lit(1)).otherwise(F.least(F.lit(most), F.ceil(F.col("n") * percent / F.lit(100)))).cast("int")
-    open_ = open_.join(facts.select("node", "rare"), "node").join(smallest, "node", "left").withColumns({"own": own, "bound": bound})
+    open_ = mixed_rows.join(facts.select("node", "rare"), "node").join(smallest, "node", "left").withColumns({"own": own, "bound": bound})
     scans = open_.groupBy("node").agg(F.max("bound").alias("bound"), *(F.sum(F.when(F.col("place") <= F.col("own") + i - 1, F.col("df") - 1).otherwise(0)).alias(f"scan{i}") for i in range(1, most + 1)))
     costs = F.array(*(F.struct((F.when(F.col("bound") >= i, F.col(f"scan{i}") * (1 + F.lit(float(COMPARE)) / i)).otherwise(F.lit(float("inf")))).alias("cost"), F.lit(i).alias("need")) for i in range(1, most + 1)))
     rows = written(open_.drop("bound").join(scans.select("node", F.array_min(costs)["need"].alias("need")), "node"), "rows")
     settle(spark)
-    left = rows.select("token", F.col("node").alias("a"), F.col("place").alias("p"), "n", F.col("label").alias("label_"), F.col("need").alias("need_"), F.col("own").alias("own_"), F.col("rare").alias("rare_"), F.col("label") == F.col("top"))
+    left = rows.select("token", F.col("node").alias("a"), F.col("place").alias("p"), "n", F.col("label").alias("label_"), F.col("party").alias("party_"), F.col("need").alias("need_"), F.col("own").alias("own_"), F.col("rare").alias("rare_"), F.col("party") == F.col("top"))
     left = left.toDF(*left.columns[:-1], "in_top")
-    right = rows.select("token", F.col("node").alias("b"), F.col("place").alias("q"), F.col("n").alias("m"), "label", "top", "need", "own", "rare", "smallest")
+    right = rows.select("token", F.col("node").alias("b"), F.col("place").alias("q"), F.col("n").alias("m"), "label", "party", "top", "need", "own", "rare", "smallest")
     least = F.least("need", "need_")
 
     def shared_places(left: DataFrame, right: DataFrame, once: str) -> DataFrame:
         """Shingles that two of different components have in their prefixes; each once for a pair."""
-        both = left.join(right, "token").where(f"label <> label_ AND {once}").where((F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100))
+        both = left.join(right, "token").where(f"label <> label_ AND party <> party_ AND {once}").where((F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100))
         both = both.where((F.col("p") <= F.col("own_") + least - 1) & (F.col("q") <= F.col("own") + least - 1))
         both = both.where(F.least("p", "q") + 1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= _least_common("n", "m", percent))
         return both.select("a", "b", "n", "m", "p", "q", least.alias("least"))
@@ -393,8 +479,8 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     rare_right, partners = right.where("q < rare"), right.where("q >= rare AND smallest")
     # which side a set is on depends on the shingle's group: pairs are turned one way before their shingles are counted
     turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("n", "m"), ("m", "n"), ("p", "q"), ("q", "p"))]
-    rare = shared_places(rare_left.where("NOT in_top"), rare_right, "(label = top OR a < b)").select(*turned, "least")
-    often = shared_places(often_left.where("NOT in_top"), partners, "true").union(shared_places(often_left.where("in_top"), partners.where("label <> top"), "true"))
+    rare = shared_places(rare_left.where("NOT in_top"), rare_right, "(party = top OR a < b)").select(*turned, "least")
+    often = shared_places(often_left.where("NOT in_top"), partners, "true").union(shared_places(often_left.where("in_top"), partners.where("party <> top"), "true"))
     rest = candidates(rare).union(candidates(often))
     rest = written(rest.distinct(), "rest")
     if rest.limit(1).count():

@@ -96,3 +96,22 @@ def test_prefixes_keep_the_promise():
             for need in range(1, min(6, N.least_overlap(len(a)), N.least_overlap(len(b))) + 1):
                 cut = lambda s: set(sorted(s)[: len(s) - N.least_overlap(len(s)) + need])
                 assert len(cut(a) & cut(b)) >= need
+
+
+def test_crowds_around_the_limit(spark, monkeypatch):
+    r = random.Random(11)
+    vocab = [f"c{i}" for i in range(3000)]
+    rows = []
+    for k in range(2):
+        base = [r.choice(vocab) for _ in range(150)]
+        some = [[(r.randrange(150), r.choice(vocab)) for _ in range(r.randint(1, 3))] for _ in range(12)]
+        for _ in range(90):
+            w = list(base)
+            for at, word in r.choice(some) + [(r.randrange(150), r.choice(vocab)) for _ in range(r.randint(0, 7))]:
+                w[at] = word
+            rows.append((len(rows), " ".join(w[r.randint(0, 3) :])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = sorted(zip((d for d, _ in rows), brute.near_components(rows)))
+    assert 2 < len({c for _, c in want}) < len(rows)
+    monkeypatch.setattr(N, "CROWD", 3)
+    assert sorted((x.doc_id, x.component_id) for x in N.join(docs).collect()) == want
