@@ -196,7 +196,7 @@ def _usual(counts: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, percent: int, most: int) -> DataFrame:
-    """doc_id, n, node (a hash of the set), the longest prefix in the global order (null where the same task gave it before), how many shingles are rare (they come first), and a key of the frequent ones."""
+    """doc_id, n, node (a hash of the set), the longest prefix in the global order (null where the same task gave it before), how many shingles are rare (they come first), a key of the frequent ones, and rank: n after how uncommon the set's shingles are on the whole, so that the middle of a group of near copies ranks first."""
     usual = _usual(counts)
     most_rare = usual + max(FREQUENT, DEVIATIONS * usual**0.5)
     held = docs.sparkSession.sparkContext.broadcast(counts)
@@ -205,7 +205,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, p
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            n, nodes, prefixes, rare, keys = [], [], [], [], []
+            n, nodes, prefixes, rare, keys, ranks = [], [], [], [], [], []
             for own in shingle_sets(batch.column(1).to_pylist()):
                 node = node_of(own)
                 count = held.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
@@ -214,6 +214,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, p
                 nodes.append(node)
                 rare.append(len(own) - len(often))
                 keys.append(node_of(often))
+                ranks.append((int(1000 * (32 - np.log2(count.astype(np.float64)).mean())) << 32 | len(own)) if len(own) else 0)
                 if node in seen:
                     prefixes.append(None)
                 else:
@@ -222,18 +223,18 @@ def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, p
                     seen.add(node)
                     order = np.argsort(count, kind="stable")
                     prefixes.append(own[order[: len(own) - least_overlap(len(own), percent) + most]].view(np.int64) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n", "node", "prefix", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(keys, pa.int64()), pa.array(ranks, pa.int64())], names=["doc_id", "n", "node", "prefix", "rare", "often", "rank"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, prefix array<bigint>, rare bigint, often bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, prefix array<bigint>, rare bigint, often bigint, rank bigint")
 
 
 def _shared(batches):
-    """Of rows (token, salt, node, place, n) sorted by token and salt: those in groups of several, or of a salted token, with node, place and n of their group's first row as pivot.
+    """Of rows (token, salt, node, place, rank) sorted by token and salt: those in groups of several, or of a salted token, with node, place and rank of their group's first row as pivot.
 
     Holds one batch, and of the group that goes on into the next its last row and pivot.
     """
-    names = ["token", "salt", "node", "place", "n", "pivot", "pivot_place", "pivot_n"]
+    names = ["token", "salt", "node", "place", "rank", "pivot", "pivot_place", "pivot_rank"]
     held, size, pivot = None, 0, None  # the last row, not given out yet; how many of its group came so far, up to 2; its group's pivot
     for batch in _and_none(batches):
         if batch is not None and not batch.num_rows:
@@ -332,48 +333,50 @@ def _mixed_groups(rows: DataFrame, by: list[str], party: str, name: str) -> Data
 
 
 def _crowds(open_: DataFrame) -> DataFrame:
-    """node, n, crowd, pivot, m for the sets in crowds: at least CROWD unsettled sets whose prefix shingles are mostly those of one component. The crowd's smallest set is its pivot, of m shingles."""
-    weights = open_.groupBy("node", "n", "top").agg(F.sum("df").alias("w"))
-    own = weights.groupBy("node", "n").agg(F.max_by("top", F.struct("w", "top")).alias("crowd"))
-    large = own.groupBy("crowd").agg(F.count("*").alias("c"), F.min(F.struct("n", "node")).alias("s")).where(F.col("c") >= CROWD)
-    return written(own.join(large, "crowd").select("node", "n", "crowd", F.col("s.node").alias("pivot"), F.col("s.n").alias("m")), "crowds")
+    """node, n, crowd, pivot, m, low for the sets in crowds: at least CROWD unsettled sets whose prefix shingles are mostly those of one component. Its first set by rank is the crowd's pivot, of m shingles; its smallest has low."""
+    weights = open_.groupBy("node", "n", "rank", "top").agg(F.sum("df").alias("w"))
+    own = weights.groupBy("node", "n", "rank").agg(F.max_by("top", F.struct("w", "top")).alias("crowd"))
+    large = own.groupBy("crowd").agg(F.count("*").alias("c"), F.min(F.struct("rank", "node", "n")).alias("s"), F.min("n").alias("low")).where(F.col("c") >= CROWD)
+    return written(own.join(large, "crowd").select("node", "n", "crowd", F.col("s.node").alias("pivot"), F.col("s.n").alias("m"), "low"), "crowds")
 
 
-def _within_crowds(docs: DataFrame, text: str, crowds: DataFrame, near: DataFrame, labels: DataFrame, counts: np.ndarray, percent: int) -> DataFrame | None:
-    """Enough links (a, b) within crowds to join what similarity joins; None if there are no crowds.
+def _within_crowds(docs: DataFrame, text: str, crowds: DataFrame, near: DataFrame, counts: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, crowd of the sets that are done within their crowds; enough links (a, b) to join what similarity joins there).
 
-    All of a crowd meet its pivot, the smallest of them. A set that isn't similar to the pivot shares more with a set
-    that it is similar to than the pivot has of it, so the two share shingles that the pivot lacks, at least as many as
-    the overlap lacks. Those outside shingles, rarer ones first, have prefixes of their own, in which such two meet.
+    All of a crowd meet its pivot. Whatever a set is similar to has as many shingles as the crowd's smallest set, at
+    least. If that calls for more common shingles than the set has with the pivot, two such share shingles that the
+    pivot lacks, at least as many as are missing. Those outside shingles, rarer ones first, have prefixes of their own,
+    in which the two meet. Sets that are similar to the pivot are joined to it already; the few others aren't done.
     """
     spark = docs.sparkSession
-    if not crowds.limit(1).count():
-        return None
     sets = written(_needed_sets(docs, text, crowds.select("node")), "sets")
     pivots = sets.join(crowds.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("items").alias("theirs"))
     both = crowds.join(sets, "node").join(pivots, "pivot")
-    outside = both.select("node", "n", "crowd", "pivot", "m", F.array_except("items", "theirs").alias("outside"))
+    outside = both.select("node", "n", "crowd", "pivot", "m", "low", F.array_except("items", "theirs").alias("outside"))
     held = spark.sparkContext.broadcast(counts)
 
     def cut(batches):
         for batch in batches:
-            n, m = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-            items, inside, left = batch.column(5), [], []
-            prefixes = []
-            for i in range(batch.num_rows):
+            items, inside, left, prefixes, done = batch.column(6), [], [], [], []
+            for i, (n, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist())):
                 own = items[i].values.to_numpy()
-                met = int(n[i]) - len(own)
-                least = max(1, -(-(int(n[i]) + int(m[i])) * percent // (100 + percent)) - met)
+                met = n - len(own)
+                low = max(low, least_overlap(n, percent))
+                missing = -(-(n + low) * percent // (100 + percent)) - met
+                least = max(1, missing)
                 count = held.value[(own.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 prefixes.append(own[np.argsort(count, kind="stable")[: max(0, len(own) - least + 1)]])
                 inside.append(met)
                 left.append(len(own))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(inside, pa.int64()), pa.array(left, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "n", "crowd", "pivot", "m", "inside", "left", "prefix"])
+                done.append(missing > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(inside, pa.int64()), pa.array(left, pa.int64()), pa.array(done, pa.bool_()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "n", "crowd", "pivot", "m", "inside", "left", "done", "prefix"])
 
-    cuts = written(outside.mapInArrow(cut, "node bigint, n bigint, crowd bigint, pivot bigint, m bigint, inside bigint, left bigint, prefix array<bigint>"), "outside")
+    close = (F.col("node") == F.col("pivot")) | (F.col("inside") * 100 >= (F.col("n") + F.col("m") - F.col("inside")) * percent)
+    cuts = outside.mapInArrow(cut, "node bigint, n bigint, crowd bigint, pivot bigint, m bigint, inside bigint, left bigint, done boolean, prefix array<bigint>")
+    cuts = written(cuts.withColumn("close", close).where("close OR done").drop("done"), "outside")
     dropped(sets)
     settle(spark)
-    found = written(cuts.where((F.col("node") != F.col("pivot")) & (F.col("inside") * 100 >= (F.col("n") + F.col("m") - F.col("inside")) * percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "near")
+    found = written(cuts.where("close AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), "near")
     now = components(near.union(found))
     rows = cuts.select("crowd", "node", "n", "inside", "left", F.posexplode("prefix").alias("place", "token")).join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = _mixed_groups(rows, ["crowd", "token"], "label", "outside-open")
@@ -391,10 +394,11 @@ def _within_crowds(docs: DataFrame, text: str, crowds: DataFrame, near: DataFram
         out = written(found.union(more), "near")
         for t in (found, more):
             dropped(t)
+    done = written(cuts.select("node", "crowd"), "done")
     for t in (cuts, now, mixed, pairs):
         dropped(t)
     settle(spark)
-    return out
+    return done, out
 
 
 def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[DataFrame, DataFrame]:
@@ -405,7 +409,7 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     signed = written(signatures(docs, counts, doc_id=doc_id, text=text, percent=percent, most=most), "signatures")
     usual = _usual(counts)
     hot = spark.sparkContext.broadcast(counts)
-    tokens = signed.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", "node", "place", "n")
+    tokens = signed.select("node", "rank", F.posexplode("prefix").alias("place", "token")).select("token", "node", "place", "rank")
 
     def salted(batches):
         """salt: -1, or for a frequent shingle one of as many as its bucket's count calls for."""
@@ -414,16 +418,18 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
             over = hot.value[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] - usual
             parts = np.maximum(1, np.ceil(over / GROUP)).astype(np.int64)
             salt = np.where(parts > 1, (_mixed(node.view(np.uint64)) >> np.uint64(2)).astype(np.int64) % parts, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt), *batch.columns[1:]], names=["token", "salt", "node", "place", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt), *batch.columns[1:]], names=["token", "salt", "node", "place", "rank"])
 
-    schema = "token bigint, salt bigint, node bigint, place int, n bigint"
-    dealt = tokens.mapInArrow(salted, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
-    shared = written(dealt.mapInArrow(_shared, schema + ", pivot bigint, pivot_place int, pivot_n bigint"), "shared")
+    schema = "token bigint, salt bigint, node bigint, place int, rank bigint"
+    dealt = tokens.mapInArrow(salted, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "rank", "node")
+    met = written(dealt.mapInArrow(_shared, schema + ", pivot bigint, pivot_place int, pivot_rank bigint"), "shared")
+    size_of = lambda rank: F.col(rank).bitwiseAND(F.lit((1 << 32) - 1))
+    shared = met.withColumns({"n": size_of("rank"), "pivot_n": size_of("pivot_rank")})
     settle(spark)
 
     # every member against its group's pivot, and the pivots of one shingle's salts against the first of them
-    heads = shared.where("salt >= 0").select("token", "pivot", "pivot_place", "pivot_n").distinct()
-    first = heads.groupBy("token").agg(F.min(F.struct("pivot", "pivot_place", "pivot_n")).alias("f"))
+    heads = shared.where("salt >= 0").select("token", "pivot", "pivot_place", "pivot_n", "pivot_rank").distinct()
+    first = heads.groupBy("token").agg(F.min(F.struct("pivot_rank", "pivot", "pivot_place", "pivot_n")).alias("f"))
     across = heads.join(first, "token").where("pivot <> f.pivot").select(F.col("f.pivot").alias("a"), F.col("f.pivot_place").alias("p"), F.col("f.pivot_n").alias("n"), F.col("pivot").alias("b"), F.col("pivot_place").alias("q"), F.col("pivot_n").alias("m"))
     inside = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("pivot_place").alias("p"), F.col("pivot_n").alias("n"), F.col("node").alias("b"), F.col("place").alias("q"), F.col("n").alias("m"))
     sized = inside.union(across).where((F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100))
@@ -434,21 +440,22 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     labels = components(near)
 
     # what the pivots didn't settle: members of different components that share shingles of their prefixes
-    open_ = _mixed_groups(shared.join(labels, "node", "left").select("token", "node", "place", "n", F.coalesce("label", "node").alias("label")), ["token"], "label", "open")
-    dropped(shared)
+    open_ = _mixed_groups(shared.join(labels, "node", "left").select("token", "node", "place", "n", "rank", F.coalesce("label", "node").alias("label")), ["token"], "label", "open")
+    dropped(met)
     crowds = _crowds(open_)
-    inside_crowds = _within_crowds(docs, text, crowds, near, labels, counts, percent)
-    if inside_crowds is not None:
-        near_all = written(near.union(inside_crowds), "near")
-        for t in (near, inside_crowds, labels):
+    done = crowds.select("node", "crowd")
+    if crowds.limit(1).count():
+        done, found = _within_crowds(docs, text, crowds, near, counts, percent)
+        before, near = near, written(near.union(found), "near")
+        for t in (before, found, labels, crowds):
             dropped(t)
-        near, labels = near_all, components(near_all)
+        labels = components(near)
     # pairs of one crowd are done: a row's party is its crowd or else its component, and only different parties meet
-    parties = open_.select("token", "node", "place", "n").join(crowds.select("node", "crowd"), "node", "left").join(labels, "node", "left")
+    parties = open_.select("token", "node", "place", "n").join(done, "node", "left").join(labels, "node", "left")
     parties = parties.select("token", "node", "place", "n", F.coalesce("label", "node").alias("label"), F.coalesce("crowd", "label", "node").alias("party"))
     mixed_rows = _mixed_groups(parties, ["token"], "party", "parties")
     dropped(open_)
-    dropped(crowds)
+    dropped(done)
     facts = signed.where("prefix IS NOT NULL").select("node", "n", "rare", "often").distinct()
     smallest = facts.where("rare < n").groupBy("often").agg(F.min(F.struct("n", "node")).alias("s")).select(F.col("s.node").alias("node"), F.lit(True).alias("smallest"))
     own = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("bigint")  # places up to own are in the 1-prefix
