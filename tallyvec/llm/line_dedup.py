@@ -1,21 +1,21 @@
 """Fuzzy line deduplication, with DataFrame functions only.
 
-Lines are normalised (lower-cased, without punctuation and control characters, one space between words) and get a
-64-bit SimHash of their words of over four characters, or of all words if none is that long.
-Two different normalised lines are linked if their SimHashes differ in at most BITS bits and their edit similarity
-(1 - Levenshtein distance / longer length) is at least SIMILARITY. The bits are cut into five blocks; lines within
-three bits agree on two of them at least, so they meet under one of ten pairs of blocks: no link is missed. Lines that
-are as similar by edits but differ in more bits are not linked, and these are most of the near lines (see README).
+Lines are normalised (lower-cased, punctuation and control characters taken as spaces, one space between words) and get
+a 64-bit SimHash of all their words. Two different normalised lines are linked if their SimHashes differ in at most BITS
+bits and their edit similarity (1 - Levenshtein distance / longer length) is at least SIMILARITY. The bits are cut into
+six blocks; lines within three bits agree on three of them at least, so they meet under one of twenty triples of blocks:
+no link is missed. Lines that are as similar by edits but differ in more bits are not linked (see README for how many).
 
-Lines under one key are never expanded into all pairs: each is first compared with the key's first line, then only
-lines of different components are, against the component with most of the key. Equal normalised lines are one node.
-The first occurrence of each connected group, by document id and line number, stays; all others go.
+Lines under one key are never expanded into all pairs: each is first compared with the nearest of its keys' first lines,
+then only lines of different components are, against the component with most of the key. Very frequent keys are dealt
+over several tasks. Equal normalised lines are one node. The first occurrence of each connected group, by document id
+and line number, stays; all others go.
 
 Defined results. Lines end at a newline; blank lines always stay and count as no line. A line of nothing but punctuation
 is normalised to itself, trimmed. A null text stays null. Rows that repeat both id and text are one occurrence: all of
-them keep a line or none does. Null ids come after all others. A line of over 262,143 such words is compared by equality only.
-An empty table gives no rows. Other columns are ignored by report() and kept by deduplicate(), also if their names are
-those used here. Lines are told apart by 64-bit hashes.
+them keep a line or none does. Null ids come after all others. Lines and texts may be of any length. An empty table
+gives no rows. Other columns are ignored by report() and kept by deduplicate(), also if their names are those used here.
+Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from .common import components, dropped, fresh, settle, written
 BITS = 3
 #: Least edit similarity, as a share of whole numbers.
 PERCENT = 90
-#: First bit and width of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: First bit and width of the six blocks, of which a key has three.
+BLOCKS, TOGETHER = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), 3
+#: A sketch of fixed size, of one line of SEEN, finds the most frequent keys; those of more lines are dealt over tasks, GROUP lines each.
+SEEN, TRACKED, MOST_HOT, GROUP = 16, 10_000, 1000, 20_000
 #: Bit counts are summed three to a 64-bit number, LANE bits apart; each may reach 2 ** GUARD - 1.
 LANE, GUARD = 22, 18
 _ONES = 1 | 1 << LANE | 1 << 2 * LANE
@@ -41,14 +43,15 @@ NEED_BITS = 22
 
 
 #: ASCII and Latin-1 control characters, punctuation and signs, and Unicode's general punctuation.
-_MARKS = r"[\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3001-\u3003]+"
+_SIGNS = r"\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3001-\u3003"
+_MARKS = f"[{_SIGNS}][ {_SIGNS}]*"
 
 
 _BLANK = " \t\r\x0b\x0c"
 
 
 def _plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), _MARKS, ""))
+    return F.trim(F.regexp_replace(F.lower(line), _MARKS, " "))
 
 
 def _spaced(line: Column, plain: Column) -> Column:
@@ -79,29 +82,31 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return once(lines.select("copy", "row", "doc", "line", "norm"), "node", F.xxhash64("norm"))
 
 
-def hashed(lines: DataFrame) -> DataFrame:
-    """row, doc, line, node, chars, sim of every line: votes are summed per line of each row, repeated or not, and combined before they are shuffled."""
-    some = lines.select("copy", "row", "doc", "line", "node", F.length("norm").alias("chars"), F.col("norm").rlike("[^ ]{5}").alias("long"), F.split("norm", " ").alias("words"))
-    # a line of too many words gets one without a hash, so that its sums are null
-    few = F.when(F.size("words") <= _MOST_WORDS, F.col("words")).otherwise(F.array(F.lit(None).cast("string")))
-    words = some.select("copy", "row", "doc", "line", "node", "chars", "long", F.explode(few).alias("word")).where(~F.col("long") | F.col("word").isNull() | (F.length("word") > 4))
-    h = "CASE WHEN word IS NOT NULL THEN xxhash64(word) END"
-    votes = [F.expr(f"sum(shiftrightunsigned({h}, {i}) & {_ONES}L)").alias(f"v{i}") for i in range(LANE)]
-    summed = words.groupBy("copy", "row", "doc", "line", "node", "chars").agg(F.count("*").alias("total"), *votes)
+def hashed(docs: DataFrame, doc_id: str, text: str, most: int = _MOST_WORDS) -> DataFrame:
+    """row, doc, line, node, chars, sim of every line that isn't blank: votes are summed per line of each row, repeated or not, and combined before they are shuffled. Lines of more than most words have sums of their own."""
+    by = ["copy", "row", "doc", "line", "node", "chars"]
+    words = lambda lines: lines.select("copy", "row", "doc", "line", "node", F.length("norm").alias("chars"), F.split("norm", " ").alias("words"))
+    voted = lambda some: some.select(*by, F.explode("words").alias("word")).select(*by, F.xxhash64("word").alias("h")).groupBy(*by)
+    votes = [F.expr(f"sum(shiftrightunsigned(h, {i}) & {_ONES}L)").alias(f"v{i}") for i in range(LANE)]
+    summed = voted(words(occurrences(docs, doc_id, text)).where(F.size("words") <= most)).agg(F.count("*").alias("total"), *votes)
     guard, need = f"{(1 << GUARD) * _ONES}L", f"(total div 2 + 1) * {_ONES}L"
     bits = " | ".join(f"shiftleft(shiftrightunsigned(v{i} + {guard} - {need}, {GUARD}) & {_ONES if i + 2 * LANE < 64 else 1 | 1 << LANE}L, {i})" for i in range(LANE))
-    return summed.select("row", "doc", "line", "node", "chars", F.expr(f"CASE WHEN total <= {_MOST_WORDS} THEN {bits} END").alias("sim"))
+    short = summed.select("row", "doc", "line", "node", "chars", F.expr(bits).alias("sim"))
+    wide = voted(words(occurrences(docs.where(F.length(text) > 2 * most), doc_id, text)).where(F.size("words") > most))
+    sums = wide.agg(F.count("*").alias("total"), *(F.expr(f"sum(shiftrightunsigned(h, {i}) & 1L)").alias(f"v{i}") for i in range(64)))
+    bits = " | ".join(f"shiftleft(cast(2 * v{i} > total as bigint), {i})" for i in range(64))
+    return short.union(sums.select("row", "doc", "line", "node", "chars", F.expr(bits).alias("sim")))
 
 
 def keys_of(sim: str) -> Column:
-    """The ten keys: which two blocks, and their bits."""
+    """The twenty keys: which three blocks, and their bits."""
     cut = [f"(shiftrightunsigned({sim}, {at}) & {(1 << width) - 1}L)" for at, width in BLOCKS]
-    return F.array(*(F.expr(f"{n}L * 67108864L + {cut[a]} * 8192L + {cut[b]}") for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))))
+    return F.array(*(F.expr(f"{n}L * {1 << 33}L + {cut[a]} * {1 << 22}L + {cut[b]} * {1 << 11}L + {cut[c]}") for n, (a, b, c) in enumerate(combinations(range(len(BLOCKS)), TOGETHER))))
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, table: DataFrame, needed: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, doc_id: str, text: str, inside: DataFrame, needed: DataFrame) -> DataFrame:
     """node and norm of the needed nodes, from one document each; a bit table of fixed size is broadcast, so that most other documents stop at the scan."""
-    rows = table.join(needed, "node").groupBy("node").agg(F.min("row").alias("row")).select("row").distinct()
+    rows = inside.join(needed, "node").select("row").distinct()
     keyed = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), key_of(F.col(doc_id), F.col(text)).alias("_row"))
     lines = occurrences(_passing(keyed, "_row", rows), "doc", "text")
     return lines.select("node", "norm").join(needed, "node").groupBy("node").agg(F.first("norm").alias("norm"))
@@ -127,43 +132,60 @@ def _may(sim: Column, chars: Column, other_sim: Column, other_chars: Column, bit
     return (F.bit_count(sim.bitwiseXOR(other_sim)) <= bits) & (F.least(chars, other_chars) * 100 >= F.greatest(chars, other_chars) * percent)
 
 
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """key, salt, node, pivot (the first node of the same key and salt) of the nodes that share a key with another; a very frequent key is dealt over tasks by salt, with a pivot for each. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt."""
+    keyed = nodes.select("node", F.explode(keys_of("sim")).alias("key"))
+    some = nodes.where(F.pmod("node", F.lit(SEEN)) == 0).select(F.explode(keys_of("sim")).alias("key"))
+    found = some.agg(F.expr(f"approx_top_k(key, {MOST_HOT}, {TRACKED})").alias("top")).select(F.explode("top").alias("x"))
+    hot = found.where(F.col("x.count") * SEEN > GROUP).select(F.col("x.item").alias("key"), F.ceil(F.col("x.count") * SEEN / F.lit(float(GROUP))).cast("int").alias("parts"))
+    dealt = keyed.join(F.broadcast(hot), "key", "left").select("key", "node", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("salt"))
+    group = Window.partitionBy("key", "salt").orderBy("node")
+    both = dealt.select("key", "salt", "node", F.first("node").over(group).alias("pivot"), F.lead("node").over(group).alias("next"))
+    return both.where("salt >= 0 OR pivot <> node OR next IS NOT NULL").drop("next")
+
+
 def _close(pairs: DataFrame, nodes: DataFrame, bits: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b): those whose SimHashes and lengths allow a link."""
+    """Of the pairs (a, b): those whose SimHashes and lengths allow a link, with the number of bits in which they differ."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sim").alias(f"{c}_sim"), F.col("chars").alias(f"{c}_chars"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_may(F.col("a_sim"), F.col("a_chars"), F.col("b_sim"), F.col("b_chars"), bits, percent)).select("a", "b")
+    some = both.where(_may(F.col("a_sim"), F.col("a_chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
+    return some.select("a", "b", F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))).alias("bits"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines: row, doc, line, node, chars, sim; labels: node, label of the nodes that are linked to others)."""
-    lines = occurrences(docs, doc_id, text)
-    table = written(hashed(lines), "lines")
+    table = written(hashed(docs, doc_id, text), "lines")
     settle(docs.sparkSession)
-    nodes = table.where("sim IS NOT NULL").groupBy("node").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"))
-    keyed = nodes.select("node", F.explode(keys_of("sim")).alias("key"))
-    group = Window.partitionBy("key")
-    shared = written(keyed.select("key", "node", F.min("node").over(group).alias("pivot"), F.count("*").over(group).alias("size")).where("size > 1").drop("size"), "shared")
+    nodes = written(table.groupBy("node").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min("row").alias("row")), "nodes")
+    shared = written(_grouped(nodes), "shared")
     settle(docs.sparkSession)
     inside = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "inside")
-    stars = written(_close(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), inside, bits, percent), "stars")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    near = written(_verified(stars, written(_texts(docs, doc_id, text, table, ends(stars)), "texts"), percent), "near")
+    dropped(nodes)
+    heads = shared.where("salt >= 0").select("key", "pivot").distinct()
+    across = heads.join(heads.groupBy("key").agg(F.min("pivot").alias("first")), "key").select(F.col("first").alias("a"), F.col("pivot").alias("b"))
+    met = _close(shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(across).where("a <> b").distinct(), inside, bits, percent)
+    stars = written(met.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b"), "stars")
+    near = written(_verified(stars, written(_texts(docs, doc_id, text, inside, _ends(stars)), "texts"), percent), "near")
     labels = components(near)
     known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     counted = known.groupBy("key", "label").agg(F.count("*").alias("m"))
     mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", "top")
-    open_ = written(known.join(mixed, "key"), "open")
-    facts = open_.join(inside, "node")
-    left = facts.where("label <> top").select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("sim").alias("b_sim"), F.col("chars").alias("b_chars"))
-    rest = left.join(facts, "key").where("label <> other AND (label = top OR b < node)").where(_may(F.col("sim"), F.col("chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
-    rest = written(rest.select(F.col("node").alias("a"), "b").distinct(), "rest")
-    if not rest.limit(1).count():
-        return table, labels
-    more = written(_verified(rest, written(_texts(docs, doc_id, text, table, ends(rest)), "texts"), percent), "more")
-    if more.limit(1).count():
-        dropped(labels)
-        labels = components(near.union(more))
-    for t in (shared, inside, stars, open_, rest, near, more):
+    open_ = written(known.join(mixed, "key").join(inside.drop("row"), "node"), "open")
+    dropped(shared)
+    left = open_.where("label <> top").select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("sim").alias("b_sim"), F.col("chars").alias("b_chars"))
+    rest = left.join(open_, "key").where("label <> other AND (label = top OR b < node)").where(_may(F.col("sim"), F.col("chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
+    rest = written(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "rest")
+    if rest.limit(1).count():
+        more = written(_verified(rest, written(_texts(docs, doc_id, text, inside, _ends(rest)), "texts"), percent), "more")
+        if more.limit(1).count():
+            dropped(labels)
+            labels = components(near.union(more))
+        dropped(more)
+    for t in (stars, inside, open_, rest, near):
         dropped(t)
     settle(docs.sparkSession)
     return table, labels
@@ -180,13 +202,18 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bit
     return written(gone.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("gone")), "gone")
 
 
+def _left(lines: str, gone: str) -> Column:
+    """What is left of the lines (a column) without those numbers (a column)."""
+    return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(F.col(lines), i)), "\n")
+
+
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, percent: int = PERCENT, drop_empty: bool = True) -> DataFrame:
     """The rows, with all their columns and without the lines that go; drop_empty: without rows that lost all their lines."""
-    row, gone, left = fresh(docs, "_row", "_gone", "_left")
+    row, gone, left, lines = fresh(docs, "_row", "_gone", "_left", "_lines")
     found = removals(docs, doc_id=doc_id, text=text, bits=bits, percent=percent).withColumnsRenamed({"row": row, "gone": gone})
     both = docs.withColumn(row, key_of(F.col(doc_id), F.col(text))).join(found, row, "left")
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i))
-    both = both.withColumn(left, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")))
+    both = once(both, lines, F.when(F.col(gone).isNotNull(), F.split(F.col(text), "\n", -1)))
+    both = both.withColumn(left, F.when(F.col(gone).isNull(), F.col(text)).otherwise(_left(lines, gone)))
     if drop_empty:
         both = both.where(F.col(gone).isNull() | (F.trim(F.regexp_replace(left, r"\s+", " ")) != ""))
     return both.select(*(F.col(left).alias(c) if c == text else F.col(c) for c in docs.columns))
@@ -197,7 +224,7 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     pair = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = removals(pair, bits=bits, percent=percent)
     both = pair.withColumn("row", key_of(F.col("doc_id"), F.col("text"))).join(found, "row", "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    left = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    n = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(_BLANK)) != "")).cast("bigint")  # what normalises to nothing
+    both = once(both, "lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    left = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(_left("lines", "gone"))
+    n = F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(_BLANK)) != "")).cast("bigint")  # what normalises to nothing
     return both.select("doc_id", n.alias("n_lines"), (n - F.coalesce(F.size("gone"), F.lit(0))).alias("n_kept"), F.sha2(left.cast("binary"), 256).alias("text_sha256"))

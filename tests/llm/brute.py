@@ -70,12 +70,12 @@ def near_components(rows):
 
 
 def norm_line(line):
-    w = re.sub(" {2,}", " ", re.sub(r"[\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3001-\u3003]+", "", line.lower()).strip(" "))
+    w = " ".join(re.sub(r"[\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3001-\u3003]", " ", line.lower()).strip(" ").split())
     return w or line.strip(" \t\r\x0b\x0c")
 
 
 def simhash(norm):
-    words = [w for w in norm.split(" ") if len(w) > 4] or norm.split(" ")
+    words = norm.split(" ")
     votes = [0] * 64
     for w in words:
         h = xxhash.xxh64_intdigest(w.encode(), seed=42)
@@ -93,8 +93,8 @@ def distance(a, b):
     return row[-1]
 
 
-def dedup_lines(rows):
-    """Per row (id, text): the text that is left, or None if no line is. Rows that repeat are one."""
+def dedup_lines(rows, keep_empty=False):
+    """Per row (id, text): the text that is left, or False if no line is, unless keep_empty. Rows that repeat are one."""
     g = Groups()
     norms = sorted({norm_line(x) for _, t in rows for x in (t or "").split("\n")} - {""})
     hashes = {n: simhash(n) for n in norms}
@@ -116,5 +116,5 @@ def dedup_lines(rows):
             out.append(t)
             continue
         kept = [x for i, x in enumerate(t.split("\n")) if not norm_line(x) or first[g.find(norm_line(x))] == (key(d), i)]
-        out.append(("\n".join(kept)) if kept == t.split("\n") or any(norm_line(x) for x in kept) else False)
+        out.append(("\n".join(kept)) if keep_empty or kept == t.split("\n") or any(norm_line(x) for x in kept) else False)
     return out
