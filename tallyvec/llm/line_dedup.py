@@ -1,7 +1,7 @@
 """Fuzzy line deduplication, with DataFrame functions only.
 
-Lines are normalised (lower-cased, punctuation and control characters taken as spaces, one space between words) and get
-a 64-bit SimHash of all their words. Two different normalised lines are linked if their SimHashes differ in at most BITS
+Lines are normalised (lower-cased, without the marks that end or wrap words, other marks and control characters taken as
+spaces, one space between words) and get a 64-bit SimHash of all their words. Two different normalised lines are linked if their SimHashes differ in at most BITS
 bits and their edit similarity (1 - Levenshtein distance / longer length) is at least SIMILARITY. The bits are cut into
 six blocks; lines within three bits agree on three of them at least, so they meet under one of twenty triples of blocks:
 no link is missed. Lines that are as similar by edits but differ in more bits are not linked (see README for how many).
@@ -42,16 +42,14 @@ _MOST_WORDS = (1 << GUARD) - 1
 NEED_BITS = 22
 
 
-#: ASCII and Latin-1 control characters, punctuation and signs, and Unicode's general punctuation.
-_SIGNS = r"\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3001-\u3003"
-_MARKS = f"[{_SIGNS}][ {_SIGNS}]*"
-
-
+#: Marks that end or wrap words are dropped; control characters and other ASCII, Latin-1 and general marks part words.
+_DROPPED = "!\"'(),.:;?[]`{}\xA1\xAB\xB7\xBB\xBF\u2018\u2019\u201A\u201C\u201D\u201E\u2026\u2039\u203A\u3001\u3002"
+_PARTING = "".join(c for a, b in ((0, 31), (33, 47), (58, 64), (91, 96), (123, 191), (0x2010, 0x2027), (0x2030, 0x205E), (0x3003, 0x3003)) for c in map(chr, range(a, b + 1)) if c not in _DROPPED and c not in "\xAA\xB5\xBA")
 _BLANK = " \t\r\x0b\x0c"
 
 
 def _plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), _MARKS, " "))
+    return F.trim(F.translate(F.lower(line), _PARTING + _DROPPED, " " * len(_PARTING)))
 
 
 def _spaced(line: Column, plain: Column) -> Column:

@@ -70,8 +70,10 @@ def near_components(rows):
 
 
 def norm_line(line):
-    w = " ".join(re.sub(r"[\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3001-\u3003]", " ", line.lower()).strip(" ").split())
-    return w or line.strip(" \t\r\x0b\x0c")
+    dropped = "!\"'(),.:;?[]`{}¡«·»¿‘’‚“”„…‹›、。"
+    w = re.sub(f"[{re.escape(dropped)}]", "", line.lower())
+    w = " ".join(re.sub(r"[\x00-\x1F!-/:-@\[-`{-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2010-\u2027\u2030-\u205E\u3003]", " ", w).strip(" ").split(" ")).strip()
+    return re.sub(" {2,}", " ", w) or line.strip(" \t\r\x0b\x0c")
 
 
 def simhash(norm):
