@@ -130,16 +130,22 @@ def _may(sim: Column, chars: Column, other_sim: Column, other_chars: Column, bit
     return (F.bit_count(sim.bitwiseXOR(other_sim)) <= bits) & (F.least(chars, other_chars) * 100 >= F.greatest(chars, other_chars) * percent)
 
 
-def _grouped(nodes: DataFrame) -> DataFrame:
-    """key, salt, node, pivot (the first node of the same key and salt) of the nodes that share a key with another; a very frequent key is dealt over tasks by salt, with a pivot for each. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt."""
-    keyed = nodes.select("node", F.explode(keys_of("sim")).alias("key"))
+def _grouped(nodes: DataFrame, percent: int) -> DataFrame:
+    """key (of blocks, and of a run of lengths that a link can bridge), salt, node, pivot (the first node of the same key and salt) of the nodes that share a key with another; a very frequent key is dealt over tasks by salt, with a pivot for each. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt."""
+    keyed = nodes.select("node", "chars", F.explode(keys_of("sim")).alias("key"))
     some = nodes.where(F.pmod("node", F.lit(SEEN)) == 0).select(F.explode(keys_of("sim")).alias("key"))
     found = some.agg(F.expr(f"approx_top_k(key, {MOST_HOT}, {TRACKED})").alias("top")).select(F.explode("top").alias("x"))
     hot = found.where(F.col("x.count") * SEEN > GROUP).select(F.col("x.item").alias("key"), F.ceil(F.col("x.count") * SEEN / F.lit(float(GROUP))).cast("int").alias("parts"))
-    dealt = keyed.join(F.broadcast(hot), "key", "left").select("key", "node", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("salt"))
-    group = Window.partitionBy("key", "salt").orderBy("node")
-    both = dealt.select("key", "salt", "node", F.first("node").over(group).alias("pivot"), F.lead("node").over(group).alias("next"))
-    return both.where("salt >= 0 OR pivot <> node OR next IS NOT NULL").drop("next")
+    dealt = keyed.join(F.broadcast(hot), "key", "left").select("key", "node", "chars", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("salt"))
+    # by length; a line that is too long for the one before it starts a run of its own
+    group = Window.partitionBy("key", "salt").orderBy("chars", "node")
+    starts = F.coalesce(F.lag("chars").over(group) * 100 < F.col("chars") * percent, F.lit(True))
+    both = dealt.withColumn("starts", starts)
+    pivot = F.last(F.when(F.col("starts"), F.struct("node", "chars")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.select("key", "salt", "node", pivot.alias("pivot"), F.coalesce(F.lead("starts").over(group), F.lit(True)).alias("ends"))
+    alone = (F.col("pivot.node") == F.col("node")) & F.col("ends") & (F.col("salt") < 0)
+    run = F.when(F.col("salt") < 0, F.xxhash64("key", "pivot.chars")).otherwise(F.col("key"))
+    return both.where(~alone).select(run.alias("key"), "salt", "node", F.col("pivot.node").alias("pivot"))
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, bits: int, percent: int) -> DataFrame:
@@ -159,7 +165,7 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     table = written(hashed(docs, doc_id, text), "lines")
     settle(docs.sparkSession)
     nodes = written(table.groupBy("node").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min("row").alias("row")), "nodes")
-    shared = written(_grouped(nodes), "shared")
+    shared = written(_grouped(nodes, percent), "shared")
     settle(docs.sparkSession)
     inside = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "inside")
     dropped(nodes)
@@ -169,21 +175,36 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     stars = written(met.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b"), "stars")
     near = written(_verified(stars, written(_texts(docs, doc_id, text, inside, _ends(stars)), "texts"), percent), "near")
     labels = components(near)
-    known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    counted = known.groupBy("key", "label").agg(F.count("*").alias("m"))
-    mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", "top")
-    open_ = written(known.join(mixed, "key").join(inside.drop("row"), "node"), "open")
-    dropped(shared)
-    left = open_.where("label <> top").select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("sim").alias("b_sim"), F.col("chars").alias("b_chars"))
-    rest = left.join(open_, "key").where("label <> other AND (label = top OR b < node)").where(_may(F.col("sim"), F.col("chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
-    rest = written(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "rest")
-    if rest.limit(1).count():
+    # what the pivots didn't settle: first one candidate for each line and component, then all that are still apart
+    tried = stars
+    for last in (False, True):
+        known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        counted = known.groupBy("key", "label").agg(F.count("*").alias("m"))
+        mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", "top")
+        open_ = written(known.join(mixed, "key").join(inside.drop("row"), "node"), "open")
+        left = open_.where("label <> top").select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("sim").alias("b_sim"), F.col("chars").alias("b_chars"))
+        rest = left.join(open_, "key").where("label <> other AND (label = top OR b < node)").where(_may(F.col("sim"), F.col("chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
+        apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("b_sim")))
+        if not last:
+            rest = rest.groupBy("b", "label").agg(F.min(F.struct(apart.alias("bits"), F.col("node").alias("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")
+        else:
+            rest = rest.select(F.col("node").alias("a"), "b")
+        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = written(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+        dropped(open_)
+        if not rest.limit(1).count():
+            break
         more = written(_verified(rest, written(_texts(docs, doc_id, text, inside, _ends(rest)), "texts"), percent), "more")
+        before, tried = tried, written(tried.select("a", "b").union(rest), "tried")
+        dropped(before)
+        dropped(rest)
         if more.limit(1).count():
+            before, near = near, written(near.union(more), "near")
+            dropped(before)
             dropped(labels)
-            labels = components(near.union(more))
+            labels = components(near)
         dropped(more)
-    for t in (stars, inside, open_, rest, near):
+    for t in (shared, tried, inside, near):
         dropped(t)
     settle(docs.sparkSession)
     return table, labels
