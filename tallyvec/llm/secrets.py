@@ -8,7 +8,9 @@ margin, and no less likely than the labelled credentials themselves.
 
 Defined results. A null text counts as empty and has no spans. Positions are code points, ends exclusive. Spans of one
 kind never overlap; spans of different kinds may, as a hex token assigned to a keyword is both. Without labelled
-credentials nothing is added to the fixed patterns. Repeated rows each give a row. Other columns are ignored.
+credentials nothing is added to the fixed patterns. Repeated rows each give a row. Other columns are ignored. Texts and
+runs may be of any length and are read whole; formats are learned from labelled values of SHORTEST to LONGEST characters.
+Equal likelihoods are no margin: such a run is ordinary. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
 #: Labelled values of each kind, and ordinary runs, that a fit reads at most.
 SAMPLE = 1500
+#: Lengths of the labelled values that formats are learned from; whole values are read, and candidates of any length scored.
+SHORTEST, LONGEST = 12, 512
 #: Confidence of the merging test; margin in nats over the ordinary model; share of labelled values below the format's floor.
 ALPHA, MARGIN, TAIL = 0.05, 8.0, 0.01
 
@@ -101,19 +105,22 @@ MISS = -9.0
 
 
 def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
-    """Merge compatible states of the prefix tree, shallow ones first."""
+    """Merge compatible states of the prefix tree, shallow ones first. Every edge keeps its own count, and merged edges add theirs up."""
     kids: list[dict[str, int]] = [{}]
+    uses: list[dict[str, int]] = [{}]
     through, ends = [0], [0]
     for word in words:
         at = 0
         through[0] += 1
-        for c in symbols(word)[:64]:
+        for c in symbols(word):
             to = kids[at].get(c)
             if to is None:
                 to = kids[at][c] = len(kids)
                 kids.append({})
+                uses.append({})
                 through.append(0)
                 ends.append(0)
+            uses[at][c] = uses[at].get(c, 0) + 1
             at = to
             through[at] += 1
         ends[at] += 1
@@ -129,11 +136,10 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
             if differ(ends[a], through[a], ends[b], through[b]):
                 return False
             for c in kids[a].keys() | kids[b].keys():
-                x, y = kids[a].get(c), kids[b].get(c)
-                if differ(through[x] if x is not None else 0, through[a], through[y] if y is not None else 0, through[b]):
+                if differ(uses[a].get(c, 0), through[a], uses[b].get(c, 0), through[b]):
                     return False
-                if x is not None and y is not None and x != y:
-                    stack.append((x, y))
+                if c in kids[a] and c in kids[b] and kids[a][c] != kids[b][c]:
+                    stack.append((kids[a][c], kids[b][c]))
         return True
 
     def merge(p: int, q: int) -> None:
@@ -144,44 +150,37 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
             through[a] += through[b]
             ends[a] += ends[b]
             for c, y in kids[b].items():
+                uses[a][c] = uses[a].get(c, 0) + uses[b][c]
                 if c in kids[a]:
                     stack.append((kids[a][c], y))
                 else:
                     kids[a][c] = y
 
-    red, at = [0], 0
+    red, place = [0], {0: 0}
     blue = [(0, c) for c in sorted(kids[0])]
     while blue:
         parent, c = blue.pop(0)
-        q = kids[parent].get(c)
-        if q is None or q in red:
+        q = kids[parent][c]
+        if q in place:
             continue
         for p in red:
             if compatible(p, q):
                 kids[parent][c] = p
                 merge(p, q)
-                blue = [(r, x) for r in red for x in sorted(kids[r]) if kids[r][x] not in red]
+                blue = [(r, x) for r in red for x in sorted(kids[r]) if kids[r][x] not in place]
                 break
         else:
+            place[q] = len(red)
             red.append(q)
             blue += [(q, x) for x in sorted(kids[q])]
-        at += 1
-    number = {s: i for i, s in enumerate(red)}
     model = Automaton()
     for s in red:
-        total = through[s] + len(kids[s]) + 1
-        model.moves.append({c: (number[t], math.log((_flow(through, kids, ends, s, c) + 1) / total)) for c, t in kids[s].items()})
+        total = ends[s] + sum(uses[s].values()) + len(kids[s]) + 1
+        model.moves.append({c: (place[t], math.log((uses[s][c] + 1) / total)) for c, t in kids[s].items()})
         model.ends.append(math.log((ends[s] + 1) / total))
     return model
 
 
-def _flow(through: list[int], kids: list[dict[str, int]], ends: list[int], s: int, c: str) -> float:
-    """Visits of s that go on by c: known for tree edges, shared evenly among the rest that loop back."""
-    own = {x: through[t] for x, t in kids[s].items()}
-    total, left = sum(own.values()), max(0, through[s] - ends[s])
-    return own[c] * left / total if total else 0.0
-
-
 @dataclass
 class Model:
     formats: dict[str, Automaton] = field(default_factory=dict)
@@ -202,6 +201,10 @@ def train(labelled: dict[str, list[str]], ordinary: list[str], tail: float = TAI
             scores = sorted(automaton.scored(v)[1] - 1e-9 for v in values)
             automaton.floor = scores[int(tail * len(scores))]
             model.formats[kind] = automaton
+    # ordinary runs have no labels: those that are likelier as credentials aren't taken for ordinary ones
+    likelier = lambda x: any(a.scored(x)[1] >= a.floor and a.likelihood(x) > model.ordinary.likelihood(x) for a in model.formats.values())
+    if (rest := [x for x in ordinary if not likelier(x)]) and len(rest) < len(ordinary):
+        model.ordinary = infer(sorted(rest))
     return model
 
 
@@ -211,13 +214,13 @@ def _labelled(text: str) -> list[tuple[str, str]]:
     out = []
     for s, k, e in base:
         run = ASSIGN.match(text, s)[2] if k == 0 else text[s:e]
-        if len(run) >= 12:
+        if len(run) >= SHORTEST:
             out.append((KINDS[k], run))
     return out + [("", text[s:e]) for s, e in _candidates(text, base)]
 
 
-def fit(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Model:
-    """From a bounded sample of the distinct values that the fixed patterns label, those of smallest hash for each kind."""
+def fit(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """From a bounded sample of the distinct values, of at most longest characters, that the fixed patterns label: those of smallest hash for each kind."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -225,7 +228,7 @@ def fit(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Model:
             found = {x for body in batch.column(0).to_pylist() if body for x in _labelled(body)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["kind", "value"])
 
-    values = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, value string").where(F.length("value") <= 512)
+    values = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, value string").where(F.length("value") <= longest)
     labelled: dict[str, list[str]] = {}
     smallest = values.groupBy("kind", (F.xxhash64("value") % 4096).alias("bucket")).agg(F.min_by("value", F.struct(F.xxhash64("value", F.lit(7)), "value")).alias("value"))
     for row in smallest.collect():
@@ -247,11 +250,11 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans for each document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format for each document."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"]
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"]
 
     def run(batches):
         for batch in batches:
@@ -263,6 +266,6 @@ def scan(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "
                 base = _joined([x for x in found if x[1] < 3])
                 digests.append(hashlib.sha256(base.encode()).hexdigest())
                 joined.append(_joined(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in counts[:3]), pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(counts[3], pa.int64())], names=names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_format bigint, base_sha256 string, spans string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_format bigint")

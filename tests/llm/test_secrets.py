@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -44,3 +45,30 @@ def test_merged_states_of_a_regular_format():
     r = random.Random(3)
     model = S.infer(["".join(r.choice("0123456789") for _ in range(12)) for _ in range(500)])
     assert model.likelihood("123456789012") > model.likelihood("12345678901x") + 3
+
+
+def test_probabilities_are_those_of_the_source():
+    """Every character is a digit nine times of ten, wherever it stands: one state, with these shares on its edges."""
+    r = random.Random(4)
+    words = ["".join(r.choice("0123456789") if r.random() < 0.9 else r.choice("ghjkmnpqrstuvwxyz") for _ in range(r.randint(12, 40))) for _ in range(1500)]
+    model = S.infer(words)
+    state = 0
+    for c in S.symbols(words[0][:10]):
+        state, share = model.moves[state][c]
+        assert abs(math.exp(share) - (0.9 if c == "0" else 0.05)) < 0.08, c
+    for moves, end in zip(model.moves, model.ends):
+        assert sum(math.exp(x) for _, x in moves.values()) + math.exp(end) <= 1 + 1e-9
+
+
+def test_planted_formats_without_keyword(spark):
+    """Two formats that are labelled by keyword in some documents are found bare in others; ordinary look-alikes aren't."""
+    r = random.Random(6)
+    key = lambda: "gk_" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+    number = lambda: "-".join("".join(r.choice("0123456789ABCDEF") for _ in range(5)) for _ in range(5))
+    plain = lambda: f"www.page{r.randint(1, 99)}.example.com/articles/{r.choice(['one', 'two', 'three'])}-{r.randint(100, 999)}"
+    rows = [(i, f"set token={r.choice([key, number])()} then see {plain()} ok") for i in range(800)]
+    bare = [(1000 + i, f"bare {r.choice([key, number])()} here") for i in range(100)]
+    clean = [(2000 + i, f"read {plain()} today") for i in range(100)]
+    docs = spark.createDataFrame(rows + bare + clean, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.n_format for x in S.scan(docs, S.fit(docs)).collect()}
+    assert sum(got[d] == 1 for d, _ in bare) >= 95 and sum(got[d] for d, _ in clean) == 0
