@@ -1,7 +1,8 @@
 """Benchmark decontamination: a generalised suffix automaton of the items' words, streamed over every document.
 
 Defined results. Words are maximal runs of digits, a-z (A-Z lower-cased) and characters from U+0080 on. A null or
-empty text has no words, isn't hit and is kept. An item without words never occurs. Repeated items count by item_id,
+empty text has no words, isn't hit and is kept. An item without words never occurs. An item with a null id
+hits words like any other, but isn't counted or listed. Repeated items count by item_id,
 repeated documents each give a row. An empty benchmark hits nothing, empty documents give no rows. Other columns of
 the inputs are ignored by annotate() and kept by decontaminate().
 """
@@ -155,7 +156,7 @@ def blocks(items: DataFrame, item_id: str, text: str, window: int, block_words:
     """Automata over the items, each of a bounded number of words; only one block is on the driver at a time."""
     kept, n = [], 0
     for name, body in items.select(F.col(item_id).cast("string"), F.col(text).cast("binary")).toLocalIterator():
-        if name is not None and (words := words_of(bytes(body) if body is not None else None)):
+        if words := words_of(bytes(body) if body is not None else None):
             kept.append((name, words))
             n += len(words)
             if n >= block_words:
@@ -171,6 +172,7 @@ def _hits(text: bytes | None, automata: list) -> tuple[int, list[list[int]], set
     for automaton in automata:
         more, names = automaton.value.hits(words)
         spans, found = spans + more, found | names
+    found.discard(None)  # an item without id: its words are hit, but it has no name to list
     if len(automata) > 1:
         merged: list[list[int]] = []
         for s, e in sorted(spans):

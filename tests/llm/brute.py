@@ -24,7 +24,7 @@ def contamination(text, items):
         for k in range(len(w) - n + 1):
             if n and tuple(w[k : k + n]) in windows:
                 hit |= set(range(k, k + n))
-                found.add(str(name))
+                found |= {str(name)} if name is not None else set()
     return len(w), hit, sorted(found)
 
 

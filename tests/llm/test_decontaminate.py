@@ -16,7 +16,8 @@ def _case(seed):
         if r.random() < 0.6:
             text += "\n" + r.choice(items)[1].upper() + "; " + say(r.randint(0, 30))
         docs.append((d, text))
-    return docs, items
+    items.append((None, say(15)))
+    return [*docs, (40, f"so {items[-1][1]} it is")], items
 
 
 def test_same_as_brute_force_in_one_or_several_blocks(spark):
