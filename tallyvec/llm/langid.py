@@ -172,17 +172,19 @@ def phrases(texts: list[str | None], model: Model, codes: np.ndarray) -> tuple[n
 
 
 def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """From a bounded sample: per language the sample_rows rows of smallest hash, of each an equal share of sample_chars."""
+    """From a bounded sample: per language whole texts, in order of their rows' hashes, of at most sample_rows rows and as many as sample_chars characters take (of the last, or only, text what is left of these)."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     count = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    chosen = rows.select("k", "l").withColumn("r", rank).where(F.col("r") <= sample_rows).select("k", "r", F.col("l").alias("l2")).collect()
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("l").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = rows.select("k", "l", F.length("t").alias("n")).withColumn("r", rank).where(F.col("r") <= sample_rows).withColumn("before", before)
+    chosen = first.where(F.col("before") < sample_chars).select("k", "r", F.col("l").alias("l2")).collect()
     if not chosen:
         return Model()
     spark = labelled.sparkSession
     key = rows.schema["k"].dataType.simpleString()
     ids = spark.createDataFrame([(r.k, r.r, r.l2) for r in chosen], f"k {key}, r int, l2 string")
-    got = rows.join(F.broadcast(ids), "k").where("l = l2").select("l", "r", F.substring("t", 1, sample_chars // sample_rows).alias("t")).collect()
+    got = rows.join(F.broadcast(ids), "k").where("l = l2").select("l", "r", F.substring("t", 1, sample_chars).alias("t")).collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(got, key=lambda x: (x.l, x.r, x.t)):
         samples.setdefault(row.l, []).append(row.t)
