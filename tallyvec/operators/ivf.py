@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..sources import shared
 from . import knn
 
 CLUSTERS, PROBES, DRAWS = 256, 16, 50_000
@@ -28,8 +29,11 @@ def lcg_sample(spark, n: int, draws: int = DRAWS) -> DataFrame:
 
 
 def numbered(references: DataFrame) -> DataFrame:
-    """references with pos, their place by idx from 0: places within sorted ranges, and the ranges' sizes before them."""
-    ranged = references.repartitionByRange("idx").sortWithinPartitions("idx").withColumn("_at", F.monotonically_increasing_id())
+    """references with pos, their place by idx from 0: places within sorted ranges, and the ranges' sizes before them.
+
+    The ranged rows are written once: another run of a range exchange may sample other bounds.
+    """
+    ranged = shared.written(references.repartitionByRange("idx").sortWithinPartitions("idx").withColumn("_at", F.monotonically_increasing_id()), "numbered")
     sizes = ranged.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return ranged.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part").withColumn("pos", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")

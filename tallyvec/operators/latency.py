@@ -23,7 +23,9 @@ def parse_trace(lines: DataFrame) -> DataFrame:
     """lines: (source, line_no, value). The fields of well-formed trace lines with a request id; later sources and lines win."""
     at = F.instr("value", TRACE_START)
     body = F.trim(F.col("value").substr(at, F.length("value")))
-    parsed = lines.where(at > 0).select("source", "line_no", F.from_json(body, schemas.TRACE, {"mode": "PERMISSIVE"}).alias("t")).select("source", "line_no", "t.*")
+    # the object must end its line: with text after it, what is wrapped around it can't be read to its end
+    whole = F.from_json(F.concat(F.lit('{"t":'), body, F.lit(',"end":true}')), f"t struct<{schemas.TRACE}>, end boolean", {"mode": "PERMISSIVE"})
+    parsed = lines.where(at > 0).select("source", "line_no", F.explode(F.array(whole)).alias("w")).where("w.end").select("source", "line_no", "w.t.*")
     kept = parsed.where(F.coalesce("req_id", F.lit("")) != "")
     return last_wins(kept, ["source", "line_no"]).drop("line_no", "kind")
 

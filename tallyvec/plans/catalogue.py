@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features, transport, vectors
 from ..operators import ivf, knn, latency, scoring
+from ..sources import shared
 from ..streaming import jobs
 from . import inputs, oracles
 
@@ -265,11 +266,9 @@ def rolling_features(spark, d):
 
 
 def _stream_paths(spark):
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyvec-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
     return f"{path}/out", f"{path}/state"
 
 

@@ -140,3 +140,23 @@ def test_scores_beyond_what_is_carried(spark, monkeypatch):
         got = run()
         assert got.dtypes == want.dtypes and sorted(got.collect()) == rows and rows
         monkeypatch.undo()
+
+
+def test_positions_of_many_shuffled_rows(spark):
+    """Positions are those of a plain sort, however the ranges fall."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 3_000_000, 3, 16).select(F.col("id").alias("idx")).repartition(16, F.xxhash64("idx"))
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert ivf.numbered(rows).where("pos * 3 <> idx").count() == 0
+        assert ivf.numbered(rows).count() == 1_000_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_trace_lines_end_with_their_object(spark):
+    good = '{"kind":"req_trace","req_id":"a","t_total_us":5}'
+    rows = [("s", 0, "x " + good), ("s", 1, good.replace('"a"', '"b"') + " trailing"), ("s", 2, good.replace('"a"', '"c"') + "}"), ("s", 3, good.replace('"a"', '"d"') + "  "), ("s", 4, good.replace('"a"', '"e"')[:-1])]
+    lines = spark.createDataFrame(rows, "source string, line_no bigint, value string")
+    assert sorted(r.req_id for r in latency.parse_trace(lines).collect()) == ["a", "d"]
