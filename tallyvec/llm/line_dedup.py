@@ -6,7 +6,7 @@ bits and their edit similarity (1 - Levenshtein distance / longer length) is at
 six blocks; lines within three bits agree on three of them at least, so they meet under one of twenty triples of blocks:
 no link is missed. Lines that are as similar by edits but differ in more bits are not linked (see README for how many).
 
-Lines under one key are never expanded into all pairs: each is first compared with the nearest of its keys' first lines,
+Lines under one key are never expanded into all pairs: each is first compared with the nearest of its keys' pivots, their most repeated lines,
 then only lines of different components are, against the component with most of the key. Very frequent keys are dealt
 over several tasks. Equal normalised lines are one node. The first occurrence of each connected group, by document id
 and line number, stays; all others go.
@@ -131,7 +131,7 @@ def _may(sim: Column, chars: Column, other_sim: Column, other_chars: Column, bit
 
 
 def _grouped(nodes: DataFrame, percent: int) -> DataFrame:
-    """key (of blocks, and of a run of lengths that a link can bridge), salt, node, pivot (the first node of the same key and salt) of the nodes that share a key with another; a very frequent key is dealt over tasks by salt, with a pivot for each. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt."""
+    """key (of blocks, and of a run of lengths that a link can bridge), salt, node of the nodes that share a key with another; a very frequent key is dealt over tasks by salt. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt."""
     keyed = nodes.select("node", "chars", F.explode(keys_of("sim")).alias("key"))
     some = nodes.where(F.pmod("node", F.lit(SEEN)) == 0).select(F.explode(keys_of("sim")).alias("key"))
     found = some.agg(F.expr(f"approx_top_k(key, {MOST_HOT}, {TRACKED})").alias("top")).select(F.explode("top").alias("x"))
@@ -141,11 +141,17 @@ def _grouped(nodes: DataFrame, percent: int) -> DataFrame:
     group = Window.partitionBy("key", "salt").orderBy("chars", "node")
     starts = F.coalesce(F.lag("chars").over(group) * 100 < F.col("chars") * percent, F.lit(True))
     both = dealt.withColumn("starts", starts)
-    pivot = F.last(F.when(F.col("starts"), F.struct("node", "chars")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = both.select("key", "salt", "node", pivot.alias("pivot"), F.coalesce(F.lead("starts").over(group), F.lit(True)).alias("ends"))
-    alone = (F.col("pivot.node") == F.col("node")) & F.col("ends") & (F.col("salt") < 0)
-    run = F.when(F.col("salt") < 0, F.xxhash64("key", "pivot.chars")).otherwise(F.col("key"))
-    return both.where(~alone).select(run.alias("key"), "salt", "node", F.col("pivot.node").alias("pivot"))
+    first = F.last(F.when(F.col("starts"), F.struct("node", "chars")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.select("key", "salt", "node", first.alias("first"), F.coalesce(F.lead("starts").over(group), F.lit(True)).alias("ends"))
+    alone = (F.col("first.node") == F.col("node")) & F.col("ends") & (F.col("salt") < 0)
+    run = F.when(F.col("salt") < 0, F.xxhash64("key", "first.chars")).otherwise(F.col("key"))
+    return both.where(~alone).select(run.alias("key"), "salt", "node")
+
+
+def _with_pivots(runs: DataFrame, inside: DataFrame) -> DataFrame:
+    """runs with pivot: of the same key and salt the line that occurs most often, as what others were copied from does, or else any."""
+    group = Window.partitionBy("key", "salt").orderBy(F.desc("n"), F.xxhash64("node"), "node")
+    return runs.join(inside.select("node", "n"), "node").select("key", "salt", "node", F.first("node").over(group).alias("pivot"))
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, bits: int, percent: int) -> DataFrame:
@@ -164,11 +170,13 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     """(lines: row, doc, line, node, chars, sim; labels: node, label of the nodes that are linked to others)."""
     table = written(hashed(docs, doc_id, text), "lines")
     settle(docs.sparkSession)
-    nodes = written(table.groupBy("node").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min("row").alias("row")), "nodes")
-    shared = written(_grouped(nodes, percent), "shared")
+    nodes = written(table.groupBy("node").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min("row").alias("row"), F.count("*").alias("n")), "nodes")
+    runs = written(_grouped(nodes, percent), "runs")
     settle(docs.sparkSession)
-    inside = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "inside")
+    inside = written(nodes.join(runs.select("node").distinct(), "node", "left_semi"), "inside")
     dropped(nodes)
+    shared = written(_with_pivots(runs, inside), "shared")
+    dropped(runs)
     heads = shared.where("salt >= 0").select("key", "pivot").distinct()
     across = heads.join(heads.groupBy("key").agg(F.min("pivot").alias("first")), "key").select(F.col("first").alias("a"), F.col("pivot").alias("b"))
     met = _close(shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(across).where("a <> b").distinct(), inside, bits, percent)
@@ -181,7 +189,7 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
         known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         counted = known.groupBy("key", "label").agg(F.count("*").alias("m"))
         mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", "top")
-        open_ = written(known.join(mixed, "key").join(inside.drop("row"), "node"), "open")
+        open_ = written(known.join(mixed, "key").join(inside.drop("row", "n"), "node"), "open")
         left = open_.where("label <> top").select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("sim").alias("b_sim"), F.col("chars").alias("b_chars"))
         rest = left.join(open_, "key").where("label <> other AND (label = top OR b < node)").where(_may(F.col("sim"), F.col("chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
         apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("b_sim")))
