@@ -1,12 +1,18 @@
 """Language ID by cross-parsing entropy.
 
 Each language gets a suffix automaton of labelled text. A text is parsed greedily into the longest pieces that the
-automaton knows; the language that needs the fewest phrases wins. Texts are normalised: letters lower-cased, anything
-else a single space. For vectorised parsing, a text is parsed in segments of SEGMENT characters; all of it is read.
+automaton knows. Languages differ in how much text they got, so phrases are normalised: each counts as the bits that
+name a place in its language's text. The language that needs the fewest normalised phrases wins. Letters are
+lower-cased, anything else is a single space. A text is parsed whole: its segments of SEGMENT codes are first parsed side
+by side, then again from where the one before ended until that changes nothing, so that phrases cross segments.
+
+Every letter of the labelled texts is told apart: the most frequent are one code, all others three; letters that occur
+in no labelled text are one code together.
 
 Defined results. A null text, or one without any letter, is `und` with score 0. Ties go to the language with more
 labelled rows, then by name. Without any labelled text all rows are `und`. Rows without language or text teach nothing.
-Repeated rows each give a row; other columns are ignored by predict() and kept by reject().
+Texts may be of any length. An empty table gives no rows. Repeated rows each give a row; other columns are ignored by
+predict() and kept by reject().
 """
 
 from __future__ import annotations
@@ -25,8 +31,12 @@ from .common import prepare
 
 #: Labelled rows per language, and characters of them, that a fit reads at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
+#: Characters that a fit reads of all languages together; with more than ten, each has an equal part of them. Bounds the broadcast.
+ALL_CHARS = 400_000
 SEGMENT = 512
-SPACE, OTHER, PAD, WIDTH = 0, 1, 63, 64
+#: Rounds of parsing segments side by side; what isn't settled then is parsed one code after another.
+ROUNDS = 8
+SPACE, OTHER, SINGLE, LEAD, PAD, WIDTH = 0, 1, 2, 55, 63, 64
 
 
 def _letters() -> np.ndarray:
@@ -49,15 +59,17 @@ def letters() -> np.ndarray:
 
 @dataclass
 class Model:
-    """codes: of code points below its size (else OTHER if a letter); table[state * WIDTH + code]: next state << 6, plus 1 if a phrase ended."""
+    """alphabet: of letters, up to three codes in the bytes of a number; table[state * WIDTH + code]: next state << 6, plus 1 if a phrase ended; weights: bits of a phrase."""
 
     languages: list[str] = field(default_factory=list)
     alphabet: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
     roots: list[int] = field(default_factory=list)
+    weights: np.ndarray | None = None
 
     def codes(self) -> np.ndarray:
-        out = np.where(letters() == 1, OTHER, SPACE).astype(np.uint8)
+        """Of every code point."""
+        out = np.where(letters() == 1, OTHER, SPACE).astype(np.uint32)
         for c, k in self.alphabet.items():
             out[ord(c)] = k
             if len(c.upper()) == 1 and c.upper().lower() == c:
@@ -112,26 +124,91 @@ def normalised(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+def _alphabet(seen: Counter) -> dict[str, int]:
+    """Single codes for the most frequent letters; three, the first of them at least LEAD, for the others."""
+    out, singles = {}, LEAD - SINGLE
+    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
+        if i < singles:
+            out[c] = SINGLE + i
+        elif i < singles + (PAD - LEAD) * PAD * PAD:
+            low, rest = (i - singles) % PAD, (i - singles) // PAD
+            out[c] = LEAD + rest // PAD | (rest % PAD) << 8 | low << 16
+    return out
+
+
+def spelled(packed: np.ndarray) -> np.ndarray:
+    """The codes one after another."""
+    packed = np.asarray(packed, np.uint32)
+    many = (packed & 255) >= LEAD
+    if not many.any():
+        return packed.astype(np.uint8)
+    size = np.where(many, 3, 1)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    out[at] = packed & 255
+    out[at[many] + 1] = packed[many] >> 8 & 255
+    out[at[many] + 2] = packed[many] >> 16
+    return out
+
+
 def train(samples: dict[str, list[str]], rows: dict[str, int], max_chars: int = SAMPLE_CHARS) -> Model:
-    """A model of these labelled texts; rows: how many labelled rows each language has."""
+    """A model of these labelled texts, of max_chars codes for each language; rows: how many labelled rows each language has."""
     samples = {k: [normalised(x) for x in v if x] for k, v in samples.items()}
     samples = {k: v for k, v in samples.items() if any(v)}
     if not samples:
         return Model()
     seen = Counter(c for v in samples.values() for x in v for c in x if c != " ")
-    alphabet = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: PAD - 2])}
-    model, tables, base = Model(alphabet=alphabet), [], 0
+    alphabet = _alphabet(seen)
+    model, tables, weights, base = Model(alphabet=alphabet), [], [], 0
     for name in sorted(samples, key=lambda k: (-rows.get(k, 0), k)):
         body = " ".join(samples[name])[:max_chars]
-        nxt = _substrings([SPACE if c == " " else alphabet.get(c, OTHER) for c in body])
+        codes = spelled([SPACE if c == " " else alphabet.get(c, OTHER) for c in body])[:max_chars].tolist()
+        nxt = _substrings(codes)
+        weights.append(np.log2(len(codes) + 1))
         tables.append(_table(nxt, base))
         model.languages.append(name)
         model.roots.append(base << 6)
         base += len(nxt)
     model.table = np.concatenate(tables).reshape(-1)
+    model.weights = np.array(weights)
     return model
 
 
+def _run(table: np.ndarray, steps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that begin in each lane (a column), and the states at their ends."""
+    state, begun, flag = starts.copy(), np.zeros_like(starts), np.empty_like(starts)
+    for row in steps:
+        np.add(state, row, out=state)
+        np.take(table, state, out=state, mode="clip")
+        np.bitwise_and(state, 1, out=flag)
+        np.add(begun, flag, out=begun)
+        np.subtract(state, flag, out=state)
+    return begun, state
+
+
+def _parsed(table: np.ndarray, steps: np.ndarray, root: int, follows: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each lane; follows: it goes on with the text of the lane before."""
+    starts = np.full(steps.shape[1], root, np.int32)
+    begun, ends = _run(table, steps, starts)
+    for _ in range(ROUNDS):
+        again = np.flatnonzero(follows & (np.roll(ends, 1) != starts))
+        if not len(again):
+            return begun
+        starts[again] = ends[again - 1]
+        begun[again], ends[again] = _run(table, np.ascontiguousarray(steps[:, again]), starts[again])
+    view = memoryview(table)
+    for lane in np.flatnonzero(follows):
+        if starts[lane] != ends[lane - 1]:
+            starts[lane] = ends[lane - 1]
+            state, n = int(starts[lane]), 0
+            for c in steps[:, lane].tolist():
+                state = view[state + c]
+                n += state & 1
+                state &= -2
+            begun[lane], ends[lane] = n, state
+    return begun
+
+
 def phrases(texts: list[str | None], model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrases by text and language, and which texts have a letter."""
     n = len(texts)
@@ -148,6 +225,7 @@ def phrases(texts: list[str | None], model: Model, codes: np.ndarray) -> tuple[n
         if not len(c):
             continue
         lettered[i] = True
+        c = spelled(c)
         lanes = -(-len(c) // SEGMENT)
         padded = np.full(lanes * SEGMENT, PAD, np.uint8)
         padded[: len(c)] = c
@@ -156,25 +234,17 @@ def phrases(texts: list[str | None], model: Model, codes: np.ndarray) -> tuple[n
     if pieces and model.languages:
         steps = np.ascontiguousarray(np.concatenate(pieces).reshape(-1, SEGMENT).T).astype(np.int32)
         owner = np.array(owner)
-        state, done = np.empty(steps.shape[1], np.int32), np.empty(steps.shape[1], np.int32)
-        flag = np.empty_like(done)
+        follows = np.append(False, owner[1:] == owner[:-1])
         for k, root in enumerate(model.roots):
-            state[:] = root
-            done[:] = 1
-            for row in steps:
-                np.add(state, row, out=state)
-                np.take(model.table, state, out=state, mode="clip")
-                np.bitwise_and(state, 1, out=flag)
-                np.add(done, flag, out=done)
-                np.subtract(state, flag, out=state)
-            counts[:, k] = np.bincount(owner, done, n).astype(np.int64)
+            counts[:, k] = np.bincount(owner, _parsed(model.table, steps, root, follows), n).astype(np.int64) + lettered
     return counts, lettered
 
 
-def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """From a bounded sample: per language whole texts, in order of their rows' hashes, of at most sample_rows rows and as many as sample_chars characters take (of the last, or only, text what is left of these)."""
+def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, all_chars: int = ALL_CHARS) -> Model:
+    """From a bounded sample: per language whole texts, in order of their rows' hashes, of at most sample_rows rows and as many as sample_chars characters take (of the last, or only, text what is left of these); of all languages at most all_chars, in equal parts."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     count = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sample_chars = max(1, min(sample_chars, all_chars // max(1, len(count))))
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("l").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = rows.select("k", "l", F.length("t").alias("n")).withColumn("r", rank).where(F.col("r") <= sample_rows).withColumn("before", before)
@@ -195,9 +265,11 @@ def _predicted(texts: list[str | None], model: Model, codes: np.ndarray) -> tupl
     counts, lettered = phrases(texts, model, codes)
     if not model.languages:
         return ["und"] * len(texts), [0.0] * len(texts)
-    best = counts.argmin(1)
-    least = np.sort(counts, axis=1)
-    score = least[:, 1] / np.maximum(least[:, 0] + least[:, 1], 1) if counts.shape[1] > 1 else np.ones(len(texts))
+    bits = counts * model.weights
+    best = bits.argmin(1)
+    least = np.sort(bits, axis=1)
+    total = least[:, :2].sum(1)
+    score = least[:, 1] / np.where(total > 0, total, 1) if bits.shape[1] > 1 else np.ones(len(texts))
     return [model.languages[b] if ok else "und" for b, ok in zip(best, lettered)], [float(s) if ok else 0.0 for s, ok in zip(score, lettered)]
 
 
@@ -214,7 +286,7 @@ def _runner(docs: DataFrame, model: Model):
 
 
 def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (second fewest phrases over the two fewest together) for each row."""
+    """doc_id, lang_pred, score (second fewest normalised phrases over the two fewest together) for each row."""
     prepare(docs.sparkSession)
     predicted = _runner(docs, model)
     kind = docs.schema[doc_id].dataType.simpleString()

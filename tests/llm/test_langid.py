@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from tallyvec.llm import langid as L
 
 
@@ -29,6 +32,46 @@ def test_phrases_are_those_of_a_plain_greedy_parse():
         assert lettered[0]
 
 
+def test_phrases_cross_segments(monkeypatch):
+    r = random.Random(5)
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    en, de = ["the", "cat", "sat", "on", "mats"], ["der", "hund", "saß", "auf", "dem"]
+    samples = {"en": [say(en, 300)], "de": [say(de, 200)]}
+    model = L.train(samples, {"en": 2, "de": 1})
+    codes = model.codes()
+    texts = [say(en + de, 700), say(en, 1500), None, "q" * 3000, "", "the " * 2000 + "x", samples["en"][0] * 3, "a" * 512, "a" * 513]
+    body = {k: [model.alphabet.get(c, L.OTHER) if c != " " else L.SPACE for c in v[0]] for k, v in samples.items()}
+    for rounds in (8, 1, 0):
+        monkeypatch.setattr(L, "ROUNDS", rounds)
+        counts, _ = L.phrases(texts, model, codes)
+        for i, text in enumerate(texts):
+            own = [model.alphabet.get(c, L.OTHER) if c != " " else L.SPACE for c in text or ""]
+            assert counts[i].tolist() == [_greedy(own, body[k]) if text else 0 for k in model.languages]
+
+
+def test_all_learned_letters_are_told_apart():
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    alphabet = L._alphabet(Counter(letters))
+    assert len(set(alphabet.values())) == 3000
+    spelled = [tuple(L.spelled([alphabet[c]]).tolist()) for c in letters]
+    assert len(set(spelled)) == 3000 and {len(x) for x in spelled} == {1, 3}
+    assert all((x[0] >= L.LEAD) == (len(x) == 3) and max(x) < L.PAD for x in spelled)
+    # two languages of one script without a letter in common, of unequal amounts of text
+    r = random.Random(6)
+    say = lambda some, n: " ".join("".join(r.choices(some, k=4)) for _ in range(n))
+    a, b = letters[::2][:400], letters[1::2][:400]
+    model = L.train({"a": [say(a, 2000)], "b": [say(b, 300)]}, {"a": 2, "b": 1})
+    got, scores = L._predicted([say(a, 50), say(b, 50), "123"], model, model.codes())
+    assert got == ["a", "b", "und"] and all(0 <= x <= 1 for x in scores)
+
+
+def test_phrases_are_normalised_by_the_amount_of_text():
+    model = L.train({"x": ["abab" * 1000], "y": ["ab"]}, {"x": 1, "y": 1})
+    assert model.weights[0] > model.weights[1]
+    bits = L.phrases(["ab"], model, model.codes())[0][0] * model.weights
+    assert L._predicted(["ab"], model, model.codes())[0] == [model.languages[bits.argmin()]] == ["y"]
+
+
 def test_predictions_edges_and_extra_columns(spark):
     en, fr = "the people of the town were there and then they went with them ", "les gens de la ville étaient là et puis ils sont partis avec eux "
     rows = [(1, en * 20, "en"), (2, fr * 20, "fr"), (3, en, "en"), (4, None, "en"), (5, "", None), (6, "123 !!", "fr"), (7, fr + "!", None), (7, fr + "!", None), (None, en.upper() * 5000, None)]
