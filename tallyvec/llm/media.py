@@ -8,11 +8,13 @@ back takes a payload's own chunks from its body, fetches the others by a join on
 Only payloads that share chunks, or occur several times, are shuffled; the rest are stored by the task that reads them.
 A bit table of fixed size says at the scan which are surely alone; if it mistakes one, that one is shuffled too.
 
-The stored form (media) of a payload: MAGIC, its length and chunk count, digest and length of each chunk, then the
-chunks' 8-bit samples in order.
+The stored form (media) of a payload: its head (MAGIC, its length and chunk count, digest and length of each chunk),
+which is stored with it, then its chunks' 8-bit samples in order, each of which is stored in its owner's body. The store
+holds these bytes as they are; only Parquet compresses them. Reading back takes head and samples from the store.
 
 Defined results. A null text counts as empty; an empty text is 64 bytes 0. Equal texts are stored once and give equal
-values. Repeated rows each give a row. An empty table gives no rows. Other columns are ignored.
+values. Repeated rows each give a row. Texts may be of any length that a row may have. Of several places of one chunk,
+the least key and place owns it. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,17 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def media(data: bytes, parts: list[bytes], digests: list[bytes]) -> bytes:
-    return MAGIC + struct.pack("<QI", len(data), len(parts)) + b"".join(d + struct.pack("<I", len(p)) for d, p in zip(digests, parts)) + b"".join(parts)
+def head(data: bytes, parts: list[bytes], digests: list[bytes]) -> bytes:
+    return MAGIC + struct.pack("<QI", len(data), len(parts)) + b"".join(d + struct.pack("<I", len(p)) for d, p in zip(digests, parts))
+
+
+def recipe(stored: bytes) -> tuple[int, list[bytes], list[int]]:
+    """Of a stored head: the payload's length, its chunks' digests and lengths."""
+    length, n = struct.unpack_from("<QI", stored, len(MAGIC))
+    pairs = list(struct.iter_unpack("<16sI", stored[len(MAGIC) + 12 :]))
+    if not stored.startswith(MAGIC) or len(pairs) != n or sum(size for _, size in pairs) != length:
+        raise ValueError("a stored head is not one of a payload")
+    return length, [d for d, _ in pairs], [size for _, size in pairs]
 
 
 def features(data: bytes, n_chunks: int) -> str:
@@ -129,14 +139,18 @@ def _manifest(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, key binary, digests array<binary>")
 
 
-_STORE = "key binary, digests array<binary>, sizes array<int>, refs array<int>, offers array<int>, body binary"
-_STORE_ARROW = pa.schema([("key", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("refs", pa.list_(pa.int32())), ("offers", pa.list_(pa.int32())), ("body", pa.binary())])
+_STORE = "key binary, head binary, refs array<int>, offers array<int>, body binary"
+_STORE_ARROW = pa.schema([("key", pa.binary()), ("head", pa.binary()), ("refs", pa.list_(pa.int32())), ("offers", pa.list_(pa.int32())), ("body", pa.binary())])
 
 
-def _stored(data: bytes, key: bytes, refs: list[int], offers: list[int], pack) -> tuple:
+def _stored(data: bytes, key: bytes, refs: list[int], offers: list[int]) -> tuple:
     parts = chunks(data)
     other = set(refs)
-    return key, [digest(c) for c in parts], [len(c) for c in parts], refs, offers, pack.compress(b"".join(c for i, c in enumerate(parts) if i not in other))
+    return key, head(data, parts, [digest(c) for c in parts]), refs, offers, b"".join(c for i, c in enumerate(parts) if i not in other)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _STORE_ARROW.types)] if rows else [pa.array([], t) for t in _STORE_ARROW.types], schema=_STORE_ARROW)
 
 
 def store(docs: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,56 +159,54 @@ def store(docs: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = spark.sparkContext.broadcast(bit_table(roles, "key", NEED_BITS))
 
     def scan(batches):
-        pack, seen = zstandard.ZstdCompressor(3), set()
+        seen = set()
         for batch in batches:
             rows = []
             for body in batch.column(0).to_pylist():
                 data = payload(body)
                 key = hashlib.sha256(data).digest()
                 if not in_bits(held.value, key, NEED_BITS):
-                    rows.append(_stored(data, key, [], [], pack))
+                    rows.append(_stored(data, key, [], []))
                 elif key not in seen:
                     if len(seen) > _LIMIT:
                         seen.clear()
                     seen.add(key)
-                    rows.append((key, None, None, None, None, pack.compress(data)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _STORE_ARROW.types)] if rows else [pa.array([], t) for t in _STORE_ARROW.types], schema=_STORE_ARROW)
+                    rows.append((key, None, None, None, data))
+            yield _batch(rows)
 
     def divided(batches):
-        pack, unpack = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = [_stored(unpack.decompress(body), key, refs or [], offers or [], pack) for key, body, refs, offers in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _STORE_ARROW.types)] if rows else [pa.array([], t) for t in _STORE_ARROW.types], schema=_STORE_ARROW)
+            yield _batch([_stored(data, key, refs or [], offers or []) for key, data, refs, offers in zip(*(c.to_pylist() for c in batch.columns))])
 
-    first = written(docs.select("text").mapInArrow(scan, _STORE), "store", "uncompressed")
-    shared = first.where("digests IS NULL").groupBy("key").agg(F.first("body").alias("body")).join(roles, "key", "left").select("key", "body", "refs", "offers")
-    second = written(shared.mapInArrow(divided, _STORE), "store", "uncompressed")
-    return first.where("digests IS NOT NULL").union(second), first
+    first = written(docs.select("text").mapInArrow(scan, _STORE), "store", "zstd")
+    shared = first.where("head IS NULL").groupBy("key").agg(F.first("body").alias("body")).join(roles, "key", "left").select("key", "body", "refs", "offers")
+    second = written(shared.mapInArrow(divided, _STORE), "store", "zstd")
+    return first.where("head IS NOT NULL").union(second), first
 
 
 def read_back(kept: DataFrame) -> DataFrame:
     """key and values of every payload, gathered from the store and verified against its key."""
 
     def offered(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             names, parts = [], []
-            for digests, sizes, refs, offers, body in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                data, at, other, wanted = unpack.decompress(body), 0, set(refs), set(offers)
+            for stored, refs, offers, body in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                _, digests, sizes = recipe(stored)
+                at, other, wanted = 0, set(refs), set(offers)
                 for i, n in enumerate(sizes):
                     if i not in other:
                         if i in wanted:
                             names.append(digests[i])
-                            parts.append(data[at : at + n])
+                            parts.append(body[at : at + n])
                         at += n
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(parts, pa.binary())], names=["digest", "part"])
 
     def gathered(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for key, digests, sizes, refs, _, body, found in zip(*(c.to_pylist() for c in batch.columns)):
-                own, at, got, parts, other = unpack.decompress(body), 0, {x["at"]: x["part"] for x in found or []}, [], set(refs)
+            for key, stored, refs, _, own, found in zip(*(c.to_pylist() for c in batch.columns)):
+                length, digests, sizes = recipe(stored)
+                at, got, parts, other = 0, {x["at"]: x["part"] for x in found or []}, [], set(refs)
                 for i, n in enumerate(sizes):
                     if i in other:
                         parts.append(got[i])
@@ -203,9 +215,9 @@ def read_back(kept: DataFrame) -> DataFrame:
                         at += n
                 data = b"".join(parts)
                 sha = hashlib.sha256(data)
-                if sha.digest() != key or any(digest(p) != d for p, d in zip(parts, digests)):
+                if len(data) != length or sha.digest() != key or any(digest(p) != d for p, d in zip(parts, digests)):
                     raise ValueError(f"payload {key.hex()} was not read back as stored")
-                form = media(data, parts, digests)
+                form = stored + data
                 for column, value in zip(out, (key, len(data), sha.hexdigest(), zlib.crc32(data[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(data, len(parts)))):
                     column.append(value)
             types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -213,7 +225,9 @@ def read_back(kept: DataFrame) -> DataFrame:
 
     schema = "key binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     parts = kept.where(F.size("offers") > 0).mapInArrow(offered, "digest binary, part binary")
-    wanted = kept.where(F.size("refs") > 0).select("key", F.explode("refs").alias("at"), "digests").select("key", "at", F.element_at("digests", F.col("at") + 1).alias("digest"))
+    at = len(MAGIC) + 12
+    place = F.lit(at + 1) + F.col("at") * F.lit(20)  # in the head, each chunk has a digest of 16 bytes and its length
+    wanted = kept.where(F.size("refs") > 0).select("key", F.explode("refs").alias("at"), "head").select("key", "at", F.col("head").substr(place, F.lit(16)).alias("digest"))
     found = wanted.join(parts, "digest").groupBy("key").agg(F.collect_list(F.struct("at", "part")).alias("found"))
     whole = kept.where(F.size("refs") == 0).withColumn("found", F.lit(None).cast("array<struct<at:int,part:binary>>")).mapInArrow(gathered, schema)
     return whole.union(kept.where(F.size("refs") > 0).join(found, "key", "left").select(*kept.columns, "found").mapInArrow(gathered, schema))

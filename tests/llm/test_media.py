@@ -62,10 +62,39 @@ def test_every_chunk_is_stored_once(spark):
     rows = _rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "cast(text AS binary) AS text").repartition(3)
     kept, _ = M.store(docs, M.roles_of(M._manifest(docs)))
-    stored = [d for r in kept.collect() for i, d in enumerate(r.digests) if i not in set(r.refs)]
+    stored = [d for r in kept.collect() for i, d in enumerate(M.recipe(r.head)[1]) if i not in set(r.refs)]
     every = {M.digest(c) for _, t in rows for c in M.chunks(M.payload((t or "").encode()))}
     assert len(stored) == len(every) == len({bytes(x) for x in stored})
 
 
+def test_the_media_are_the_bytes_in_the_store(spark):
+    rows = _rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "cast(text AS binary) AS text").repartition(3)
+    kept, _ = M.store(docs, M.roles_of(M._manifest(docs)))
+    stored, samples = kept.collect(), {}
+    for r in stored:
+        _, digests, sizes = M.recipe(r.head)
+        at = 0
+        for i, (d, n) in enumerate(zip(digests, sizes)):
+            if i not in set(r.refs):
+                samples[d] = bytes(r.body[at : at + n])
+                at += n
+        assert at == len(r.body)
+    forms = {bytes(r.key): bytes(r.head) + b"".join(samples[d] for d in M.recipe(r.head)[1]) for r in stored}
+    got = {bytes(r.key): r for r in M.read_back(kept).collect()}
+    assert {k: (len(f), hashlib.sha256(f).hexdigest()) for k, f in forms.items()} == {k: (r.media_bytes, r.media_sha256) for k, r in got.items()}
+    assert all(hashlib.sha256(f[16 + 20 * len(M.recipe(f[: len(f) - got[k].payload_bytes])[1]) :]).hexdigest() == got[k].payload_sha256 for k, f in forms.items())
+
+
+def test_a_broken_store_is_noticed(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, b"some text " * 200)], "doc_id bigint, text binary")
+    kept, _ = M.store(docs, M.roles_of(M._manifest(docs)))
+    broken = kept.selectExpr("key", "head", "refs", "offers", "cast(concat('x', substring(cast(body AS string), 2)) AS binary) AS body")
+    with pytest.raises(Exception, match="not read back as stored"):
+        M.read_back(broken).collect()
+
+
 def test_empty(spark):
     assert M.columns(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
