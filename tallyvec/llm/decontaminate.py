@@ -1,27 +1,35 @@
 """Benchmark decontamination: a generalised suffix automaton of the items' words, streamed over every document.
 
+An automaton holds a bounded number of item words, in compact arrays. Documents pass by one automaton at a time; with
+more items than one holds, the hits so far are written to the shared folder between two passes, so that no worker, nor
+the driver, ever has two.
+
 Defined results. Words are maximal runs of digits, a-z (A-Z lower-cased) and characters from U+0080 on. A null or
 empty text has no words, isn't hit and is kept. An item without words never occurs. An item with a null id
 hits words like any other, but isn't counted or listed. Repeated items count by item_id,
-repeated documents each give a row. An empty benchmark hits nothing, empty documents give no rows. Other columns of
+repeated documents each give a row; items that share a window all occur where it does. Texts and items may be of any
+length (an item of more words than an automaton takes has one of its own). An empty benchmark hits nothing, empty documents give no rows. Other columns of
 the inputs are ignored by annotate() and kept by decontaminate().
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import prepare
+from .common import dropped, fresh, prepare, written
 
 WINDOW = 13
 #: contaminated: hit, and the hit words are at least this share (hit * SHARE >= words).
 SHARE = 20
-#: Words of items in one automaton; further items go to further automata, streamed one after another.
-BLOCK_WORDS = 1_000_000
+#: Words of items in one automaton; further items go to further automata, each a pass of its own.
+BLOCK_WORDS = 500_000
 
 #: Bytes of words stay, A-Z lower-cased; all else separates. UTF-8 bytes from 0x80 on are parts of characters from U+0080 on.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -48,6 +56,7 @@ class SuffixAutomaton:
                 path.append(last)
             whole.append((name, ids))
         self._mark(whole)
+        self._pack()
 
     def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.next.append(nxt)
@@ -86,20 +95,29 @@ class SuffixAutomaton:
             if self.length[s] >= self.window:
                 up = self.link[s]
                 self.window_state[s] = self.window_state[up] if self.length[up] >= self.window else s
-        self.items: list[set[str]] = [set() for _ in range(n)]
+        self.items: dict[int, set[str]] = {}
         own: dict[int, list[tuple[int, str]]] = {}
         for name, ids in whole:
             state = length = 0
             for w in ids:
                 state, length = self.step(state, length, w)
                 if length >= self.window:
-                    self.items[self.window_state[state]].add(name)
+                    self.items.setdefault(self.window_state[state], set()).add(name)
             if 0 < len(ids) < self.window:
                 own.setdefault(state, []).append((len(ids), name))
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * n
+        self.short: dict[int, tuple[tuple[int, str], ...]] = {}
         if own:
             for s in order:
-                self.short[s] = (*own.get(s, ()), *self.short[self.link[s]])
+                if all_short := (*own.get(s, ()), *self.short.get(self.link[s], ())):
+                    self.short[s] = all_short
+
+    def _pack(self) -> None:
+        """Most states have one transition: those are kept in two arrays, the root's and the others' in dictionaries."""
+        self.word = array("i", (next(iter(moves)) if s and len(moves) == 1 else -1 for s, moves in enumerate(self.next)))
+        self.to = array("i", (next(iter(moves.values())) if s and len(moves) == 1 else -1 for s, moves in enumerate(self.next)))
+        self.many = {s: moves for s, moves in enumerate(self.next) if not s or len(moves) > 1}
+        self.link, self.length, self.window_state = array("i", self.link), array("i", self.length), array("i", self.window_state)
+        del self.next
 
     def step(self, state: int, length: int, w: int) -> tuple[int, int]:
         """The longest suffix of the words so far that some item contains."""
@@ -112,34 +130,29 @@ class SuffixAutomaton:
 
     def hits(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Merged [start, end) word spans inside occurrences, and the items that occur."""
-        nxt, link, lengths, window, short, at = self.next, self.link, self.length, self.window, self.short, self.window_state
-        root, state, length = nxt[0], 0, 0
+        word, only, many, link, lengths, window, short, at = self.word, self.to, self.many, self.link, self.length, self.window, self.short, self.window_state
+        state = length = 0
         spans: list[list[int]] = []
         found: set[str] = set()
         for i, w in enumerate(map(self.vocab.get, words)):
             if w is None:
                 state = length = 0
                 continue
-            to = nxt[state].get(w)
-            if to is None:
-                while state:
-                    state = link[state]
-                    to = nxt[state].get(w)
-                    if to is not None:
-                        break
+            while True:
+                if word[state] == w:
+                    state = only[state]
+                    break
+                if state in many and (to := many[state].get(w)) is not None:
+                    state = to
+                    break
+                state = link[state]  # the root has every word
                 length = lengths[state]
-                if to is None:
-                    to = root.get(w)
-                    if to is None:
-                        state = length = 0
-                        continue
-            state = to
             length += 1
             reach = 0
             if length >= window:
                 reach = window
                 found |= self.items[at[state]]
-            if short[state]:
+            if state in short:
                 for n, name in short[state]:
                     if n <= length:
                         reach = max(reach, n)
@@ -166,68 +179,75 @@ def blocks(items: DataFrame, item_id: str, text: str, window: int, block_words:
         yield SuffixAutomaton(kept, window)
 
 
-def _hits(text: bytes | None, automata: list) -> tuple[int, list[list[int]], set[str]]:
-    words = words_of(text)
-    spans, found = [], set()
-    for automaton in automata:
-        more, names = automaton.value.hits(words)
-        spans, found = spans + more, found | names
-    found.discard(None)  # an item without id: its words are hit, but it has no name to list
-    if len(automata) > 1:
-        merged: list[list[int]] = []
-        for s, e in sorted(spans):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e])
-        spans = merged
-    return len(words), spans, found
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
 
 
-def _automata(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> list:
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(a) for a in blocks(items, item_id, item_text, window, block_words)]
+_ADDED = (T.LongType(), T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType()))
+_ADDED_ARROW = (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()))
 
 
-def annotate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, spans (merged [start, end) word positions), items (sorted ids as strings), contaminated."""
-    prepare(docs.sparkSession)
-    automata = _automata(docs, items, item_id, item_text, window, block_words)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, spans array<array<bigint>>, items array<string>, contaminated boolean"
-    into = pa.list_(pa.list_(pa.int64()))
+def _pass(docs: DataFrame, text: str, added: list[str], automaton: SuffixAutomaton | None, first: bool) -> DataFrame:
+    """docs with the added columns: number of words, spans and items so far, with those of this automaton."""
+    place, width = docs.columns.index(text), len(docs.columns) - (0 if first else len(added))
+    schema = T.StructType([*docs.schema.fields[:width], *(T.StructField(name, kind) for name, kind in zip(added, _ADDED))])
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches):
         for batch in batches:
-            n, spans, names, bad = [], [], [], []
-            for body in batch.column(1).to_pylist():
-                words, own, found = _hits(body, automata)
-                hit = sum(e - s for s, e in own)
-                n.append(words)
-                spans.append(own)
-                names.append(sorted(found))
-                bad.append(hit > 0 and share * hit >= words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, into), pa.array(names, pa.list_(pa.string())), pa.array(bad, pa.bool_())], names=["doc_id", "n_words", "spans", "items", "contaminated"])
+            before = repeat(([], [])) if first else zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist())
+            n, spans, names = [], [], []
+            for body, (known, listed) in zip(batch.column(place).cast(pa.binary()).to_pylist(), before):
+                words = words_of(body)
+                own, found = shared.value.hits(words) if shared.value else ([], set())
+                found.discard(None)  # an item without id: its words are hit, but it has no name to list
+                n.append(len(words))
+                spans.append(_merged(known + own) if known else own)
+                names.append(sorted(found.union(listed)))
+            values = [pa.array(v, t) for v, t in zip((n, spans, names), _ADDED_ARROW)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *values], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[str]]:
+    """docs with three more columns, and their names: number of words, merged [start, end) word positions that are hit, sorted ids (as strings) of the items that occur."""
+    prepare(docs.sparkSession)
+    added = fresh(docs, "_words", "_spans", "_items")
+    out = tables = None
+    for automaton in blocks(items, item_id, item_text, window, block_words):
+        if out is not None:
+            before, tables = tables, written(out, "hits")
+            if before is not None:
+                dropped(before)
+        out = _pass(docs if out is None else tables, text, added, automaton, out is None)
+    return (_pass(docs, text, added, None, True) if out is None else out), added
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
+def _hit(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x[1] - x[0])
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without those whose hit words reach the coverage limit; all others unchanged, with all their columns."""
-    prepare(docs.sparkSession)
-    automata = _automata(docs, items, item_id, item_text, window, block_words)
-    place = docs.columns.index(text)
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for body in batch.column(place).cast(pa.binary()).to_pylist():
-                words, own, _ = _hits(body, automata)
-                hit = sum(e - s for s, e in own)
-                keep.append(not (hit > 0 and share * hit >= words))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+def _bad(words: str, spans: str, share: int) -> Column:
+    return (F.size(spans) > 0) & (_hit(spans) * share >= F.col(words))
+
 
-    return docs.mapInArrow(run, docs.schema)
+def annotate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", share: int = SHARE, **options) -> DataFrame:
+    """Per document: doc_id, n_words, spans (merged [start, end) word positions), items (sorted ids as strings), contaminated."""
+    rows, (words, spans, names) = hits(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")), items, **options)
+    return rows.select("doc_id", F.col(words).alias("n_words"), F.col(spans).alias("spans"), F.col(names).alias("items"), _bad(words, spans, share).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", share: int = SHARE, **options) -> DataFrame:
+    """The documents without those whose hit words reach the coverage limit; all others unchanged, with all their columns."""
+    rows, (words, spans, _) = hits(docs, items, text=text, **options)
+    return rows.where(~_bad(words, spans, share)).select(*docs.columns)
 
 
 def cut_spans(text: str | None, spans: list[list[int]]) -> str | None:
@@ -249,25 +269,19 @@ def cut_spans(text: str | None, spans: list[list[int]]) -> str | None:
 
 def remove_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", min_span: int = WINDOW, **options) -> DataFrame:
     """Every document with the spans of at least min_span words cut out of its text; the rest of each row unchanged."""
-    prepare(docs.sparkSession)
-    window = options.get("window", WINDOW)
-    automata = _automata(docs, items, options.get("item_id", "item_id"), options.get("item_text", "text"), window, options.get("block_words", BLOCK_WORDS))
-    place = docs.columns.index(text)
+    rows, (words, spans, names) = hits(docs, items, text=text, **options)
+    place, at = docs.columns.index(text), rows.columns.index(spans)
 
     def run(batches):
         for batch in batches:
-            bodies = batch.column(place).to_pylist()
-            for i, body in enumerate(bodies):
-                _, own, _ = _hits(body.encode() if body else None, automata)
-                bodies[i] = cut_spans(body, [x for x in own if x[1] - x[0] >= min_span])
+            bodies = [cut_spans(body, [x for x in own if x[1] - x[0] >= min_span]) for body, own in zip(batch.column(place).to_pylist(), batch.column(at).to_pylist())]
             yield batch.set_column(place, batch.schema.field(place), pa.array(bodies, batch.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).drop(words, spans, names)
 
 
 def digest(df: DataFrame) -> DataFrame:
     """The contract's columns of annotate()."""
-    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x[1] - x[0])
-    return df.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return df.select("doc_id", "n_words", _hit("spans").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 

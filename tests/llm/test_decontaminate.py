@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tallyvec.llm import decontaminate as D
 
 from . import brute
@@ -30,15 +32,20 @@ def test_same_as_brute_force_in_one_or_several_blocks(spark):
             got = D.annotate(df, bench, block_words=block).collect()
             want = sorted((str(d), *brute.contamination(t, items)[:1], sorted(brute.contamination(t, items)[1]), brute.contamination(t, items)[2], brute.contaminated(t, items)) for d, t in docs)
             assert sorted((str(r.doc_id), r.n_words, [p for s, e in r.spans for p in range(s, e)], list(r["items"]), r.contaminated) for r in got) == want
-        kept = D.decontaminate(df, bench)
-        assert kept.schema == df.schema
-        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t in docs if not brute.contaminated(t, items))
+            kept = D.decontaminate(df, bench, block_words=block)
+            assert kept.schema == df.schema
+            assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t in docs if not brute.contaminated(t, items))
 
 
 def test_remove_spans_cuts_only_the_words(spark):
     item = " ".join(f"a{i}" for i in range(13))
     df = spark.createDataFrame([(1, f"Keep this, {item.upper()}! And that."), (2, "Nothing é here"), (3, None)], "doc_id bigint, text string")
-    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    for block in (10**6, 1):
+        bench = spark.createDataFrame([(1, item), (2, "some other words of a short item")], "item_id bigint, text string")
+        cut = D.remove_spans(df.withColumn("_spans", F.lit("x")), bench, block_words=block)
+        assert cut.columns == ["doc_id", "text", "_spans"] and {r._spans for r in cut.collect()} == {"x"}
+        assert {r.doc_id: r.text for r in cut.collect()} == {1: "Keep this, ! And that.", 2: "Nothing é here", 3: None}
+    bench = bench.where("item_id = 1")
     assert {r.doc_id: r.text for r in D.remove_spans(df, bench).collect()} == {1: "Keep this, ! And that.", 2: "Nothing é here", 3: None}
 
 
