@@ -28,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_table, components, dropped, fresh, in_bits, prepare, settle, written
@@ -461,21 +461,24 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     own = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("bigint")  # places up to own are in the 1-prefix
     # a prefix that reaches frequent shingles is matched on one shingle; all rarer ones are joined as they are
     bound = F.when(F.col("rare") < own + most, F.lit(1)).otherwise(F.least(F.lit(most), F.ceil(F.col("n") * percent / F.lit(100)))).cast("int")
-    open_ = mixed_rows.join(facts.select("node", "rare"), "node").join(smallest, "node", "left").withColumns({"own": own, "bound": bound})
+    # whatever a set shares with sets of other parties is in its rows: up to a place, at most the rows so far are common
+    alive = F.row_number().over(Window.partitionBy("node").orderBy("place"))
+    reach = mixed_rows.withColumn("alive", alive).where(F.col("alive") + F.col("n") - F.col("place") - 1 >= F.ceil(F.col("n") * percent / F.lit(100)))
+    open_ = reach.join(facts.select("node", "rare"), "node").join(smallest, "node", "left").withColumns({"own": own, "bound": bound})
     scans = open_.groupBy("node").agg(F.max("bound").alias("bound"), *(F.sum(F.when(F.col("place") <= F.col("own") + i - 1, F.col("df") - 1).otherwise(0)).alias(f"scan{i}") for i in range(1, most + 1)))
     costs = F.array(*(F.struct((F.when(F.col("bound") >= i, F.col(f"scan{i}") * (1 + F.lit(float(COMPARE)) / i)).otherwise(F.lit(float("inf")))).alias("cost"), F.lit(i).alias("need")) for i in range(1, most + 1)))
     rows = written(open_.drop("bound").join(scans.select("node", F.array_min(costs)["need"].alias("need")), "node"), "rows")
     settle(spark)
-    left = rows.select("token", F.col("node").alias("a"), F.col("place").alias("p"), "n", F.col("label").alias("label_"), F.col("party").alias("party_"), F.col("need").alias("need_"), F.col("own").alias("own_"), F.col("rare").alias("rare_"), F.col("party") == F.col("top"))
+    left = rows.select("token", F.col("node").alias("a"), F.col("place").alias("p"), "n", F.col("label").alias("label_"), F.col("party").alias("party_"), F.col("need").alias("need_"), F.col("own").alias("own_"), F.col("rare").alias("rare_"), F.col("alive").alias("alive_"), F.col("party") == F.col("top"))
     left = left.toDF(*left.columns[:-1], "in_top")
-    right = rows.select("token", F.col("node").alias("b"), F.col("place").alias("q"), F.col("n").alias("m"), "label", "party", "top", "need", "own", "rare", "smallest")
+    right = rows.select("token", F.col("node").alias("b"), F.col("place").alias("q"), F.col("n").alias("m"), "label", "party", "top", "need", "own", "rare", "alive", "smallest")
     least = F.least("need", "need_")
 
     def shared_places(left: DataFrame, right: DataFrame, once: str) -> DataFrame:
         """Shingles that two of different components have in their prefixes; each once for a pair."""
         both = left.join(right, "token").where(f"label <> label_ AND party <> party_ AND {once}").where((F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100))
         both = both.where((F.col("p") <= F.col("own_") + least - 1) & (F.col("q") <= F.col("own") + least - 1))
-        both = both.where(F.least("p", "q") + 1 + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= _least_common("n", "m", percent))
+        both = both.where(F.least("alive", "alive_") + F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1) >= _least_common("n", "m", percent))
         return both.select("a", "b", "n", "m", "p", "q", least.alias("least"))
 
     def candidates(places: DataFrame) -> DataFrame:
