@@ -9,7 +9,9 @@ are compared exactly.
 Groups of documents that share a prefix shingle are never expanded into all pairs. Exact copies count once; every
 member is first compared with the group's pivot; then only members of different components that share shingles are
 candidates, against the component that has most of the group. Of the many unsettled members of a crowd around one
-component, only those are that share shingles which the smallest of the crowd lacks. Shingles that very many documents share (far over the
+component, only those are that share shingles which the pivot of the crowd lacks. Up to a shingle's place, two sets can
+share no more than either has of shingles that occur in other components too: pairs that can't reach the similarity by
+this are dropped in the join. Shingles that very many documents share (far over the
 usual bucket count) come last in the order. Two sets that are similar without sharing a rarer one share frequent ones
 only; then each is also similar to the smallest set with the other's frequent shingles, and those two are similar, so
 that for frequent shingles only these smallest sets are partners. None of this loses a link that joins components.
@@ -17,8 +19,8 @@ that for frequent shingles only these smallest sets are partners. None of this l
 Defined results. Words are runs of characters other than ASCII white space, A-Z lower-cased. A text of fewer than five
 words is one shingle; one without words, or null, has an empty set and only itself as component. Repeated rows and
 repeated ids are documents of their own, ids of a component count once; a null id is never the smallest. An empty table
-gives no rows. Other columns are ignored by join() and kept by keep_first(). Shingles and sets are told apart by 64-bit
-hashes, and so are rows by keep_first(), which keeps exactly one of each component.
+gives no rows. Other columns are ignored by join() and kept by keep_first(). Texts may be of any length.
+Shingles and sets are told apart by 64-bit hashes, and so are rows by keep_first(), which keeps exactly one of each component.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ column expression over the statistics.
 
 Defined results. A null text counts as empty; an empty text has all statistics 0 and is scored like any other. Labels
 that are null, or belong to no document, teach nothing; with labels of one value only, or none, the score is the share
-of label 1 (0.5 without labels). Several labels of one document each count. Repeated rows each give a row. Other columns
+of label 1 (0.5 without labels). Several labels of one document each count. Repeated rows each give a row. Texts may be of any
+length and are read whole. A score that equals the threshold is predicted 1. An empty table gives no rows. Other columns
 are ignored.
 """
 

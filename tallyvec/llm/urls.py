@@ -2,13 +2,15 @@
 
 Labelled page outcomes are shrunk through beta-binomial priors: a suffix's rate towards that of all pages, a registered
 domain's towards its suffix's, a host's towards its domain's. Each level's prior strength comes from the spread of the
-rates below it (method of moments). A page is blocked if the posterior says, at the bound's confidence, that its host's
-rate of good pages is below the floor.
+rates below it (method of moments). A page is allowed if the posterior says, at the bound's confidence, that its host's
+rate of good pages reaches the floor, and blocked otherwise. Domain and suffix are the last two labels and the last one
+of what stands as host; lists of public suffixes aren't known here.
 
 Defined results. A null url, or one without `://`, has an empty host and path, no rule, and the reputation of the empty
 host. A host without outcomes has its domain's prior, a domain without any its suffix's, a suffix that of all pages;
 without any outcome at all that prior is 0.8 and the verdict allow. Null labels and labels of other
-pages are ignored; repeated rows count and appear each. Other columns are ignored.
+pages are ignored; repeated rows count and appear each. Urls may be of any length. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
