@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the shared folder and reads
 it again as the next stage's documents. All but the last keep the columns of documents.
+
+Defined results. Rows without a letter, with an empty or with a null text go in the first stage, as they are in no
+language. Null ids, repeated ids and repeated rows are documents of their own until near copies go; of those exactly one
+row stays, and null ids rank last. Texts may be of any length. An empty table gives no rows in every stage. Further
+columns of documents are kept up to packing, whatever their names.
 """
 
 from __future__ import annotations
