@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-#: One access-log line of the load balancer: request id, status and five timers.
+# fixed value: one access-log line of the load balancer: request id, status and five timers
 ACCESS = r"req_id=(\S+) .*? st=(\d+) Tq=(-?\d+) Tw=(-?\d+) Tc=(-?\d+) Tr=(-?\d+) Tt=(-?\d+)"
 TRACE_START = '{"kind":"req_trace"'
 METRICS = ("lb_qw_ms", "lb_tr_ms", "lb_tt_ms", "go_read_ms", "go_parse_ms", "go_eval_ms", "go_resp_ms", "go_total_ms", "non_go_overhead_ms")

@@ -35,8 +35,13 @@ def events(spark, sf_dir: str) -> DataFrame:
     return prepared(table(spark, sf_dir, "events"))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with this column, computed once a row: Catalyst copies a projected expression to wherever it is used, but not a generated one."""
+    return rows.select(*(c for c in rows.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def prepared(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.from_json("props", "k int")["k"])
+    return _once(rows.withColumn("ts", F.col("ts").cast("timestamp")), "k", F.from_json("props", "k int")["k"])
 
 
 def iso(ts: Column) -> Column:
@@ -59,7 +64,7 @@ def transactions_of(rows: DataFrame) -> DataFrame:
         F.struct((k % 2 == 0).alias("is_online"), (k % 3 == 0).alias("card_present"), (k * 10.5).alias("km_from_home")).alias("terminal"),
         F.when(k % 4 != 0, F.struct(iso(F.expr("ts - make_interval(0, 0, 0, 0, 0, k * 3, 37)")).alias("timestamp"), (k * 2.25).alias("km_from_current"))).alias("last_transaction"),
     )
-    return e.select(F.col("event_id").alias("qid"), F.to_json(body).alias("body"), "event_type")
+    return _once(e, "body", F.to_json(body)).select(F.col("event_id").alias("qid"), "body", "event_type")
 
 
 def featured(spark, sf_dir: str) -> DataFrame:
@@ -88,11 +93,13 @@ def access_lines(spark, sf_dir: str) -> DataFrame:
     """line_no, value: two lines for each request id; every 31st k gives a line that doesn't match."""
     k = F.col("k")
     value = F.format_string("lb[1]: req_id=r%d fe be st=%d Tq=%d Tw=%d Tc=%d Tr=%d Tt=%d", F.floor(F.col("event_id") / 2), F.when(k % 9 == 0, 503).otherwise(200), k % 5, k % 8 - 1, F.lit(1), k % 40, k % 40 + k % 8 + 3)
-    return events(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.when(k % 31 == 0, F.lit("lb[1]: health check")).otherwise(value).alias("value"))
+    lines = _once(events(spark, sf_dir).drop("value"), "line", F.when(k % 31 == 0, F.lit("lb[1]: health check")).otherwise(value))
+    return lines.select(F.col("event_id").alias("line_no"), F.col("line").alias("value"))
 
 
 def trace_lines(spark, sf_dir: str) -> DataFrame:
     """source, line_no, value: events of odd number are from the second server; every 17th k is malformed, every 6th has no t_eval_us, every 37th no request id."""
     k = F.col("k")
     parts = [F.lit('srv {"kind":"req_trace"'), F.when(k % 37 != 0, F.format_string(',"req_id":"r%d"', F.floor(F.col("event_id") / 3))).otherwise(""), F.format_string(',"t_read_us":%d,"t_parse_us":%d', k * 3, k * 7 + 11), F.when(k % 6 != 0, F.format_string(',"t_eval_us":%d', k * 50)).otherwise(""), F.format_string(',"t_resp_us":%d,"t_total_us":%d', k + 5, k * 61 + 16), F.when(k % 17 == 0, "").otherwise("}")]
-    return events(spark, sf_dir).select((F.col("event_id") % 2).cast("int").alias("source"), F.col("event_id").alias("line_no"), F.concat(*parts).alias("value"))
+    lines = _once(events(spark, sf_dir), "line", F.concat(*parts))
+    return lines.select((F.col("event_id") % 2).cast("int").alias("source"), F.col("event_id").alias("line_no"), F.col("line").alias("value"))
