@@ -163,16 +163,18 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("expected"), F.count("_hit").alias("found")).withColumn("recall", F.col("found") / F.col("expected"))
 
 
-def two_pass(probed: DataFrame, laid: DataFrame, counts: DataFrame, budget: int = BUDGET, k: int = knn.K) -> DataFrame:
-    """qid, fraud, cnt, fraud_score after both passes, in scan order.
+def two_pass_neighbours(probed: DataFrame, laid: DataFrame, counts: DataFrame, budget: int = BUDGET, k: int = knn.K) -> DataFrame:
+    """qid, idx, dist, is_fraud, rank after both passes, in scan order; equal distances rank by the order of the scan.
 
-    Which probes the second pass extends depends on how many of their vectors ever entered the running top k, so order
-    matters: queries are folded one by one, over no more candidates than the budget allows for either pass.
+    The second pass extends the two probes most of whose vectors ever entered the running top k (of equal ones the later
+    probe), each by its share of the budget, at least one vector, from its cluster's start; if only one probe gave any,
+    the nearest probe is the other. Order matters, so queries are folded one by one, over no more candidates than the
+    budget allows for either pass. Queries whose probed clusters are all empty have no rows.
     """
     first = budget * FIRST_SHARE[0] // FIRST_SHARE[1]
     second = budget - first
     lens = with_budget(probed, counts, first)
-    longest = F.greatest("scan_len", F.lit(second))
+    longest = F.greatest("scan_len", F.lit(max(second, 1)))
     rows = members(probed, laid).join(lens.select("qid", "cluster_id", "scan_len"), ["qid", "cluster_id"]).where(F.col("pos_in_cluster") < longest)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +183,7 @@ def two_pass(probed: DataFrame, laid: DataFrame, counts: DataFrame, budget: int
         gave: dict[int, int] = {}
 
         def offer(dist: int, idx: int, fraud: bool) -> bool:
-            if any(i == idx for _, i, _ in best) or len(best) == k and dist >= best[-1][0]:
+            if len(best) == k and dist >= best[-1][0] or any(i == idx for _, i, _ in best):
                 return False
             at = next((n for n, (d, _, _) in enumerate(best) if d > dist), len(best))
             best.insert(at, (dist, idx, fraud))
@@ -192,14 +194,33 @@ def two_pass(probed: DataFrame, laid: DataFrame, counts: DataFrame, budget: int
             gave[r.probe] = gave.get(r.probe, 0) + offer(r.dist, r.idx, r.is_fraud)
         chosen = [p for p in sorted(gave, key=lambda p: (-gave[p], -p))[:2] if gave[p]]
         total = sum(gave[p] for p in chosen)
-        for p in chosen:
-            share = second * gave[p] // total
+        for p in (chosen + [1])[:2] if chosen else ():
+            share = max(second * gave.get(p, 0) // total if p in chosen else 0, 1)
             for r in g[(g.probe == p) & (g.pos_in_cluster < share)].itertuples():
                 offer(r.dist, r.idx, r.is_fraud)
-        fraud = sum(f for _, _, f in best)
-        return pd.DataFrame({"qid": [int(g.qid.iloc[0])], "fraud": [fraud], "cnt": [len(best)], "fraud_score": [fraud / len(best) if best else 0.0]})
+        return pd.DataFrame({"qid": int(g.qid.iloc[0]), "idx": [i for _, i, _ in best], "dist": [d for d, _, _ in best], "is_fraud": [f for _, _, f in best], "rank": range(1, len(best) + 1)})
+
+    return rows.groupBy("qid").applyInPandas(fold, "qid bigint, idx bigint, dist bigint, is_fraud boolean, rank int")
+
+
+def two_pass(probed: DataFrame, laid: DataFrame, counts: DataFrame, budget: int = BUDGET, k: int = knn.K) -> DataFrame:
+    """qid, fraud, cnt, fraud_score after both passes."""
+    found = knn.votes(two_pass_neighbours(probed, laid, counts, budget, k))
+    return found.select("qid", "fraud", "cnt", knn.score(F.col("fraud"), F.col("cnt")).alias("fraud_score"))
+
 
-    return rows.groupBy("qid").applyInPandas(fold, "qid bigint, fraud bigint, cnt bigint, fraud_score double")
+def answered(queries: DataFrame, centers: DataFrame, laid: DataFrame, *, probes: int = PROBES, budget: int = BUDGET, k: int = knn.K) -> DataFrame:
+    """qid, fraud, cnt, fraud_score, approved of every query by the whole search: probes, both passes within the budget, the
+    exact neighbours where fewer than k were found, votes, and all of the probed clusters where the votes are mixed.
+
+    Probes and what each step found are written once, because the next steps read them more than once. Without any
+    references every query has score 0 and is approved.
+    """
+    clusters = centers.count()
+    probed = shared.written(probe(queries, centers, probes), "probed")
+    first = shared.written(two_pass_neighbours(probed, laid, sizes(laid, clusters), budget, k), "passes")
+    found = shared.written(with_fallback(queries, first, laid.select("idx", "q", "is_fraud"), k), "found")
+    return knn.scored(queries, refined(found, probed, laid, k))
 
 
 def scan_stats(lens: DataFrame) -> DataFrame:

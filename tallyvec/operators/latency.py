@@ -37,7 +37,7 @@ def last_wins(rows: DataFrame, order: list[str]) -> DataFrame:
     return last.select("req_id", *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
-def joined(access: DataFrame, trace: DataFrame, unit: str = "ms") -> DataFrame:
+def joined(access: DataFrame, trace: DataFrame, unit: str = "us") -> DataFrame:
     """The latency facts of requests in both logs; the timers of the access log are in unit (us or ms)."""
     timer = lambda c: c / F.lit(1000.0) if unit == "us" else c.cast("double")
     span = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.lit(1000.0)
@@ -79,19 +79,40 @@ def bottleneck(summary: DataFrame) -> DataFrame:
     return row.select(name.alias("bottleneck"), queue.alias("p99_queue"), eval_.alias("p99_eval"), parse.alias("p99_parse"))
 
 
-def report_lines(facts: DataFrame) -> DataFrame:
-    """part, line: the report as Markdown lines, in order of part."""
+# fixed values: headings and column names of the report
+TITLE, SUMMARY_HEAD, TAIL_HEAD, END_HEAD = "# E2E Latency Report", "## Percentiles (ms)", "## Top 5 Tail Requests (by lb_tt_ms)", "## Conclusion"
+SUMMARY_COLUMNS, TAIL_TIMES = ("metric", "p50", "p95", "p99"), ("lb_tt_ms", "lb_qw_ms", "lb_tr_ms", "go_total_ms", "go_eval_ms", "non_go_overhead_ms")
+
+
+def report_lines(facts: DataFrame, source: str = "logs") -> DataFrame:
+    """part, line: the report as Markdown lines, in order of part; source is named as where the logs come from.
+
+    facts are read for the count, the percentiles and the slowest requests: give a written table where they cost much.
+    """
     summary = percentiles(facts)
     fmt = lambda c: F.format_string("%.3f", F.col(c))
-    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    place = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric")).cast("string")
-    head = facts.agg(F.count("*").alias("n")).select(F.lit("0").alias("part"), F.format_string("# Latency of %d joined requests", "n").alias("line"))
-    table = summary.select(F.concat(F.lit("1-"), F.lpad(place, 2, "0")).alias("part"), row("metric", fmt("p50"), fmt("p95"), fmt("p99")).alias("line"))
-    ranked = slowest(facts).withColumn("r", F.row_number().over(Window.orderBy(F.desc("lb_tt_ms"), "req_id")).cast("string"))
-    tail = ranked.select(F.concat(F.lit("2-"), "r").alias("part"), row("req_id", F.col("status").cast("string"), *map(fmt, ("lb_tt_ms", "lb_qw_ms", "lb_tr_ms", "go_total_ms", "go_eval_ms", "non_go_overhead_ms"))).alias("line"))
-    verdict = bottleneck(summary).select(F.lit("3").alias("part"), F.concat(F.lit("Dominant bottleneck: "), F.col("bottleneck")).alias("line"))
-    return head.union(table).union(tail).union(verdict)
-
-
-def write_report(facts: DataFrame, path: str) -> None:
-    report_lines(facts).orderBy("part").coalesce(1).select("line").write.mode("overwrite").text(path)
+    cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
+    text = lambda *c: "| " + " | ".join(c) + " |"
+    marks = lambda n: "|---|" + "---:|" * (n - 1)
+    numbered = lambda section, n: F.concat(F.lit(f"{section}-"), F.lpad((n + 3).cast("string"), 2, "0")).alias("part")
+    tail_columns = ("req_id", "status", *TAIL_TIMES)
+    fixed = [("0-00", TITLE), ("0-01", f"- Input dir: `{source}`")]
+    for section, lines in (("1", (SUMMARY_HEAD, text(*SUMMARY_COLUMNS), marks(len(SUMMARY_COLUMNS)))), ("2", (TAIL_HEAD, text(*tail_columns), marks(len(tail_columns)))), ("3", (END_HEAD,))):
+        fixed += [(f"{section}-{i:02d}", line) for i, line in enumerate(("", *lines))]
+    out = facts.sparkSession.createDataFrame(fixed, "part string, line string")
+    count = facts.agg(F.count("*").alias("n")).select(F.lit("0-02"), F.format_string("- Joined requests: `%d`", "n"))
+    place = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric"))
+    table = summary.select(numbered("1", place), cells("metric", fmt("p50"), fmt("p95"), fmt("p99")))
+    ranked = slowest(facts).withColumn("r", F.row_number().over(Window.orderBy(F.desc("lb_tt_ms"), "req_id")))
+    tail = ranked.select(numbered("2", F.col("r")), cells(F.format_string("`%s`", "req_id"), F.col("status").cast("string"), *map(fmt, TAIL_TIMES)))
+    highest = (("p99_queue", "lb_qw_ms"), ("p99_eval", "go_eval_ms"), ("p99_parse", "go_parse_ms"))
+    last = [F.struct(F.lit("3-02").alias("part"), F.format_string("- Dominant bottleneck candidate: `%s`", "bottleneck").alias("line"))]
+    last += [F.struct(F.lit(f"3-{i:02d}").alias("part"), F.format_string(f"- p99 {metric}: `%.3f`", column).alias("line")) for i, (column, metric) in enumerate(highest, 3)]
+    verdict = bottleneck(summary).select(F.explode(F.array(*last)).alias("l")).select("l.*")
+    for part in (count, table, tail, verdict):
+        out = out.union(part)
+    return out
+
+
+def write_report(facts: DataFrame, path: str, source: str = "logs") -> None:
+    report_lines(facts, source).orderBy("part").coalesce(1).select("line").write.mode("overwrite").text(path)

@@ -48,15 +48,10 @@ def score_function(references: DataFrame, k: int = knn.K):
             return pd.DataFrame({"fraud_score": np.zeros(len(q)), "err": np.ones(len(q), np.int32)})
         x = np.array(q.tolist(), np.float64).reshape(len(q), -1)
         out = np.empty(len(x))
-        for at in range(0, len(x), 256):
-            part = x[at : at + 256]
-            dist = norm[None, :] - 2 * part @ table.T
-            if len(table) > k:
-                # all within the k-th distance, then the first k by distance and place
-                near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            else:
-                near = np.tile(np.arange(len(table)), (len(part), 1))
-            out[at : at + 256] = fraud[near].mean(1)
+        step = max(knn.CELLS // len(table), 1)
+        for at in range(0, len(x), step):
+            near = knn.first_places(norm[None, :] - 2 * x[at : at + step] @ table.T, k)
+            out[at : at + step] = fraud[near].mean(1)
         return pd.DataFrame({"fraud_score": out, "err": np.zeros(len(x), np.int32)})
 
     return score_eval

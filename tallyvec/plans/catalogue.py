@@ -202,6 +202,20 @@ def ivf_two_pass_compat(spark, d):
     return ivf.two_pass(probed, laid, ivf.sizes(laid, CLUSTERS), SMALL_BUDGET)
 
 
+def ivf_orchestrated(spark, d):
+    """The whole search: both passes, exact neighbours where too few, votes, refined where they are mixed."""
+    centers, laid = _index(spark, d)
+    laid = shared.written(laid, "index")
+    return ivf.answered(inputs.vector_queries(spark, d), centers, laid, probes=PROBES, budget=SMALL_BUDGET)
+
+
+def ivf_orchestrated_sparse(spark, d):
+    """The same within one probe and a budget of 6 vectors, so that many queries find too few."""
+    centers, laid = _index(spark, d)
+    laid = shared.written(laid, "index")
+    return ivf.answered(inputs.vector_queries(spark, d), centers, laid, probes=1, budget=6)
+
+
 def scan_stats(spark, d):
     probed, laid = _probed(spark, d)
     return ivf.scan_stats(ivf.with_budget(probed, ivf.sizes(laid, CLUSTERS), SMALL_BUDGET))
@@ -235,7 +249,7 @@ def trace_union_last_wins(spark, d):
 
 
 def _facts(spark, d):
-    return latency.joined(lb_log_parse(spark, d), trace_union_last_wins(spark, d))
+    return latency.joined(lb_log_parse(spark, d), trace_union_last_wins(spark, d), "ms")
 
 
 def latency_join(spark, d):
@@ -255,7 +269,7 @@ def latency_bottleneck(spark, d):
 
 
 def latency_report_md(spark, d):
-    return latency.report_lines(_facts(spark, d))
+    return latency.report_lines(shared.written(_facts(spark, d), "facts"), "events")
 
 
 def rolling_features(spark, d):
@@ -301,7 +315,7 @@ _ALL = (
     quantize_i16, quantize_i8, requantize_i8, sq_l2_distance, exact_knn_top5, knn_votes, knn_fraud_score, knn_decision_json, payload_parse, payload_defaults,
     ts_hour_dow, minutes_since_last, fnv1a_hash, merchant_unknown, mcc_risk_lookup, feature_vector, feature_vector_q16, transaction_fraud_score, udf_score_eval,
     lcg_sample, centroids, cluster_assign, cluster_sizes, cluster_offsets, cluster_layout, ivf_probe, ivf_budget, ivf_budgeted_knn, ivf_knn, ivf_score, ivf_fallback,
-    ivf_recall, ivf_two_pass_compat, scan_stats, request_status, round_robin_backend, bitpack_roundtrip, lb_log_parse, trace_parse, trace_union_last_wins,
+    ivf_recall, ivf_two_pass_compat, ivf_orchestrated, ivf_orchestrated_sparse, scan_stats, request_status, round_robin_backend, bitpack_roundtrip, lb_log_parse, trace_parse, trace_union_last_wins,
     latency_join, latency_percentiles, latency_top5, latency_bottleneck, latency_report_md, rolling_features, stream_score, stream_rolling_features,
 )
 QUERIES = {f.__name__: f for f in _ALL}

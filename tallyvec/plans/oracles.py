@@ -60,6 +60,16 @@ numbered AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS pos, v8 FROM refs),
 cells AS (SELECT CAST(draw % 16 AS INTEGER) AS cluster_id, unnest(range(1, 15)) AS dim, unnest(v8) AS x FROM draws JOIN numbered ON pos = pick),
 means AS (SELECT cluster_id, dim, CAST(round(CAST(sum(x) AS DOUBLE) / count(*)) AS INTEGER) AS m FROM cells GROUP BY ALL),
 cen AS (SELECT CAST(r AS INTEGER) AS cluster_id, coalesce(cv, [0 FOR i IN range(14)]) AS cv FROM range(16) t(r) LEFT JOIN (SELECT cluster_id, list(m ORDER BY dim) AS cv FROM means GROUP BY cluster_id) USING (cluster_id))""".replace("range(16) t(r) LEFT JOIN (SELECT cluster_id, list(m ORDER BY dim) AS cv FROM means GROUP BY cluster_id) USING (cluster_id)", "range(16) t(r) LEFT JOIN (SELECT cluster_id, list(m ORDER BY dim) AS cv FROM means GROUP BY cluster_id) g ON g.cluster_id = r")
+
+
+def _budget(name: str, probes: int, budget: int) -> str:
+    """How far each of the first probes is scanned when what budget is left is shared among those to come."""
+    share = f"CASE WHEN rest <= 0 THEN 0 ELSE least(s.cnt, greatest(rest // ({probes} - {name}.probe), 1), rest) END"
+    return f"""{name} AS (SELECT qid, probe, cluster_id, least(cnt, greatest({budget} // {probes}, 1), {budget}) AS scan_len, {budget} - least(cnt, greatest({budget} // {probes}, 1), {budget}) AS rest FROM prob JOIN siz USING (cluster_id) WHERE probe = 1
+        UNION ALL SELECT p.qid, p.probe, p.cluster_id, {share}, rest - {share}
+        FROM {name} JOIN prob p ON p.qid = {name}.qid AND p.probe = {name}.probe + 1 JOIN siz s ON s.cluster_id = p.cluster_id WHERE p.probe <= {probes})"""
+
+
 _INDEX = f"""{_CENTERS},
 asg AS (SELECT idx, q, is_fraud, cluster_id FROM (SELECT idx, q, is_fraud, cluster_id, row_number() OVER (PARTITION BY idx ORDER BY {_dist('v8', 'cv')}, cluster_id) AS r FROM refs, cen) WHERE r = 1),
 siz AS (SELECT CAST(r AS INTEGER) AS cluster_id, count(idx) AS cnt FROM range(16) t(r) LEFT JOIN asg ON cluster_id = r GROUP BY r),
@@ -67,12 +77,36 @@ off AS (SELECT cluster_id, CAST(coalesce(sum(cnt) OVER (ORDER BY cluster_id ROWS
 laid AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY idx) - 1 AS pos_in_cluster FROM asg),
 prob AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY cdist, cluster_id) AS INTEGER) AS probe FROM (SELECT qid, q, cluster_id, {_dist('q8', 'cv')} AS cdist FROM qs, cen) QUALIFY probe <= 8),
 mem AS (SELECT qid, laid.cluster_id, probe, pos_in_cluster, idx, is_fraud, {_dist('prob.q', 'laid.q')} AS dist FROM prob JOIN laid USING (cluster_id)),
-bud AS (SELECT qid, probe, cluster_id, least(cnt, 100 // 8, 100) AS scan_len, 100 - least(cnt, 100 // 8, 100) AS rest FROM prob JOIN siz USING (cluster_id) WHERE probe = 1
-        UNION ALL SELECT p.qid, p.probe, p.cluster_id, CASE WHEN rest <= 0 THEN 0 ELSE least(s.cnt, greatest(rest // (8 - bud.probe), 1), rest) END, rest - CASE WHEN rest <= 0 THEN 0 ELSE least(s.cnt, greatest(rest // (8 - bud.probe), 1), rest) END
-        FROM bud JOIN prob p ON p.qid = bud.qid AND p.probe = bud.probe + 1 JOIN siz s ON s.cluster_id = p.cluster_id)"""
+{_budget('bud', 8, 100)}"""
 _WITH_INDEX = f"WITH RECURSIVE {_INDEX}"
 _PREFIX = f"inb AS (SELECT mem.* FROM mem JOIN bud USING (qid, cluster_id) WHERE pos_in_cluster < scan_len), first AS {_top('inb')}"
 
+
+def _two_passes(probes: int, budget: int) -> str:
+    """A vector enters the running top five if fewer than five scanned before are as near: no fold is needed to count those of each probe."""
+    first = budget * 3 // 5
+    return f"""{_budget('bud1', probes, first)},
+pass1 AS (SELECT mem.*, row_number() OVER (PARTITION BY mem.qid ORDER BY mem.probe, pos_in_cluster) AS seq FROM mem JOIN bud1 ON bud1.qid = mem.qid AND bud1.cluster_id = mem.cluster_id WHERE pos_in_cluster < scan_len),
+entered AS (SELECT a.qid, a.probe, a.seq, count(b.seq) < 5 AS ok FROM pass1 a LEFT JOIN pass1 b ON b.qid = a.qid AND b.seq < a.seq AND b.dist <= a.dist GROUP BY ALL),
+gave AS (SELECT qid, probe, count(*) AS n FROM entered WHERE ok GROUP BY ALL),
+two AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, probe DESC) AS r FROM gave QUALIFY r <= 2),
+further AS (SELECT qid, probe, r, greatest({budget - first} * n // sum(n) OVER (PARTITION BY qid), 1) AS len FROM two),
+pass2 AS (SELECT mem.*, 1000000000 * r + pos_in_cluster AS seq FROM mem JOIN further ON further.qid = mem.qid AND further.probe = mem.probe WHERE pos_in_cluster < len),
+seen AS (SELECT qid, idx, is_fraud, dist, min(seq) AS seq FROM (FROM pass1 UNION ALL FROM pass2) GROUP BY ALL),
+first AS (SELECT qid, idx, is_fraud FROM seen QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, seq) <= 5)"""
+
+
+def _orchestrated(probes: int, budget: int) -> str:
+    return f"""{_WITH_INDEX}, {_two_passes(probes, budget)},
+few AS (SELECT qs.qid FROM qs LEFT JOIN first USING (qid) GROUP BY qs.qid HAVING count(idx) < 5),
+pairs AS (SELECT qid, idx, is_fraud, {_dist('qs.q', 'refs.q')} AS dist FROM qs, refs WHERE qid IN (FROM few)), exact5 AS {_top('pairs')},
+found AS (SELECT qid, is_fraud FROM first WHERE qid NOT IN (FROM few) UNION ALL SELECT qid, is_fraud FROM exact5),
+mix AS (SELECT qid FROM found GROUP BY qid HAVING count(*) = 5 AND sum(is_fraud::INT) BETWEEN 1 AND 4),
+near AS (SELECT * FROM mem WHERE probe <= {probes}), full5 AS {_top('near')},
+nn AS (SELECT qid, is_fraud FROM found WHERE qid NOT IN (FROM mix) UNION ALL SELECT qid, is_fraud FROM full5 WHERE qid IN (FROM mix)), {_SCORED}
+SELECT qid, coalesce(fraud, 0) AS fraud, coalesce(cnt, 0) AS cnt, coalesce(fraud / cnt, 0.0) AS fraud_score, coalesce(fraud * 5 < cnt * 3, true) AS approved FROM qs LEFT JOIN sc USING (qid)"""
+
+
 # log lines out of events
 _LB = f"""{_E}, lb0 AS (SELECT event_id, 'r' || (event_id // 2) AS req_id, CASE WHEN k % 9 = 0 THEN 503 ELSE 200 END AS st, k % 5 AS Tq, k % 8 - 1 AS Tw, 1 AS Tc, k % 40 AS Tr, k % 40 + k % 8 + 3 AS Tt FROM e WHERE k % 31 <> 0),
 lb AS (SELECT * EXCLUDE (event_id) FROM lb0 QUALIFY row_number() OVER (PARTITION BY req_id ORDER BY event_id DESC) = 1)"""
@@ -123,6 +157,9 @@ nn AS (SELECT qid, is_fraud FROM first WHERE qid NOT IN (FROM mix) UNION ALL SEL
 SELECT qid, coalesce(fraud, 0) AS fraud, coalesce(fraud / cnt, 0.0) AS fraud_score, coalesce(fraud * 5 < cnt * 3, true) AS approved FROM qs LEFT JOIN sc USING (qid)""",
     "ivf_fallback": f"WITH {_EXACT} SELECT qid, rank, idx, dist FROM nn",
     "ivf_recall": f"{_WITH_INDEX}, five AS {_top('mem')}, pairs AS (SELECT qid, idx, is_fraud, {_dist('qs.q', 'refs.q')} AS dist FROM qs, refs), nn AS {_top('pairs')} SELECT count(*) AS expected, count(five.idx) AS found, count(five.idx) / count(*) AS recall FROM nn LEFT JOIN five ON nn.qid = five.qid AND nn.idx = five.idx",
+    "ivf_two_pass_compat": f"{_WITH_INDEX}, {_two_passes(8, 100)}, nn AS (FROM first), {_SCORED} SELECT qid, fraud, cnt, fraud / cnt AS fraud_score FROM sc",
+    "ivf_orchestrated": _orchestrated(8, 100),
+    "ivf_orchestrated_sparse": _orchestrated(1, 6),
     "scan_stats": f"{_WITH_INDEX} SELECT count(DISTINCT qid) AS requests, count(*) AS probes, CAST(sum(scan_len) AS BIGINT) AS scanned FROM bud",
     "request_status": f"""WITH {_E} SELECT event_id, CASE WHEN k % 17 = 0 THEN 404 WHEN k % 10 = 0 THEN 200 WHEN k % 5 = 0 THEN 404 WHEN k % 7 = 0 OR k % 13 = 0 THEN 405
  WHEN k % 19 = 0 OR k % 23 = 0 THEN 413 WHEN k % 29 = 0 THEN 503 ELSE 200 END AS status FROM e""",
@@ -137,10 +174,16 @@ SELECT event_id, op * 72057594037927936 + generation * 16777216 + conn AS tag, o
     "latency_top5": f"WITH {_FACTS} SELECT req_id, lb_tt_ms, go_total_ms, status FROM facts ORDER BY lb_tt_ms DESC, req_id LIMIT 5",
     "latency_bottleneck": f"WITH {_FACTS}, {_PCT}, {_BOTTLE} SELECT bottleneck, round(p99_queue, 6) AS p99_queue, round(p99_eval, 6) AS p99_eval, round(p99_parse, 6) AS p99_parse FROM bn",
     "latency_report_md": f"""WITH {_FACTS}, {_PCT}, {_BOTTLE}, t5 AS (SELECT *, row_number() OVER (ORDER BY lb_tt_ms DESC, req_id) AS r FROM facts QUALIFY r <= 5)
-SELECT '0' AS part, '# Latency of ' || count(*) || ' joined requests' AS line FROM facts
-UNION ALL SELECT '1-' || lpad(place::VARCHAR, 2, '0'), '| ' || metric || ' | ' || printf('%.3f', p50) || ' | ' || printf('%.3f', p95) || ' | ' || printf('%.3f', p99) || ' |' FROM pct
-UNION ALL SELECT '2-' || r, '| ' || req_id || ' | ' || status || ' | ' || printf('%.3f', lb_tt_ms) || ' | ' || printf('%.3f', lb_qw_ms) || ' | ' || printf('%.3f', lb_tr_ms) || ' | ' || printf('%.3f', go_total_ms) || ' | ' || printf('%.3f', go_eval_ms) || ' | ' || printf('%.3f', non_go_overhead_ms) || ' |' FROM t5
-UNION ALL SELECT '3', 'Dominant bottleneck: ' || bottleneck FROM bn""",
+SELECT * FROM (VALUES ('0-00', '# E2E Latency Report'), ('0-01', '- Input dir: `events`'), ('1-00', ''), ('1-01', '## Percentiles (ms)'), ('1-02', '| metric | p50 | p95 | p99 |'), ('1-03', '|---|---:|---:|---:|'),
+  ('2-00', ''), ('2-01', '## Top 5 Tail Requests (by lb_tt_ms)'), ('2-02', '| req_id | status | lb_tt_ms | lb_qw_ms | lb_tr_ms | go_total_ms | go_eval_ms | non_go_overhead_ms |'), ('2-03', '|---|---:|---:|---:|---:|---:|---:|---:|'),
+  ('3-00', ''), ('3-01', '## Conclusion')) fixed(part, line)
+UNION ALL SELECT '0-02', '- Joined requests: `' || count(*) || '`' FROM facts
+UNION ALL SELECT '1-' || lpad((place + 3)::VARCHAR, 2, '0'), '| ' || metric || ' | ' || printf('%.3f', p50) || ' | ' || printf('%.3f', p95) || ' | ' || printf('%.3f', p99) || ' |' FROM pct
+UNION ALL SELECT '2-' || lpad((r + 3)::VARCHAR, 2, '0'), '| ' || '`' || req_id || '` | ' || status || ' | ' || printf('%.3f', lb_tt_ms) || ' | ' || printf('%.3f', lb_qw_ms) || ' | ' || printf('%.3f', lb_tr_ms) || ' | ' || printf('%.3f', go_total_ms) || ' | ' || printf('%.3f', go_eval_ms) || ' | ' || printf('%.3f', non_go_overhead_ms) || ' |' FROM t5
+UNION ALL SELECT '3-02', '- Dominant bottleneck candidate: `' || bottleneck || '`' FROM bn
+UNION ALL SELECT '3-03', '- p99 lb_qw_ms: `' || printf('%.3f', p99_queue) || '`' FROM bn
+UNION ALL SELECT '3-04', '- p99 go_eval_ms: `' || printf('%.3f', p99_eval) || '`' FROM bn
+UNION ALL SELECT '3-05', '- p99 go_parse_ms: `' || printf('%.3f', p99_parse) || '`' FROM bn""",
     "rolling_features": """SELECT event_id, count(*) OVER w AS tx_count_24h, CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER w, 0) AS BIGINT) AS cents_24h FROM (SELECT *, epoch_us(ts) AS us FROM events)
 WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)""",
     "stream_score": f"WITH {_TX} SELECT qid, fraud / cnt AS fraud_score, fraud * 5 < cnt * 3 AS approved FROM sc",

@@ -91,6 +91,27 @@ def test_two_passes_agree_with_a_plain_fold(spark):
     assert {(r.qid, r.fraud, r.cnt) for r in wide.collect()} == {(r.qid, r.fraud, r.cnt) for r in exact.collect()}
 
 
+def test_first_places_with_ties():
+    r = np.random.default_rng(3)
+    for n in (1, 4, 5, 6, 300):
+        dist = r.integers(0, 6, (40, n)).astype(float)
+        assert (knn.first_places(dist, 5) == np.argsort(dist, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_answers_of_the_whole_search(spark):
+    """All clusters and a budget for everything: the exact votes; without references: nothing found."""
+    refs = _references(spark)
+    centers = ivf.centroids(refs, 8)
+    laid = ivf.layout(ivf.assign(refs, centers))
+    queries = refs.where("idx < 15").select(F.col("idx").alias("qid"), "q")
+    exact = knn.scored(queries, knn.exact(queries, refs)).collect()
+    assert sorted(ivf.answered(queries, centers, laid, probes=8, budget=100_000).collect()) == sorted(exact)
+    # nothing may be scanned: all are answered exactly, and again where votes are mixed
+    assert sorted(ivf.answered(queries, centers, laid, probes=8, budget=0).collect()) == sorted(exact)
+    none = ivf.answered(queries, centers, laid.where("false"), probes=8).collect()
+    assert len(none) == 15 and {(r.cnt, r.fraud_score, r.approved) for r in none} == {(0, 0.0, True)}
+
+
 def test_registered_function_equals_batch(spark):
     refs = _references(spark)
     scoring.register(spark, refs, "score_it")
@@ -115,12 +136,15 @@ def test_logs(spark, tmp_path):
     (tmp_path / "s2.log").write_text('{"kind":"req_trace","req_id":"a","t_total_us":2000,"t_eval_us":500}\n')
     access = latency.parse_access(readers.log_lines(spark, str(tmp_path / "lb.log")))
     trace = latency.parse_trace(readers.log_lines(spark, str(tmp_path / "s1.log"), str(tmp_path / "s2.log")))
-    facts = latency.joined(access, trace)
+    facts = latency.joined(access, trace, "ms")
     rows = facts.collect()
     assert [(r.req_id, r.status, r.lb_qw_ms, r.lb_tt_ms, r.go_total_ms, r.go_eval_ms, r.go_read_ms, r.non_go_overhead_ms) for r in rows] == [("a", 503, -1.0, 30.0, 2.0, 0.5, 0.0, 28.0)]
-    assert latency.joined(access, trace, "us").first().lb_tt_ms == 0.03
+    assert latency.joined(access, trace).first().lb_tt_ms == 0.03
     latency.write_report(facts, str(tmp_path / "report"))
-    assert any("Dominant bottleneck" in r.value for r in spark.read.text(str(tmp_path / "report")).collect())
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert lines[:3] == ["# E2E Latency Report", "- Input dir: `logs`", "- Joined requests: `1`"] and len(lines) == 27
+    assert "| `a` | 503 | 30.000 | -1.000 | -1.000 | 2.000 | 0.500 | 28.000 |" in lines
+    assert lines[-4:] == ["- Dominant bottleneck candidate: `zig_eval`", "- p99 lb_qw_ms: `-1.000`", "- p99 go_eval_ms: `0.500`", "- p99 go_parse_ms: `0.000`"]
 
 
 def test_percentiles_of_few_and_none(spark):
