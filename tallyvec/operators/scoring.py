@@ -37,9 +37,9 @@ def score_function(references: DataFrame, k: int = knn.K):
     """A vectorised function from an int16 vector to (fraud_score, err): err 1 without references. The references' number is checked before they are carried."""
     if not carried(references):
         raise ValueError(f"more than {MOST_CARRIED} references: use evaluated() instead")
-    rows = references.select("idx", F.col("q").cast("array<int>").alias("q"), "is_fraud").orderBy("idx").toPandas()
-    table = np.array(rows["q"].tolist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
-    held = references.sparkSession.sparkContext.broadcast((table, (table * table).sum(1), rows["is_fraud"].to_numpy(bool)))
+    rows = references.select("idx", F.col("q").cast("array<int>").alias("q"), "is_fraud").orderBy("idx").toArrow().combine_chunks()
+    table = rows["q"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(rows), -1 if len(rows) else 0)
+    held = references.sparkSession.sparkContext.broadcast((table, (table * table).sum(1), rows["is_fraud"].to_numpy().astype(bool)))
 
     @F.pandas_udf("fraud_score double, err int")
     def score_eval(q: pd.Series) -> pd.DataFrame:

@@ -112,7 +112,7 @@ def transaction_fraud_score(spark, d):
 
 
 def udf_score_eval(spark, d):
-    refs = inputs.event_vectors(spark, d)
+    refs = shared.written(inputs.event_vectors(spark, d), "references")
     queries = refs.where("idx % 100 = 0").select(F.col("idx").alias("qid"), "q")
     if not scoring.carried(refs):
         return scoring.evaluated(queries, refs)
