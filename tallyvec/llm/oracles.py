@@ -33,8 +33,13 @@ OP6 = r"""
 WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 r AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
-h AS (SELECT host, count(quality) AS n, coalesce(sum(quality), 0) AS good, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-      FROM r LEFT JOIN labels ON page_id = doc_id GROUP BY host),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '(:[0-9]*)?\z|\.(:[0-9]*)?\z', '') AS name FROM r),
+labelled AS (SELECT *, CASE WHEN regexp_matches(name, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])\z') THEN 0
+        WHEN array_to_string(string_split(name, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.za', 'co.in', 'co.jp', 'co.kr', 'com.br', 'com.cn', 'com.mx', 'com.tr') THEN 2 ELSE 1 END AS m,
+        string_split(name, '.') AS l FROM named),
+h AS (SELECT host, count(quality) AS n, coalesce(sum(quality), 0) AS good, any_value(CASE m WHEN 0 THEN name WHEN 1 THEN array_to_string(l[-2:], '.') ELSE array_to_string(l[-3:], '.') END) AS domain,
+        any_value(CASE m WHEN 0 THEN name WHEN 1 THEN l[-1] ELSE array_to_string(l[-2:], '.') END) AS suffix
+      FROM labelled LEFT JOIN labels ON page_id = doc_id GROUP BY host),
 d AS (""" + _op6_sums("d", "domain, suffix, ", "h").replace("sum(n) AS d_n, sum(good) AS d_good", "n AS d_n, good AS d_good") + r"""),
 s AS (""" + _op6_sums("s", "suffix, ", "(SELECT suffix, d_n AS n, d_good AS good FROM d)").replace("sum(n) AS s_n, sum(good) AS s_good", "n AS s_n, good AS s_good") + r"""),
 t AS (""" + _op6_sums("t", "", "(SELECT s_n AS n, s_good AS good FROM s)").replace("sum(n) AS t_n, sum(good) AS t_good", "n AS t_n, good AS t_good") + r"""),

@@ -105,7 +105,10 @@ def matrices(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cap
             if into is None:
                 into = pa.schema([("sequence_id", pa.int64()), ("ids", pa.binary()), ("cu_lengths", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("pieces", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64()))])
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = tokens.ids(body.as_py()).astype(unit)
+                found = tokens.ids(body.as_py())
+                if len(found) and found.max() > np.iinfo(unit).max:
+                    raise ValueError(f"id {found.max()} doesn't fit into {bits} bits")
+                found = found.astype(unit)
                 for k, (s, length) in enumerate(tokens.pieces(len(found), capacity)):
                     held.append((name, k, s, found[s : s + length]))
                 n += len(found)

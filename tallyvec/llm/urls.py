@@ -3,8 +3,10 @@
 Labelled page outcomes are shrunk through beta-binomial priors: a suffix's rate towards that of all pages, a registered
 domain's towards its suffix's, a host's towards its domain's. Each level's prior strength comes from the spread of the
 rates below it (method of moments). A page is allowed if the posterior says, at the bound's confidence, that its host's
-rate of good pages reaches the floor, and blocked otherwise. Domain and suffix are the last two labels and the last one
-of what stands as host; lists of public suffixes aren't known here.
+rate of good pages reaches the floor, and blocked otherwise. Hosts are grouped by name, without a user name, port or
+final dot. Suffix is the last label, or a longer one of those given as public suffixes; the registered domain has one
+label more. An IPv4 or bracketed IPv6 address is its own domain and suffix. The host in the result stays as it stands
+in the url.
 
 Defined results. A null url, or one without `://`, has an empty host and path, no rule, and the reputation of the empty
 host. A host without outcomes has its domain's prior, a domain without any its suffix's, a suffix that of all pages;
@@ -26,6 +28,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Public suffixes of two labels; a parameter, since the full list is long and changes.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "co.in", "co.jp", "co.kr", "com.br", "com.cn", "com.mx", "com.tr")
+_ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])\z"
 #: Good pages a host must have as a share; normal quantile of the one-sided bound; least and most strength of a prior (most where rates show no spread).
 FLOOR, QUANTILE = 0.5, 1.645
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
@@ -49,9 +54,16 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def registered(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+def named(host: Column) -> Column:
+    """The host's name or address: without a user name, port or final dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r"(:[0-9]*)?\z|\.(:[0-9]*)?\z", "")
+
+
+def registered(name: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix."""
+    longer = F.substring_index(name, ".", -2).isin(*suffixes)
+    part = lambda n: F.when(name.rlike(_ADDRESS), name).when(longer, F.substring_index(name, ".", -n - 1)).otherwise(F.substring_index(name, ".", -n))
+    return part(2), part(1)
 
 
 def _sums(units: DataFrame, by: list[str], prefix: str) -> DataFrame:
@@ -66,14 +78,14 @@ def _sums(units: DataFrame, by: list[str], prefix: str) -> DataFrame:
     return units.groupBy(*by).agg(F.sum("n").alias(f"{prefix}_n"), F.sum("good").alias(f"{prefix}_good"), F.coalesce(strength, F.lit(MOST_STRENGTH)).alias(f"{prefix}_k"))
 
 
-def reputation(pages: DataFrame) -> DataFrame:
+def reputation(pages: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """pages: host and good (1, 0, or null: no outcome). One row for each host: host, n, a, b of its posterior.
 
     Counts are combined before they are shuffled, so a hot host is one row from each task; the later levels have a row
     for each host, domain and suffix.
     """
     hosts = pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    domain, suffix = registered(F.col("host"))
+    domain, suffix = registered(named(F.col("host")), suffixes)
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = _sums(hosts, ["domain", "suffix"], "d")
     suffixes = _sums(domains.select("suffix", F.col("d_n").alias("n"), F.col("d_good").alias("good")), ["suffix"], "s")
@@ -89,12 +101,12 @@ def lower_bound(a: Column, b: Column, quantile: float = QUANTILE) -> Column:
     return a / (a + b) - F.lit(quantile) * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
 
 
-def judge(pages: DataFrame, labels: DataFrame, *, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", label: str = "quality", rules=RULES, floor: float = FLOOR, quantile: float = QUANTILE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, *, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", label: str = "quality", rules=RULES, suffixes=SUFFIXES, floor: float = FLOOR, quantile: float = QUANTILE) -> DataFrame:
     """page_id, host, path, rule, verdict, and bound (the host's) for each page."""
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     outcomes = labels.where(F.col(label).isNotNull()).select(F.col(label_id).alias("page_id"), F.col(label).cast("bigint").alias("good"))
-    posterior = reputation(rows.select("page_id", "host").join(outcomes, "page_id", "left").select("host", "good"))
+    posterior = reputation(rows.select("page_id", "host").join(outcomes, "page_id", "left").select("host", "good"), suffixes)
     bounds = posterior.select("host", lower_bound(F.col("a"), F.col("b"), quantile).alias("bound"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("bound") < floor, F.lit("block")).otherwise(F.lit("allow"))
