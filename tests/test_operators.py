@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyvec.functions import vectors
 import __spark_entry__ as spark_entry
 from tallyvec.operators import ivf, knn, latency, scoring
+from tallyvec.plans import inputs
 from tallyvec.sources import readers
 
 
@@ -184,3 +185,51 @@ def test_trace_lines_end_with_their_object(spark):
     rows = [("s", 0, "x " + good), ("s", 1, good.replace('"a"', '"b"') + " trailing"), ("s", 2, good.replace('"a"', '"c"') + "}"), ("s", 3, good.replace('"a"', '"d"') + "  "), ("s", 4, good.replace('"a"', '"e"')[:-1])]
     lines = spark.createDataFrame(rows, "source string, line_no bigint, value string")
     assert sorted(r.req_id for r in latency.parse_trace(lines).collect()) == ["a", "d"]
+
+
+def test_trees_compare_few_and_lose_none(monkeypatch):
+    """Neighbours by brute force, with ties, copies and small limits; of far apart boxes only a few distances are computed."""
+    rng = np.random.default_rng(3)
+    for n, dims, span, leaf, pairs, cells in ((0, 14, 5, 256, 10**6, 10**6), (3, 14, 5, 4, 10, 100), (3000, 14, 2, 4, 50, 100), (3000, 4, 3, 8, 1000, 5000), (3000, 14, 32767, 16, 1000, 5000), (2000, 2, 1, 8, 9, 30)):
+        for name, value in (("LEAF", leaf), ("PAIRS", pairs), ("CELLS", cells)):
+            monkeypatch.setattr(knn, name, value)
+        x, idx, fraud = rng.integers(-span, span + 1, (n, dims)).astype(float), rng.permutation(2 * n)[:n], rng.random(n) < 0.3
+        q = rng.integers(-span, span + 1, (40, dims)).astype(float)
+        best = knn.nothing(len(q), 5)
+        for s in np.array_split(np.arange(n), 3):
+            best = knn.Tree(x[s], idx[s], fraud[s], 5).search(q, best)
+        dist = ((q[:, None] - x[None]) ** 2).sum(2)
+        for i in range(len(q)):
+            want = np.lexsort((idx, dist[i]))[:5]
+            there = np.isfinite(best[0][i])
+            assert [c[i][there].tolist() for c in best] == [dist[i][want].tolist(), idx[want].tolist(), fraud[want].tolist()]
+    monkeypatch.undo()
+    seen, plain = [], knn.Tree._distances
+    monkeypatch.setattr(knn.Tree, "_distances", lambda self, q, start, end: (seen.append(len(q) * (end - start)), plain(self, q, start, end))[1])
+    x = rng.integers(0, 60, (50_000, 14)) + 3000 * rng.integers(0, 8, (50_000, 1))
+    knn.Tree(x.astype(float), np.arange(len(x)), np.zeros(len(x), bool), 5).search(x[::100].astype(float)[:, ::1], knn.nothing(500, 5))
+    assert sum(seen) < 500 * 50_000 / 3
+
+
+def _computed(spark, monkeypatch, name):
+    """How many references a query computes the features of, if its queries take three blocks."""
+    count, plain = spark.sparkContext.accumulator(0), inputs.event_vectors
+
+    def passed(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    def spied(*args):
+        rows = plain(*args)
+        return rows.mapInArrow(passed, rows.schema)
+
+    monkeypatch.setattr(inputs, "event_vectors", spied)
+    monkeypatch.setattr(scoring, "MOST_CARRIED", 10)
+    monkeypatch.setattr(knn, "BLOCK", 4)
+    assert spark_entry.queries()[name](spark, spark_entry.SMOKE_DIR).count() == 10
+    return count.value
+
+
+def test_stream_score_computes_references_once(spark, monkeypatch):
+    assert _computed(spark, monkeypatch, "stream_score") == 1000
