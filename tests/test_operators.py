@@ -233,3 +233,7 @@ def _computed(spark, monkeypatch, name):
 
 def test_stream_score_computes_references_once(spark, monkeypatch):
     assert _computed(spark, monkeypatch, "stream_score") == 1000
+
+
+def test_transaction_fraud_score_computes_references_once(spark, monkeypatch):
+    assert _computed(spark, monkeypatch, "transaction_fraud_score") == 1000
