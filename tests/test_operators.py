@@ -237,3 +237,18 @@ def test_stream_score_computes_references_once(spark, monkeypatch):
 
 def test_transaction_fraud_score_computes_references_once(spark, monkeypatch):
     assert _computed(spark, monkeypatch, "transaction_fraud_score") == 1000
+
+
+def test_features_are_dealt_over_all_cores(spark):
+    """The table is one file of one row group."""
+    assert inputs.event_vectors(spark, spark_entry.SMOKE_DIR).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_function_with_copies_and_few_references(spark):
+    refs = _references(spark, 40)
+    many = refs.union(refs.select((F.col("idx") + 1000).alias("idx"), "v", ~F.col("is_fraud"), "q")).union(refs.select((F.col("idx") + 2000).alias("idx"), "v", "is_fraud", "q"))
+    queries = refs.select(F.col("idx").alias("qid"), "q")
+    for name, some in (("score_copies", many), ("score_few", refs.where("idx < 3"))):
+        scoring.register(spark, some, name)
+        want = {(r.qid, r.fraud_score, r.err) for r in scoring.evaluated(queries, some).collect()}
+        assert {(r.qid, r.s.fraud_score, r.s.err) for r in queries.selectExpr("qid", f"{name}(q) AS s").collect()} == want
