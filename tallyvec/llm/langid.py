@@ -36,7 +36,9 @@ ALL_CHARS = 400_000
 SEGMENT = 512
 #: Rounds of parsing segments side by side; what isn't settled then is parsed one code after another.
 ROUNDS = 8
-SPACE, OTHER, SINGLE, LEAD, PAD, WIDTH = 0, 1, 2, 55, 63, 64
+#: Characters parsed side by side: bounds what a batch takes beside the table. A longer text is parsed alone.
+TOGETHER = 1_000_000
+SPACE, OTHER, SINGLE, LEAD, PAD = 0, 1, 2, 55, 63
 
 
 def _letters() -> np.ndarray:
@@ -59,10 +61,13 @@ def letters() -> np.ndarray:
 
 @dataclass
 class Model:
-    """alphabet: of letters, up to three codes in the bytes of a number; table[state * WIDTH + code]: next state << 6, plus 1 if a phrase ended; weights: bits of a phrase."""
+    """alphabet: of letters, up to three codes in the bytes of a number; table[state * width + column of the code]: next state * width, plus 1 if a phrase ended; weights: bits of a phrase.
+
+    columns: of each code; those that occur in no language's text lead back to the roots alike and share one."""
 
     languages: list[str] = field(default_factory=list)
     alphabet: dict[str, int] = field(default_factory=dict)
+    columns: np.ndarray | None = None
     table: np.ndarray | None = None
     roots: list[int] = field(default_factory=list)
     weights: np.ndarray | None = None
@@ -106,17 +111,27 @@ def _substrings(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def _table(nxt: list[dict[int, int]], base: int) -> np.ndarray:
+def _columns(automata: list[list[dict[int, int]]]) -> tuple[np.ndarray, int]:
+    """The column of each code, and their even number: a table is as wide as the codes in use need, since each worker holds it whole."""
+    used = sorted(set().union(*(nxt[0] for nxt in automata)) - {PAD})
+    out = np.zeros(PAD + 1, np.uint8)
+    out[used] = np.arange(2, len(used) + 2)
+    out[PAD] = 1
+    return out, (len(used) + 3) // 2 * 2
+
+
+def _table(nxt: list[dict[int, int]], base: int, columns: np.ndarray, width: int) -> np.ndarray:
     """Transitions as one array; a missing one ends the phrase and starts the next with this character."""
-    out = np.empty((len(nxt), WIDTH), np.int32)
-    root = np.full(WIDTH, (base << 6) | 1, np.int32)
+    out = np.empty((len(nxt), width), np.int32)
+    root = np.full(width, base * width | 1, np.int32)
     for c, to in nxt[0].items():
-        root[c] = ((base + to) << 6) | 1
-    root[PAD] = base << 6
+        root[columns[c]] = (base + to) * width | 1
+    root[columns[PAD]] = base * width
     out[:] = root
+    column = columns.tolist()
     for s, moves in enumerate(nxt):
         for c, to in moves.items():
-            out[s, c] = (base + to) << 6
+            out[s, column[c]] = (base + to) * width
     return out
 
 
@@ -159,17 +174,20 @@ def train(samples: dict[str, list[str]], rows: dict[str, int], max_chars: int =
         return Model()
     seen = Counter(c for v in samples.values() for x in v for c in x if c != " ")
     alphabet = _alphabet(seen)
-    model, tables, weights, base = Model(alphabet=alphabet), [], [], 0
+    model, automata, weights, base = Model(alphabet=alphabet), [], [], 0
     for name in sorted(samples, key=lambda k: (-rows.get(k, 0), k)):
         body = " ".join(samples[name])[:max_chars]
         codes = spelled([SPACE if c == " " else alphabet.get(c, OTHER) for c in body])[:max_chars].tolist()
-        nxt = _substrings(codes)
+        automata.append(_substrings(codes))
         weights.append(np.log2(len(codes) + 1))
-        tables.append(_table(nxt, base))
         model.languages.append(name)
-        model.roots.append(base << 6)
+    model.columns, width = _columns(automata)
+    table = np.empty((sum(map(len, automata)), width), np.int32)
+    for nxt in automata:
+        table[base : base + len(nxt)] = _table(nxt, base, model.columns, width)
+        model.roots.append(base * width)
         base += len(nxt)
-    model.table = np.concatenate(tables).reshape(-1)
+    model.table = table.reshape(-1)
     model.weights = np.array(weights)
     return model
 
@@ -232,7 +250,7 @@ def phrases(texts: list[str | None], model: Model, codes: np.ndarray) -> tuple[n
         pieces.append(padded)
         owner.extend([i] * lanes)
     if pieces and model.languages:
-        steps = np.ascontiguousarray(np.concatenate(pieces).reshape(-1, SEGMENT).T).astype(np.int32)
+        steps = np.ascontiguousarray(model.columns[np.concatenate(pieces)].reshape(-1, SEGMENT).T).astype(np.int32)
         owner = np.array(owner)
         follows = np.append(False, owner[1:] == owner[:-1])
         for k, root in enumerate(model.roots):
@@ -261,8 +279,21 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
     return train(samples, count, sample_chars)
 
 
+def _runs(texts: list[str | None]) -> list[tuple[int, int]]:
+    """Start and end of runs of texts of at most TOGETHER characters, or of one text that has more."""
+    out, start, held = [], 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > start and held + n > TOGETHER:
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    return out + [(start, len(texts))] if texts else out
+
+
 def _predicted(texts: list[str | None], model: Model, codes: np.ndarray) -> tuple[list[str], list[float]]:
-    counts, lettered = phrases(texts, model, codes)
+    parts = [phrases(texts[a:b], model, codes) for a, b in _runs(texts)]
+    counts, lettered = (np.concatenate(x) for x in zip(*parts)) if parts else phrases([], model, codes)
     if not model.languages:
         return ["und"] * len(texts), [0.0] * len(texts)
     bits = counts * model.weights

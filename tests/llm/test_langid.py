@@ -102,3 +102,19 @@ def test_held_out_accuracy(spark):
     got = entry.queries()["op9_language"](spark, sf).where("held_out")
     both = got.join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in both) >= 0.97 * len(both)
+
+
+def test_tables_are_as_wide_as_their_letters(monkeypatch):
+    """Each worker holds the table: no column for codes that no text has; results don't depend on how texts are parsed together."""
+    r = random.Random(7)
+    say = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(n))
+    model = L.train({"a": [say("abcdef", 400)], "b": [say("defghi", 300)]}, {"a": 2, "b": 1})
+    states = sum(len(L._substrings(L.spelled([model.alphabet.get(c, L.SPACE) for c in body]).tolist())) for body in (say("abcdef", 400),))
+    assert model.table.nbytes <= 3 * states * 4 * (9 + 4)
+    codes = model.codes()
+    texts = [say("abcdefghi", n) for n in (3, 900, 40)] + [None, "", "1 2", "zq ab zzz", "\u4e2d abc"] + [say("abc", 60) for _ in range(20)]
+    want = L._predicted(texts, model, codes)
+    for most in (1, 100, 1500):
+        monkeypatch.setattr(L, "TOGETHER", most)
+        assert L._predicted(texts, model, codes) == want
+    assert L._predicted([], model, codes) == ([], [])
