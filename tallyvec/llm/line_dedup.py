@@ -7,8 +7,9 @@ six blocks; lines within three bits agree on three of them at least, so they mee
 no link is missed. Lines that are as similar by edits but differ in more bits are not linked (see README for how many).
 
 Lines under one key are never expanded into all pairs: each is first compared with the nearest of its keys' pivots, their most repeated lines,
-then only lines of different components are, against the component with most of the key. Very frequent keys are dealt
-over several tasks. Equal normalised lines are one node. The first occurrence of each connected group, by document id
+then only lines of different components are, against the component with most of the key, and two of several common keys
+under the first of these. Lines that share a key of few lines, but are close to none of them, leave it before. Very
+frequent keys are dealt over several tasks. Equal normalised lines are one node. The first occurrence of each connected group, by document id
 and line number, stays; all others go.
 
 Defined results. Lines end at a newline; blank lines always stay and count as no line. A line of nothing but punctuation
@@ -20,6 +21,7 @@ Lines are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +36,8 @@ PERCENT = 90
 BLOCKS, TOGETHER = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), 3
 #: A sketch of fixed size, of one line of SEEN, finds the most frequent keys; those of more lines are dealt over tasks, GROUP lines each.
 SEEN, TRACKED, MOST_HOT, GROUP = 16, 10_000, 1000, 20_000
+#: Runs of fewer lines under a key are searched for close ones where they are.
+SMALL = 32
 #: Bit counts are summed three to a 64-bit number, LANE bits apart; each may reach 2 ** GUARD - 1.
 LANE, GUARD = 22, 18
 _ONES = 1 | 1 << LANE | 1 << 2 * LANE
@@ -103,11 +107,12 @@ def keys_of(sim: str) -> Column:
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, inside: DataFrame, needed: DataFrame) -> DataFrame:
-    """node and norm of the needed nodes, from one document each; a bit table of fixed size is broadcast, so that most other documents stop at the scan."""
+    """node and norm of the needed nodes, from one document each; bit tables of fixed size are broadcast, so that most other documents stop at the scan, and most other lines before they are shuffled."""
     rows = inside.join(needed, "node").select("row").distinct()
     keyed = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), key_of(F.col(doc_id), F.col(text)).alias("_row"))
-    lines = occurrences(_passing(keyed, "_row", rows), "doc", "text")
-    return lines.select("node", "norm").join(needed, "node").groupBy("node").agg(F.first("norm").alias("norm"))
+    lines = occurrences(_passing(keyed, "_row", rows), "doc", "text").select("node", "norm")
+    some = _passing(lines, "node", needed.select(F.col("node").alias("row")))
+    return some.join(needed, "node").groupBy("node").agg(F.first("norm").alias("norm"))
 
 
 def _passing(df: DataFrame, key: str, needed: DataFrame) -> DataFrame:
@@ -130,36 +135,63 @@ def _may(sim: Column, chars: Column, other_sim: Column, other_chars: Column, bit
     return (F.bit_count(sim.bitwiseXOR(other_sim)) <= bits) & (F.least(chars, other_chars) * 100 >= F.greatest(chars, other_chars) * percent)
 
 
-def _grouped(nodes: DataFrame, percent: int) -> DataFrame:
-    """key (of blocks, and of a run of lengths that a link can bridge), salt, node of the nodes that share a key with another; a very frequent key is dealt over tasks by salt. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt."""
-    keyed = nodes.select("node", "chars", F.explode(keys_of("sim")).alias("key"))
+def _meet(sim: Column, other_sim: Column, before: Column) -> Column:
+    """Whether the key of this group is the first that two SimHashes have in common: pairs of several keys are compared under one."""
+    apart = sim.bitwiseXOR(other_sim)
+    equal = [F.when(apart.bitwiseAND(F.lit(_signed(((1 << width) - 1) << at))) == 0, F.lit(1 << j)).otherwise(F.lit(0)) for j, (at, width) in enumerate(BLOCKS)]
+    return functools.reduce(Column.bitwiseOR, equal).bitwiseAND(before) == 0
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _before(key: Column) -> Column:
+    """Of a key: the blocks that it passes over, as bits. Two that have one of these in common too have a key before this."""
+    passed = [sum(1 << j for j in range(max(t)) if j not in t) for t in combinations(range(len(BLOCKS)), TOGETHER)]
+    return F.element_at(F.array(*map(F.lit, passed)), (F.shiftrightunsigned(key, 33) + 1).cast("int"))
+
+
+def _grouped(nodes: DataFrame, bits: int, percent: int) -> DataFrame:
+    """key (of blocks, and of a run of lengths that a link can bridge), salt, before, node, sim, chars, n of the nodes that share a key with another; a very frequent key is dealt over tasks by salt. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt.
+
+    Of runs of fewer than SMALL nodes only those stay that SimHash and length allow to be linked to another of the run,
+    and that have no earlier key in common with it: most that share a key by chance end here.
+    """
+    keyed = nodes.select("node", "chars", "sim", "n", F.explode(keys_of("sim")).alias("key"))
     some = nodes.where(F.pmod("node", F.lit(SEEN)) == 0).select(F.explode(keys_of("sim")).alias("key"))
     found = some.agg(F.expr(f"approx_top_k(key, {MOST_HOT}, {TRACKED})").alias("top")).select(F.explode("top").alias("x"))
     hot = found.where(F.col("x.count") * SEEN > GROUP).select(F.col("x.item").alias("key"), F.ceil(F.col("x.count") * SEEN / F.lit(float(GROUP))).cast("int").alias("parts"))
-    dealt = keyed.join(F.broadcast(hot), "key", "left").select("key", "node", "chars", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("salt"))
+    dealt = keyed.join(F.broadcast(hot), "key", "left").select("key", "node", "chars", "sim", "n", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("salt"))
     # by length; a line that is too long for the one before it starts a run of its own
     group = Window.partitionBy("key", "salt").orderBy("chars", "node")
     starts = F.coalesce(F.lag("chars").over(group) * 100 < F.col("chars") * percent, F.lit(True))
-    both = dealt.withColumn("starts", starts)
-    first = F.last(F.when(F.col("starts"), F.struct("node", "chars")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = both.select("key", "salt", "node", first.alias("first"), F.coalesce(F.lead("starts").over(group), F.lit(True)).alias("ends"))
-    alone = (F.col("first.node") == F.col("node")) & F.col("ends") & (F.col("salt") < 0)
-    run = F.when(F.col("salt") < 0, F.xxhash64("key", "first.chars")).otherwise(F.col("key"))
-    return both.where(~alone).select(run.alias("key"), "salt", "node")
-
-
-def _with_pivots(runs: DataFrame, inside: DataFrame) -> DataFrame:
-    """runs with pivot: of the same key and salt the line that occurs most often, as what others were copied from does, or else any."""
+    both = dealt.withColumns({"starts": starts, "place": F.row_number().over(group)})
+    first = F.last(F.when(F.col("starts"), F.struct("place", "chars")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.select("key", "salt", "node", "sim", "chars", "n", "place", first.alias("first"), F.coalesce(F.lead("starts").over(group), F.lit(True)).alias("ends"))
+    alone = (F.col("first.place") == F.col("place")) & F.col("ends") & (F.col("salt") < 0)
+    part = F.floor((F.col("place") - F.col("first.place")) / SMALL)
+    runs = both.where(~alone).groupBy("key", "salt", F.col("first.chars").alias("run"), part.alias("part")).agg(F.collect_list(F.struct("node", "sim", "chars", "n")).alias("m"))
+    near = lambda x, y: (x.node != y.node) & _may(x.sim, x.chars, y.sim, y.chars, bits, percent) & _meet(x.sim, y.sim, F.col("before"))
+    whole = (F.col("salt") < 0) & (F.col("part") == 0) & (F.size("m") < SMALL)
+    kept = F.when(whole, F.filter("m", lambda x: F.exists("m", lambda y: near(x, y)))).otherwise(F.col("m"))
+    key = F.when(F.col("salt") < 0, F.xxhash64("key", "run")).otherwise(F.col("key"))
+    return runs.withColumn("before", _before(F.col("key"))).select(key.alias("key"), "salt", "before", F.explode(kept).alias("x")).select("key", "salt", "before", "x.*")
+
+
+def _with_pivots(runs: DataFrame) -> DataFrame:
+    """runs with pivot (node, sim, chars): of the same key and salt the line that occurs most often, as what others were copied from does, or else any."""
     group = Window.partitionBy("key", "salt").orderBy(F.desc("n"), F.xxhash64("node"), "node")
-    return runs.join(inside.select("node", "n"), "node").select("key", "salt", "node", F.first("node").over(group).alias("pivot"))
+    return runs.select("key", "salt", "before", "node", "sim", "chars", F.first(F.struct("node", "sim", "chars")).over(group).alias("pivot"))
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, bits: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b): those whose SimHashes and lengths allow a link, with the number of bits in which they differ."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("sim").alias(f"{c}_sim"), F.col("chars").alias(f"{c}_chars"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    some = both.where(_may(F.col("a_sim"), F.col("a_chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
-    return some.select("a", "b", F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))).alias("bits"))
+def _to_pivots(shared: DataFrame, bits: int, percent: int) -> DataFrame:
+    """a (a pivot), b, and the number of bits in which they differ, of those that SimHashes and lengths allow to be linked: every node and its pivots, and the pivots of one key's salts and the first of them."""
+    heads = shared.where("salt >= 0").select("key", F.col("pivot").alias("x")).distinct()
+    across = heads.join(heads.groupBy("key").agg(F.min("x").alias("pivot")), "key").select("pivot", "x")
+    both = shared.select("pivot", F.struct("node", "sim", "chars").alias("x")).union(across).where("pivot.node <> x.node")
+    some = both.where(_may(F.col("pivot.sim"), F.col("pivot.chars"), F.col("x.sim"), F.col("x.chars"), bits, percent))
+    return some.select(F.col("pivot.node").alias("a"), F.col("x.node").alias("b"), F.bit_count(F.col("pivot.sim").bitwiseXOR(F.col("x.sim"))).alias("bits"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -171,27 +203,25 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     table = written(hashed(docs, doc_id, text), "lines")
     settle(docs.sparkSession)
     nodes = written(table.groupBy("node").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min("row").alias("row"), F.count("*").alias("n")), "nodes")
-    runs = written(_grouped(nodes, percent), "runs")
+    runs = written(_grouped(nodes, bits, percent), "runs")
     settle(docs.sparkSession)
-    inside = written(nodes.join(runs.select("node").distinct(), "node", "left_semi"), "inside")
+    inside = written(nodes.select("node", "row").join(runs.select("node").distinct(), "node", "left_semi"), "inside")
     dropped(nodes)
-    shared = written(_with_pivots(runs, inside), "shared")
+    shared = written(_with_pivots(runs), "shared")
     dropped(runs)
-    heads = shared.where("salt >= 0").select("key", "pivot").distinct()
-    across = heads.join(heads.groupBy("key").agg(F.min("pivot").alias("first")), "key").select(F.col("first").alias("a"), F.col("pivot").alias("b"))
-    met = _close(shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(across).where("a <> b").distinct(), inside, bits, percent)
+    met = _to_pivots(shared, bits, percent)
     stars = written(met.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b"), "stars")
     near = written(_verified(stars, written(_texts(docs, doc_id, text, inside, _ends(stars)), "texts"), percent), "near")
     labels = components(near)
     # what the pivots didn't settle: first one candidate for each line and component, then all that are still apart
     tried = stars
     for last in (False, True):
-        known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        known = shared.join(labels, "node", "left").select("key", "before", "node", "sim", "chars", F.coalesce("label", "node").alias("label"))
         counted = known.groupBy("key", "label").agg(F.count("*").alias("m"))
         mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", "top")
-        open_ = written(known.join(mixed, "key").join(inside.drop("row", "n"), "node"), "open")
+        open_ = written(known.join(mixed, "key"), "open")
         left = open_.where("label <> top").select("key", F.col("node").alias("b"), F.col("label").alias("other"), F.col("sim").alias("b_sim"), F.col("chars").alias("b_chars"))
-        rest = left.join(open_, "key").where("label <> other AND (label = top OR b < node)").where(_may(F.col("sim"), F.col("chars"), F.col("b_sim"), F.col("b_chars"), bits, percent))
+        rest = left.join(open_, "key").where("label <> other AND (label = top OR b < node)").where(_may(F.col("sim"), F.col("chars"), F.col("b_sim"), F.col("b_chars"), bits, percent) & _meet(F.col("sim"), F.col("b_sim"), F.col("before")))
         apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("b_sim")))
         if not last:
             rest = rest.groupBy("b", "label").agg(F.min(F.struct(apart.alias("bits"), F.col("node").alias("a"))).alias("x")).select(F.col("x.a").alias("a"), "b")

@@ -89,3 +89,35 @@ def test_line_in_many_repeated_rows(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert L.deduplicate(docs).count() == 0 and L.report(docs).count() == 0
+
+
+def test_lines_that_share_a_key_by_chance_leave_their_groups(spark):
+    """What is left are lines with a close one, and each close pair meets under exactly one key."""
+    r = random.Random(11)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    sims, pairs = [], set()
+    for i in range(120):
+        a = r.getrandbits(64)
+        far = a ^ (r.getrandbits(31) | 0x1F) << 33  # the first three blocks are the same
+        near = a
+        for bit in r.sample(range(64), r.randint(0, 3)):
+            near ^= 1 << bit
+        sims += [a, far] if i % 2 else [a, near]
+        if not i % 2:
+            pairs.add((2 * i, 2 * i + 1))
+    nodes = spark.createDataFrame([(i, 100, sign(x), i, 1) for i, x in enumerate(sims)], "node bigint, chars int, sim bigint, row bigint, n bigint")
+    left = L._grouped(nodes, L.BITS, L.PERCENT)
+    assert {x.node for x in left.collect()} == {x for p in pairs for x in p}
+    other = left.select("key", *(L.F.col(c).alias(f"{c}_") for c in ("node", "sim")))
+    met = left.join(other, "key").where("node < node_").where(L._meet(L.F.col("sim"), L.F.col("sim_"), L.F.col("before"))).collect()
+    assert sorted((x.node, x.node_) for x in met) == sorted(pairs)
+
+
+def test_runs_of_any_size(spark, monkeypatch):
+    """Runs that are searched where they are, that just fit, and that are not."""
+    rows = _rows(7) + [(100 + i, "a template line of the log that is long enough to be near by edits " + str(i)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = sorted((str(d), str(w)) for (d, _), w in zip(rows, brute.dedup_lines(rows)) if w is not False)
+    for small in (1, 3, 10_000):
+        monkeypatch.setattr(L, "SMALL", small)
+        assert sorted((str(x.doc_id), str(x.text)) for x in L.deduplicate(docs).collect()) == want
