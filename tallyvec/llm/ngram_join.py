@@ -6,7 +6,8 @@ l-prefixes (the first |x| - ceil(t|x|) + l shingles) share at least l. Each docu
 cost of its candidates; a pair must share the smaller l of the two within the prefixes of that length before its sets
 are compared exactly.
 
-Groups of documents that share a prefix shingle are never expanded into all pairs. Exact copies count once; every
+A set leaves a small group if size and places of the others rule out that they are similar, and all its groups if fewer
+are left than a similar set would share. Groups of documents that share a prefix shingle are never expanded into all pairs. Exact copies count once; every
 member is first compared with the group's pivot; then only members of different components that share shingles are
 candidates, against the component that has most of the group. Of the many unsettled members of a crowd around one
 component, only those are that share shingles which the pivot of the crowd lacks. Up to a shingle's place, two sets can
@@ -48,6 +49,8 @@ NEED_BITS = 25
 FREQUENT, DEVIATIONS = 100, 6.0
 #: A shingle's group, or a pivot's pairs, are dealt over tasks beyond this many.
 GROUP = 4000
+#: Groups of at most so many are searched for sets that may be similar where they are.
+FEW = 8
 #: Unsettled sets around one component that are compared by what the smallest of them lacks.
 CROWD = 32
 
@@ -231,10 +234,27 @@ def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, p
     return rows.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, prefix array<bigint>, rare bigint, often bigint, rank bigint")
 
 
-def _shared(batches):
+def _reached(group: np.ndarray, whole: np.ndarray, place: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows stay, of groups side by side: those of a whole group of at most FEW only with another of it that size and places allow to be similar, the rows of others all."""
+    sizes = np.bincount(group)
+    small = whole & (sizes[group] <= FEW)
+    stays = ~small
+    n, place = rank & 0xFFFFFFFF, place.astype(np.int64)
+    for d in range(1, min(FEW, len(group))):
+        a, b = slice(None, -d), slice(d, None)
+        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        most = np.minimum(place[a], place[b]) + 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
+        may = (group[a] == group[b]) & (high * percent <= low * 100) & (most * (100 + percent) >= (n[a] + n[b]) * percent)
+        stays[a] |= may
+        stays[b] |= may
+    return stays
+
+
+def _shared(batches, percent: int | None = None):
     """Of rows (token, salt, node, place, rank) sorted by token and salt: those in groups of several, or of a salted token, with node, place and rank of their group's first row as pivot.
 
-    Holds one batch, and of the group that goes on into the next its last row and pivot.
+    Holds one batch, and of the group that goes on into the next its last row and pivot. With percent, rows of small
+    groups stay only if another may be similar.
     """
     names = ["token", "salt", "node", "place", "rank", "pivot", "pivot_place", "pivot_rank"]
     held, size, pivot = None, 0, None  # the last row, not given out yet; how many of its group came so far, up to 2; its group's pivot
@@ -254,6 +274,12 @@ def _shared(batches):
             fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
             cols = [c[fresh] for c in cols]
             token, salt = cols[:2]
+        if percent is not None and new is not None and len(token) > 1:
+            group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+            whole = (salt < 0) & (group != group[-1]) & ((group > 0) | (not before))  # neither goes on nor began before
+            stays = _reached(group, whole, cols[3], cols[4], percent)
+            cols = [c[stays] for c in cols]
+            token, salt = cols[:2]
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
         starts = np.flatnonzero(first)
@@ -275,6 +301,13 @@ def _and_none(batches):
     yield None
 
 
+def _often_enough(shared: DataFrame, percent: int, most: int) -> DataFrame:
+    """The rows of sets that share as many shingles of their longest prefix with any others as the smallest set that can be similar calls for."""
+    smallest = F.ceil(F.ceil(F.col("n") * percent / F.lit(100)) * percent / F.lit(100))
+    met = F.count("*").over(Window.partitionBy("node"))
+    return shared.withColumn("met", met).where(F.col("met") >= F.least(F.lit(most), smallest)).drop("met")
+
+
 def _needed_sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
     """node and items (its set) of the needed nodes; a table of fixed size lets most others stop at the scan."""
     spark = docs.sparkSession
@@ -424,9 +457,11 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
 
     schema = "token bigint, salt bigint, node bigint, place int, rank bigint"
     dealt = tokens.mapInArrow(salted, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "rank", "node")
-    met = written(dealt.mapInArrow(_shared, schema + ", pivot bigint, pivot_place int, pivot_rank bigint"), "shared")
+    met = dealt.mapInArrow(lambda batches: _shared(batches, percent), schema + ", pivot bigint, pivot_place int, pivot_rank bigint")
     size_of = lambda rank: F.col(rank).bitwiseAND(F.lit((1 << 32) - 1))
-    shared = met.withColumns({"n": size_of("rank"), "pivot_n": size_of("pivot_rank")})
+    sizes = {"n": size_of("rank"), "pivot_n": size_of("pivot_rank")}
+    met = written(_often_enough(met.withColumns(sizes), percent, most).drop(*sizes), "shared")
+    shared = met.withColumns(sizes)
     settle(spark)
 
     # every member against its group's pivot, and the pivots of one shingle's salts against the first of them
@@ -437,7 +472,9 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     sized = inside.union(across).where((F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100))
     stars = sized.groupBy("a", "b", "n", "m").agg(F.count("*").alias("met"), F.max("p").alias("p"), F.max("q").alias("q"))
     # other groups of the same two may have other pivots, so these pairs' counts are too low: they count twice here, and what is missed is found below
-    stars = written(_possible(stars.withColumn("met", 2 * F.col("met")), percent).select("a", "b"), "stars")
+    stars = _possible(stars.withColumn("met", 2 * F.col("met")), percent).select("a", "b")
+    # a pivot may have left all its groups
+    stars = written(stars.join(shared.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), "stars")
     near = _checked(docs, text, stars, percent)
     labels = components(near)
 

@@ -115,3 +115,36 @@ def test_crowds_around_the_limit(spark, monkeypatch):
     assert 2 < len({c for _, c in want}) < len(rows)
     monkeypatch.setattr(N, "CROWD", 3)
     assert sorted((x.doc_id, x.component_id) for x in N.join(docs).collect()) == want
+
+
+def _prefix_rows(sets, most=N.MOST_MATCHES):
+    """(token, salt, node, place, rank) sorted, of sets of numbers that are their own order."""
+    return sorted((x, -1, i, place, len(s)) for i, s in enumerate(sets) for place, x in enumerate(sorted(s)[: len(s) - N.least_overlap(len(s)) + most]))
+
+
+def _random_sets(r):
+    sets = [set(r.sample(range(3000), r.randint(1, 80))) for _ in range(60)]
+    for i in range(0, 20, 2):
+        sets[i + 1] = set(r.sample(sorted(sets[i]), -(-9 * len(sets[i]) // 10))) | set(r.sample(range(3000), r.randint(0, 3)))
+    return sets, [(a, b) for a in range(60) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+
+
+def test_small_groups_keep_what_may_be_similar():
+    r = random.Random(12)
+    for step in (7, 50, 1000):
+        sets, similar = _random_sets(r)
+        rows = _prefix_rows(sets)
+        cut = lambda: iter([pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows[at : at + step])], names=["token", "salt", "node", "place", "rank"]) for at in range(0, len(rows), step)])
+        every = {(x["token"], x["node"]) for b in N._shared(cut()) for x in b.to_pylist()}
+        left = {(x["token"], x["node"]) for b in N._shared(cut(), 75) for x in b.to_pylist()}
+        assert left < every and len(similar) >= 8
+        of = [{x for x, _, i, *_ in rows if i == n} for n in range(60)]
+        assert all({(x, a), (x, b)} <= left for a, b in similar for x in of[a] & of[b])
+
+
+def test_sets_that_share_too_little_leave(spark):
+    sets, similar = _random_sets(random.Random(13))
+    rows = [(x, i, n) for x, _, i, _, n in _prefix_rows(sets)]
+    shared = spark.createDataFrame([x for x in rows if sum(x[0] == y[0] for y in rows) > 1], "token bigint, node bigint, n bigint")
+    left = {x.node for x in N._often_enough(shared, 75, N.MOST_MATCHES).select("node").distinct().collect()}
+    assert {x for p in similar for x in p} <= left and len(left) < 60
