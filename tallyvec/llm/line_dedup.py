@@ -3,8 +3,10 @@
 Lines are normalised (lower-cased, without the marks that end or wrap words, other marks and control characters taken as
 spaces, one space between words) and get a 64-bit SimHash of all their words. Two different normalised lines are linked if their SimHashes differ in at most BITS
 bits and their edit similarity (1 - Levenshtein distance / longer length) is at least SIMILARITY. The bits are cut into
-six blocks; lines within three bits agree on three of them at least, so they meet under one of twenty triples of blocks:
-no link is missed. Lines that are as similar by edits but differ in more bits are not linked (see README for how many).
+five blocks; lines within three bits agree on two of them at least, so they meet under one of ten pairs of blocks. Of
+more than MANY lines too many would share so few bits by chance: they are cut into six blocks and meet under one of
+twenty triples. No link is missed by either. Lines that are as similar by edits but differ in more bits are not linked
+(see README for how many).
 
 Lines under one key are never expanded into all pairs: each is first compared with the nearest of its keys' pivots, their most repeated lines,
 then only lines of different components are, against the component with most of the key, and two of several common keys
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import functools
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,14 +35,24 @@ from .common import components, dropped, fresh, settle, written
 BITS = 3
 #: Least edit similarity, as a share of whole numbers.
 PERCENT = 90
-#: First bit and width of the six blocks, of which a key has three.
-BLOCKS, TOGETHER = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), 3
+#: First bit and width of the blocks, and how many of them a key has: for up to MANY lines, and for more.
+FEW_KEYS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 2
+MANY_KEYS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), 3
+MANY = 1 << 27
+#: All blocks, and of every key (keys are numbered through) the bits of its blocks.
+BLOCKS = FEW_KEYS[0] + MANY_KEYS[0]
+KEYS = [tuple(x + at for x in t) for at, (blocks, together) in ((0, FEW_KEYS), (len(FEW_KEYS[0]), MANY_KEYS)) for t in combinations(range(len(blocks)), together)]
+N_FEW = comb(len(FEW_KEYS[0]), FEW_KEYS[1])
 #: A sketch of fixed size, of one line of SEEN, finds the most frequent keys; those of more lines are dealt over tasks, GROUP lines each.
 SEEN, TRACKED, MOST_HOT, GROUP = 16, 10_000, 1000, 20_000
 #: Runs of fewer lines under a key are searched for close ones where they are.
 SMALL = 32
+#: Keys are told apart by sorting about so many rows at a time.
+BUCKET = 1000
 #: Bit counts are summed three to a 64-bit number, LANE bits apart; each may reach 2 ** GUARD - 1.
 LANE, GUARD = 22, 18
+#: Words whose bits are counted before they are summed; one less than a power of two.
+TOGETHER = 15
 _ONES = 1 | 1 << LANE | 1 << 2 * LANE
 _MOST_WORDS = (1 << GUARD) - 1
 #: Bits of the table that says which lines' texts are needed; others pass by mistake at times and only cost time.
@@ -84,13 +97,42 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return once(lines.select("copy", "row", "doc", "line", "norm"), "node", F.xxhash64("norm"))
 
 
+def _added(planes: list[Column]) -> tuple[Column, list[Column]]:
+    """Numbers of 64 bits (an odd number of them) added bit by bit: the ones of each bit's sum, and what carries into the twos."""
+    ones, carries = planes[0], []
+    for a, b in zip(planes[1::2], planes[2::2]):
+        either = a.bitwiseXOR(b)
+        carries.append(a.bitwiseAND(b).bitwiseOR(ones.bitwiseAND(either)))
+        ones = ones.bitwiseXOR(either)
+    return ones, carries
+
+
+def _planes(lines: DataFrame, words: str, by: list[str]) -> DataFrame:
+    """by, some (a number of words), and p0 to p3 for every TOGETHER of the line's words: the binary digits of how many of them have each bit set in their hash."""
+    at = lines.select(*by, words, F.explode(F.sequence(F.lit(0), F.size(words) - 1, F.lit(TOGETHER))).alias("at"))
+    inside = lambda i: F.when(F.col("at") + i < F.size(words), F.xxhash64(F.get(words, F.col("at") + i))).otherwise(F.lit(0).cast("bigint"))
+    some = F.least(F.lit(TOGETHER), F.size(words) - F.col("at")).alias("some")
+    out = once(at, "h", F.struct(*(inside(i).alias(f"h{i}") for i in range(TOGETHER)))).select(*by, some, "h")
+    planes, held = [], [F.col(f"h.h{i}") for i in range(TOGETHER)]
+    while len(held) > 1:
+        ones, carries = _added(held)
+        level = f"x{len(planes)}"
+        out = once(out, level, F.struct(ones.alias("p"), *(c.alias(f"c{i}") for i, c in enumerate(carries)))).select(*by, "some", *(F.col(p).alias(p) for p in planes), level)
+        out = out.select(*by, "some", *planes, F.col(f"{level}.p").alias(f"p{len(planes)}"), level)
+        planes.append(f"p{len(planes)}")
+        held = [F.col(f"{level}.c{i}") for i in range(len(carries))]
+    return out.select(*by, "some", *planes, held[0].alias(f"p{len(planes)}"))
+
+
 def hashed(docs: DataFrame, doc_id: str, text: str, most: int = _MOST_WORDS) -> DataFrame:
     """row, doc, line, node, chars, sim of every line that isn't blank: votes are summed per line of each row, repeated or not, and combined before they are shuffled. Lines of more than most words have sums of their own."""
     by = ["copy", "row", "doc", "line", "node", "chars"]
     words = lambda lines: lines.select("copy", "row", "doc", "line", "node", F.length("norm").alias("chars"), F.split("norm", " ").alias("words"))
     voted = lambda some: some.select(*by, F.explode("words").alias("word")).select(*by, F.xxhash64("word").alias("h")).groupBy(*by)
-    votes = [F.expr(f"sum(shiftrightunsigned(h, {i}) & {_ONES}L)").alias(f"v{i}") for i in range(LANE)]
-    summed = voted(words(occurrences(docs, doc_id, text)).where(F.size("words") <= most)).agg(F.count("*").alias("total"), *votes)
+    lines = once(occurrences(docs, doc_id, text), "words", F.split("norm", " ")).where(F.size("words") <= most)
+    planes = _planes(lines.select("copy", "row", "doc", "line", "node", F.length("norm").alias("chars"), "words"), "words", by)
+    votes = [F.expr("sum(" + " + ".join(f"{1 << p}L * (shiftrightunsigned(p{p}, {i}) & {_ONES}L)" for p in range(TOGETHER.bit_length())) + ")").alias(f"v{i}") for i in range(LANE)]
+    summed = planes.groupBy(*by).agg(F.sum("some").alias("total"), *votes)
     guard, need = f"{(1 << GUARD) * _ONES}L", f"(total div 2 + 1) * {_ONES}L"
     bits = " | ".join(f"shiftleft(shiftrightunsigned(v{i} + {guard} - {need}, {GUARD}) & {_ONES if i + 2 * LANE < 64 else 1 | 1 << LANE}L, {i})" for i in range(LANE))
     short = summed.select("row", "doc", "line", "node", "chars", F.expr(bits).alias("sim"))
@@ -100,10 +142,20 @@ def hashed(docs: DataFrame, doc_id: str, text: str, most: int = _MOST_WORDS) ->
     return short.union(sums.select("row", "doc", "line", "node", "chars", F.expr(bits).alias("sim")))
 
 
-def keys_of(sim: str) -> Column:
-    """The twenty keys: which three blocks, and their bits."""
-    cut = [f"(shiftrightunsigned({sim}, {at}) & {(1 << width) - 1}L)" for at, width in BLOCKS]
-    return F.array(*(F.expr(f"{n}L * {1 << 33}L + {cut[a]} * {1 << 22}L + {cut[b]} * {1 << 11}L + {cut[c]}") for n, (a, b, c) in enumerate(combinations(range(len(BLOCKS)), TOGETHER))))
+def key_numbers(lines: int) -> range:
+    """The numbers of the keys by which so many lines meet."""
+    return range(N_FEW) if lines <= MANY else range(N_FEW, len(KEYS))
+
+
+def _key(number: Column, sim: Column) -> Column:
+    """Key of this number: a hash of it and of its blocks' bits."""
+    masks = [_signed(sum(((1 << width) - 1) << at for at, width in (BLOCKS[j] for j in t))) for t in KEYS]
+    return F.xxhash64(sim.bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), number + 1)), number)
+
+
+def keys_of(sim: str, numbers: range = range(N_FEW)) -> Column:
+    """The keys of these numbers."""
+    return F.array(*(_key(F.lit(n), F.col(sim)) for n in numbers))
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, inside: DataFrame, needed: DataFrame) -> DataFrame:
@@ -146,41 +198,55 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _before(key: Column) -> Column:
-    """Of a key: the blocks that it passes over, as bits. Two that have one of these in common too have a key before this."""
-    passed = [sum(1 << j for j in range(max(t)) if j not in t) for t in combinations(range(len(BLOCKS)), TOGETHER)]
-    return F.element_at(F.array(*map(F.lit, passed)), (F.shiftrightunsigned(key, 33) + 1).cast("int"))
+def _before(number: Column) -> Column:
+    """Of the key of this number: the blocks that it passes over, as bits. Two that have one of these in common too have a key before this."""
+    passed = [sum(1 << j for j in range(0 if n < N_FEW else len(FEW_KEYS[0]), max(t)) if j not in t) for n, t in enumerate(KEYS)]
+    return F.element_at(F.array(*map(F.lit, passed)), (number + 1).cast("int"))
 
 
 def _grouped(nodes: DataFrame, bits: int, percent: int) -> DataFrame:
-    """key (of blocks, and of a run of lengths that a link can bridge), salt, before, node, sim, chars, n of the nodes that share a key with another; a very frequent key is dealt over tasks by salt. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt.
+    """key (of blocks, and of a run of lengths that a link can bridge), salt, before, node, sim, chars of the nodes that share a key with another; a very frequent key is dealt over tasks by salt. The sketch that says which are frequent reads one line of SEEN by hash; it only decides how they are dealt.
 
     Of runs of fewer than SMALL nodes only those stay that SimHash and length allow to be linked to another of the run,
     and that have no earlier key in common with it: most that share a key by chance end here.
     """
-    keyed = nodes.select("node", "chars", "sim", "n", F.explode(keys_of("sim")).alias("key"))
-    some = nodes.where(F.pmod("node", F.lit(SEEN)) == 0).select(F.explode(keys_of("sim")).alias("key"))
+    lines = nodes.count()
+    numbers = key_numbers(lines)
+    some = nodes.where(F.pmod("node", F.lit(SEEN)) == 0).select(F.explode(keys_of("sim", numbers)).alias("key"))
     found = some.agg(F.expr(f"approx_top_k(key, {MOST_HOT}, {TRACKED})").alias("top")).select(F.explode("top").alias("x"))
     hot = found.where(F.col("x.count") * SEEN > GROUP).select(F.col("x.item").alias("key"), F.ceil(F.col("x.count") * SEEN / F.lit(float(GROUP))).cast("int").alias("parts"))
-    dealt = keyed.join(F.broadcast(hot), "key", "left").select("key", "node", "chars", "sim", "n", F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("salt"))
-    # by length; a line that is too long for the one before it starts a run of its own
-    group = Window.partitionBy("key", "salt").orderBy("chars", "node")
-    starts = F.coalesce(F.lag("chars").over(group) * 100 < F.col("chars") * percent, F.lit(True))
-    both = dealt.withColumns({"starts": starts, "place": F.row_number().over(group)})
+    keyed = nodes.select("node", "sim", "chars", F.explode(F.array(*map(F.lit, numbers))).alias("number"))
+    # number, length and salt + 1 travel as one number; the key is made of these and the SimHash again where it is needed
+    salt = F.coalesce(F.pmod(F.xxhash64("node"), "parts") + 1, F.lit(0).cast("bigint"))
+    packed = F.col("number") + F.shiftleft(F.col("chars").cast("bigint"), 5) + F.shiftleft(salt, 36)
+    sent = keyed.join(F.broadcast(hot), _key(F.col("number"), F.col("sim")) == F.col("key"), "left").select("node", "sim", packed.alias("packed"))
+    number = F.col("packed").bitwiseAND(F.lit(31)).cast("int")
+    salt = (F.shiftrightunsigned("packed", 36) - 1).cast("int")
+    own = F.xxhash64(_key(number, F.col("sim")), salt)
+    bucket = F.pmod(own, F.lit(max(1, lines * len(numbers) // BUCKET)))
+    chars = F.shiftrightunsigned("packed", 5).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    dealt = sent.repartition(bucket).select(bucket.alias("bucket"), own.alias("own"), "node", "sim", chars.alias("chars"), "packed")
+    # by length; a line that is too long for the one before it starts a run of its own. Most keys have one line: they go first, many keys at a time
+    group = Window.partitionBy("bucket").orderBy("own", "chars", "node")
+    last, far = F.struct("own", "chars"), lambda x, y: F.coalesce((x.own != y.own) | (x.chars * F.lit(100).cast("bigint") < y.chars * F.lit(percent)), F.lit(True))
+    both = dealt.select("*", F.lag(last).over(group).alias("x"), F.lead(last).over(group).alias("z"))
+    both = both.where(~(far(F.col("x"), last) & far(last, F.col("z"))) | (salt >= 0))
+    group = Window.partitionBy("bucket", "own").orderBy("chars", "node")
+    both = both.select("bucket", "own", "node", "sim", "chars", number.alias("number"), salt.alias("salt"), far(F.col("x"), last).alias("starts"), F.row_number().over(group).alias("place"))
     first = F.last(F.when(F.col("starts"), F.struct("place", "chars")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = both.select("key", "salt", "node", "sim", "chars", "n", "place", first.alias("first"), F.coalesce(F.lead("starts").over(group), F.lit(True)).alias("ends"))
-    alone = (F.col("first.place") == F.col("place")) & F.col("ends") & (F.col("salt") < 0)
+    both = both.select("bucket", "own", "number", "salt", "node", "sim", "chars", "place", first.alias("first"))
     part = F.floor((F.col("place") - F.col("first.place")) / SMALL)
-    runs = both.where(~alone).groupBy("key", "salt", F.col("first.chars").alias("run"), part.alias("part")).agg(F.collect_list(F.struct("node", "sim", "chars", "n")).alias("m"))
+    runs = both.groupBy("bucket", "own", "number", "salt", F.col("first.chars").alias("run"), part.alias("part")).agg(F.collect_list(F.struct("node", "sim", "chars")).alias("m"))
     near = lambda x, y: (x.node != y.node) & _may(x.sim, x.chars, y.sim, y.chars, bits, percent) & _meet(x.sim, y.sim, F.col("before"))
     whole = (F.col("salt") < 0) & (F.col("part") == 0) & (F.size("m") < SMALL)
     kept = F.when(whole, F.filter("m", lambda x: F.exists("m", lambda y: near(x, y)))).otherwise(F.col("m"))
-    key = F.when(F.col("salt") < 0, F.xxhash64("key", "run")).otherwise(F.col("key"))
-    return runs.withColumn("before", _before(F.col("key"))).select(key.alias("key"), "salt", "before", F.explode(kept).alias("x")).select("key", "salt", "before", "x.*")
+    left = runs.withColumn("before", _before(F.col("number"))).select("own", "number", "salt", "run", "before", F.explode(kept).alias("x"))
+    key = F.when(F.col("salt") < 0, F.xxhash64("own", "run")).otherwise(_key(F.col("number"), F.col("x.sim")))
+    return left.select(key.alias("key"), "salt", "before", "x.*")
 
 
 def _with_pivots(runs: DataFrame) -> DataFrame:
-    """runs with pivot (node, sim, chars): of the same key and salt the line that occurs most often, as what others were copied from does, or else any."""
+    """runs (with n, how often a line occurs) with pivot (node, sim, chars): of the same key and salt the line that occurs most often, as what others were copied from does, or else any."""
     group = Window.partitionBy("key", "salt").orderBy(F.desc("n"), F.xxhash64("node"), "node")
     return runs.select("key", "salt", "before", "node", "sim", "chars", F.first(F.struct("node", "sim", "chars")).over(group).alias("pivot"))
 
@@ -205,9 +271,9 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bits:
     nodes = written(table.groupBy("node").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min("row").alias("row"), F.count("*").alias("n")), "nodes")
     runs = written(_grouped(nodes, bits, percent), "runs")
     settle(docs.sparkSession)
-    inside = written(nodes.select("node", "row").join(runs.select("node").distinct(), "node", "left_semi"), "inside")
+    inside = written(nodes.select("node", "row", "n").join(runs.select("node").distinct(), "node", "left_semi"), "inside")
     dropped(nodes)
-    shared = written(_with_pivots(runs), "shared")
+    shared = written(_with_pivots(runs.join(inside.select("node", "n"), "node")), "shared")
     dropped(runs)
     met = _to_pivots(shared, bits, percent)
     stars = written(met.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b"), "stars")

@@ -121,3 +121,40 @@ def test_runs_of_any_size(spark, monkeypatch):
     for small in (1, 3, 10_000):
         monkeypatch.setattr(L, "SMALL", small)
         assert sorted((str(x.doc_id), str(x.text)) for x in L.deduplicate(docs).collect()) == want
+
+
+def test_few_keys_until_there_are_many_lines(spark, monkeypatch):
+    """Ten keys a line, or twenty of many lines: by both, lines within three bits meet, and the same lines stay."""
+    r = random.Random(13)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = []
+    for _ in range(300):
+        a = b = r.getrandbits(64)
+        for bit in r.sample(range(64), 3):
+            b ^= 1 << bit
+        pairs.append((sign(a), sign(b)))
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for lines, keys in ((1000, 10), (L.MANY + 1, 20)):
+        numbers = L.key_numbers(lines)
+        got = df.select(L.keys_of("a", numbers).alias("x"), L.keys_of("b", numbers).alias("y")).collect()
+        assert all(len(x.x) == keys and set(x.x) & set(x.y) for x in got)
+    rows = _rows(8)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = sorted((str(d), str(w)) for (d, _), w in zip(rows, brute.dedup_lines(rows)) if w is not False)
+    for many in (1 << 27, 0):
+        monkeypatch.setattr(L, "MANY", many)
+        assert sorted((str(x.doc_id), str(x.text)) for x in L.deduplicate(docs).collect()) == want
+
+
+def test_bits_are_counted_some_words_at_a_time(spark):
+    """A row for each fifteen words instead of each word, with the binary digits of every bit's count."""
+    r = random.Random(14)
+    lines = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (1, 2, 14, 15, 16, 30, 31, 100)]
+    df = spark.createDataFrame([(i, x.split()) for i, x in enumerate(lines)], "node bigint, words array<string>")
+    got = L._planes(df, "words", ["node"]).collect()
+    assert len(got) == sum(-(-len(x.split()) // 15) for x in lines)
+    for i, x in enumerate(lines):
+        own = [y for y in got if y.node == i]
+        assert sum(y.some for y in own) == len(x.split())
+        want = [sum(brute.xxhash.xxh64_intdigest(w.encode(), seed=42) >> bit & 1 for w in x.split()) for bit in range(64)]
+        assert [sum((y[f"p{p}"] >> bit & 1) << p for y in own for p in range(4)) for bit in range(64)] == want
