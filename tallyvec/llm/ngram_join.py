@@ -6,8 +6,10 @@ l-prefixes (the first |x| - ceil(t|x|) + l shingles) share at least l. Each docu
 cost of its candidates; a pair must share the smaller l of the two within the prefixes of that length before its sets
 are compared exactly.
 
-A set leaves a small group if size and places of the others rule out that they are similar, and all its groups if fewer
-are left than a similar set would share. Groups of documents that share a prefix shingle are never expanded into all pairs. Exact copies count once; every
+Documents that share a prefix shingle are a group. A small group (of at most FEW) gives the pairs whose sizes and places
+allow them to be similar; these are counted over all small groups, and compared if they can reach the similarity. All others
+share shingles of large groups only. A set leaves large groups if fewer are left than a similar set would share. They are
+never expanded into all pairs. Exact copies count once; every
 member is first compared with the group's pivot; then only members of different components that share shingles are
 candidates, against the component that has most of the group. Of the many unsettled members of a crowd around one
 component, only those are that share shingles which the pivot of the crowd lacks. Up to a shingle's place, two sets can
@@ -49,7 +51,7 @@ NEED_BITS = 25
 FREQUENT, DEVIATIONS = 100, 6.0
 #: A shingle's group, or a pivot's pairs, are dealt over tasks beyond this many.
 GROUP = 4000
-#: Groups of at most so many are searched for sets that may be similar where they are.
+#: Groups of at most so many are searched for sets that may be similar where they are, and give pairs of these instead of rows.
 FEW = 8
 #: Unsettled sets around one component that are compared by what the smallest of them lacks.
 CROWD = 32
@@ -200,68 +202,90 @@ def _usual(counts: np.ndarray) -> float:
     return float(np.median(counts[counts > 0])) if (counts > 0).any() else 0.0
 
 
-def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, percent: int, most: int) -> DataFrame:
-    """doc_id, n, node (a hash of the set), the longest prefix in the global order (null where the same task gave it before), how many shingles are rare (they come first), a key of the frequent ones, and rank: n after how uncommon the set's shingles are on the whole, so that the middle of a group of near copies ranks first."""
+def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node (a hash of the set), how many shingles are rare (they come first), a key of the frequent ones, whether the same task gave none of this set before; node, rank and the longest prefix in the global order, for the latter). Rank is n after how uncommon the set's shingles are on the whole, so that the middle of a group of near copies ranks first.
+
+    Both are made from the texts: prefixes are too large a table to be written first.
+    """
     usual = _usual(counts)
     most_rare = usual + max(FREQUENT, DEVIATIONS * usual**0.5)
     held = docs.sparkSession.sparkContext.broadcast(counts)
     kind = docs.schema[doc_id].dataType.simpleString()
 
+    def fresh_in(seen: set[int], node: int) -> bool:
+        if node in seen:
+            return False
+        if len(seen) > _LIMIT:
+            seen.clear()
+        seen.add(node)
+        return True
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            n, nodes, prefixes, rare, keys, ranks = [], [], [], [], [], []
+            n, nodes, rare, keys, new = [], [], [], [], []
             for own in shingle_sets(batch.column(1).to_pylist()):
                 node = node_of(own)
-                count = held.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                often = own[count > most_rare]
+                often = own[held.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > most_rare]
                 n.append(len(own))
                 nodes.append(node)
                 rare.append(len(own) - len(often))
                 keys.append(node_of(often))
-                ranks.append((int(1000 * (32 - np.log2(count.astype(np.float64)).mean())) << 32 | len(own)) if len(own) else 0)
-                if node in seen:
-                    prefixes.append(None)
-                else:
-                    if len(seen) > _LIMIT:
-                        seen.clear()
-                    seen.add(node)
+                new.append(fresh_in(seen, node))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(rare, pa.int64()), pa.array(keys, pa.int64()), pa.array(new, pa.bool_())], names=["doc_id", "n", "node", "rare", "often", "new"])
+
+    def cut(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, ranks, prefixes = [], [], []
+            for own in shingle_sets(batch.column(0).to_pylist()):
+                node = node_of(own)
+                if len(own) and fresh_in(seen, node):
+                    count = held.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                     order = np.argsort(count, kind="stable")
-                    prefixes.append(own[order[: len(own) - least_overlap(len(own), percent) + most]].view(np.int64) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(rare, pa.int64()), pa.array(keys, pa.int64()), pa.array(ranks, pa.int64())], names=["doc_id", "n", "node", "prefix", "rare", "often", "rank"])
+                    nodes.append(node)
+                    ranks.append(int(1000 * (32 - np.log2(count.astype(np.float64)).mean())) << 32 | len(own))
+                    prefixes.append(own[order[: len(own) - least_overlap(len(own), percent) + most]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ranks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "rank", "prefix"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, prefix array<bigint>, rare bigint, often bigint, rank bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, rare bigint, often bigint, new boolean"), rows.select("text").mapInArrow(cut, "node bigint, rank bigint, prefix array<bigint>")
 
 
-def _reached(group: np.ndarray, whole: np.ndarray, place: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows stay, of groups side by side: those of a whole group of at most FEW only with another of it that size and places allow to be similar, the rows of others all."""
-    sizes = np.bincount(group)
-    small = whole & (sizes[group] <= FEW)
-    stays = ~small
+def _may(group: np.ndarray, place: np.ndarray, rank: np.ndarray, percent: int):
+    """Of rows in groups side by side, by how far two rows of at most FEW are apart: that distance, and which rows size and place allow to be similar to the row so far behind it of the same group."""
     n, place = rank & 0xFFFFFFFF, place.astype(np.int64)
     for d in range(1, min(FEW, len(group))):
         a, b = slice(None, -d), slice(d, None)
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         most = np.minimum(place[a], place[b]) + 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
-        may = (group[a] == group[b]) & (high * percent <= low * 100) & (most * (100 + percent) >= (n[a] + n[b]) * percent)
-        stays[a] |= may
-        stays[b] |= may
-    return stays
+        yield d, (group[a] == group[b]) & (high * percent <= low * 100) & (most * (100 + percent) >= (n[a] + n[b]) * percent)
+
+
+def _reached(group: np.ndarray, whole: np.ndarray, place: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows stay, of groups side by side: those of a whole group of at most FEW only with another of it that size and places allow to be similar, the rows of others all. And which rows are of such small groups."""
+    small = whole & (np.bincount(group)[group] <= FEW)
+    stays = ~small
+    for d, may in _may(group, place, rank, percent):
+        stays[:-d] |= may
+        stays[d:] |= may
+    return stays, small
 
 
 def _shared(batches, percent: int | None = None):
     """Of rows (token, salt, node, place, rank) sorted by token and salt: those in groups of several, or of a salted token, with node, place and rank of their group's first row as pivot.
 
     Holds one batch, and of the group that goes on into the next its last row and pivot. With percent, rows of small
-    groups stay only if another may be similar.
+    groups stay only if another may be similar, and all have a column more: whether their group is one of these.
     """
-    names = ["token", "salt", "node", "place", "rank", "pivot", "pivot_place", "pivot_rank"]
+    names = ["token", "salt", "node", "place", "rank", *(["small"] if percent is not None else []), "pivot", "pivot_place", "pivot_rank"]
     held, size, pivot = None, 0, None  # the last row, not given out yet; how many of its group came so far, up to 2; its group's pivot
     for batch in _and_none(batches):
         if batch is not None and not batch.num_rows:
             continue
         new = [c.to_numpy() for c in batch.columns] if batch is not None else None
+        if new is not None and percent is not None:
+            new.append(np.zeros(batch.num_rows, bool))
         if held is None:
             if new is None:
                 return
@@ -277,7 +301,7 @@ def _shared(batches, percent: int | None = None):
         if percent is not None and new is not None and len(token) > 1:
             group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
             whole = (salt < 0) & (group != group[-1]) & ((group > 0) | (not before))  # neither goes on nor began before
-            stays = _reached(group, whole, cols[3], cols[4], percent)
+            stays, cols[5] = _reached(group, whole, cols[3], cols[4], percent)
             cols = [c[stays] for c in cols]
             token, salt = cols[:2]
         first = np.ones(len(token), bool)
@@ -301,6 +325,44 @@ def _and_none(batches):
     yield None
 
 
+def _rows_and_pairs(batches, percent: int):
+    """Of rows (token, salt, node, place, rank) sorted by token and salt: what _shared() gives for large groups, and a pair (a, b, n, m, p, q) for every two of a small group that size and places allow to be similar, with their sizes and places, a < b. The other's columns are null."""
+    for batch in _shared(batches, percent):
+        small = batch.column("small").to_numpy(zero_copy_only=False)
+        token, node, place, rank = (batch.column(c).to_numpy()[small] for c in ("token", "node", "place", "rank"))
+        pairs = []
+        for d, may in _may(token, place, rank, percent):
+            x, y = np.flatnonzero(may), np.flatnonzero(may) + d
+            turn = node[x] > node[y]
+            x, y = np.where(turn, y, x), np.where(turn, x, y)
+            pairs.append([node[x], node[y], rank[x] & 0xFFFFFFFF, rank[y] & 0xFFFFFFFF, place[x], place[y]])
+        pairs = [pa.array(np.concatenate(c)) for c in zip(*pairs)] or [pa.array([], pa.int64())] * 4 + [pa.array([], pa.int32())] * 2
+        rows = batch.filter(pa.array(~small)).drop_columns(["small"])
+        none = lambda some, k: [pa.nulls(k, c.type) for c in some]
+        names = [*rows.schema.names, "a", "b", "n", "m", "p", "q"]
+        yield pa.RecordBatch.from_arrays([*rows.columns, *none(pairs, rows.num_rows)], names=names)
+        yield pa.RecordBatch.from_arrays([*none(rows.columns, len(pairs[0])), *pairs], names=names)
+
+
+def _pairs_of_few(met: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b, n, m, met of the pairs of small groups that can be similar: all that share a shingle of a small group in their longest prefixes, whatever else they share.
+
+    Shared shingles are those of small groups in both prefixes, which were counted; of large groups in both, no more
+    than either has rows of; and others, no more than either has after the last place counted, and than the one has
+    after its prefix whose prefix ends first.
+    """
+    large = met.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("large"))
+    found = met.where("a IS NOT NULL").groupBy("a", "b", "n", "m").agg(F.count("*").alias("met"), F.max("p").alias("p"), F.max("q").alias("q"))
+    after = lambda n: F.greatest(F.lit(0), F.ceil(F.col(n) * percent / F.lit(100)) - most)
+    rest = F.least(F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1, F.greatest(after("n"), after("m")))
+    least = _least_common("n", "m", percent)
+    # most pairs end here, or as either has no row of a large group
+    found = found.withColumn("missing", least - F.col("met") - rest)
+    for x in ("a", "b"):
+        found = found.join(large.withColumnsRenamed({"node": x, "large": f"large_{x}"}), x, "left").where(f"missing <= coalesce(large_{x}, 0)")
+    return found.select("a", "b", "n", "m", "met")
+
+
 def _often_enough(shared: DataFrame, percent: int, most: int) -> DataFrame:
     """The rows of sets that share as many shingles of their longest prefix with any others as the smallest set that can be similar calls for."""
     smallest = F.ceil(F.ceil(F.col("n") * percent / F.lit(100)) * percent / F.lit(100))
@@ -441,10 +503,12 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     spark = docs.sparkSession
     prepare(spark)
     counts = bucket_counts(docs, text)
-    signed = written(signatures(docs, counts, doc_id=doc_id, text=text, percent=percent, most=most), "signatures")
+    settle(spark)
+    signed, prefixes = signatures(docs, counts, doc_id=doc_id, text=text, percent=percent, most=most)
+    signed = written(signed, "signatures")
     usual = _usual(counts)
     hot = spark.sparkContext.broadcast(counts)
-    tokens = signed.select("node", "rank", F.posexplode("prefix").alias("place", "token")).select("token", "node", "place", "rank")
+    tokens = prefixes.select("node", "rank", F.posexplode("prefix").alias("place", "token")).select("token", "node", "place", "rank")
 
     def salted(batches):
         """salt: -1, or for a frequent shingle one of as many as its bucket's count calls for."""
@@ -457,11 +521,17 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
 
     schema = "token bigint, salt bigint, node bigint, place int, rank bigint"
     dealt = tokens.mapInArrow(salted, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "rank", "node")
-    met = dealt.mapInArrow(lambda batches: _shared(batches, percent), schema + ", pivot bigint, pivot_place int, pivot_rank bigint")
+    columns = schema + ", pivot bigint, pivot_place int, pivot_rank bigint, a bigint, b bigint, n bigint, m bigint, p int, q int"
+    both = written(dealt.mapInArrow(lambda batches: _rows_and_pairs(batches, percent), columns), "met")
+    settle(spark)
+    # two that share a shingle of a small group are settled as pairs, and all others by the rows of large groups alone
+    few = written(_pairs_of_few(both, percent, most), "few")
+    met = both.where("node IS NOT NULL").drop("a", "b", "n", "m", "p", "q")
     size_of = lambda rank: F.col(rank).bitwiseAND(F.lit((1 << 32) - 1))
     sizes = {"n": size_of("rank"), "pivot_n": size_of("pivot_rank")}
     met = written(_often_enough(met.withColumns(sizes), percent, most).drop(*sizes), "shared")
     shared = met.withColumns(sizes)
+    dropped(both)
     settle(spark)
 
     # every member against its group's pivot, and the pivots of one shingle's salts against the first of them
@@ -474,7 +544,11 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     # other groups of the same two may have other pivots, so these pairs' counts are too low: they count twice here, and what is missed is found below
     stars = _possible(stars.withColumn("met", 2 * F.col("met")), percent).select("a", "b")
     # a pivot may have left all its groups
-    stars = written(stars.join(shared.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), "stars")
+    stars = stars.join(shared.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # of the pairs of small groups first the one of each set that shares most
+    ends = few.select("a", "b", "met", F.explode(F.array("a", "b")).alias("node"))
+    best = ends.groupBy("node").agg(F.max(F.struct("met", "a", "b")).alias("x")).select("x.a", "x.b")
+    stars = written(stars.union(best).distinct(), "stars")
     near = _checked(docs, text, stars, percent)
     labels = components(near)
 
@@ -495,7 +569,7 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     mixed_rows = _mixed_groups(parties, ["token"], "party", "parties")
     dropped(open_)
     dropped(done)
-    facts = signed.where("prefix IS NOT NULL").select("node", "n", "rare", "often").distinct()
+    facts = signed.where("new").select("node", "n", "rare", "often").distinct()
     smallest = facts.where("rare < n").groupBy("often").agg(F.min(F.struct("n", "node")).alias("s")).select(F.col("s.node").alias("node"), F.lit(True).alias("smallest"))
     own = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("bigint")  # places up to own are in the 1-prefix
     # a prefix that reaches frequent shingles is matched on one shingle; all rarer ones are joined as they are
@@ -530,15 +604,17 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("n", "m"), ("m", "n"), ("p", "q"), ("q", "p"))]
     rare = shared_places(rare_left.where("NOT in_top"), rare_right, "(party = top OR a < b)").select(*turned, "least")
     often = shared_places(often_left.where("NOT in_top"), partners, "true").union(shared_places(often_left.where("in_top"), partners.where("party <> top"), "true"))
-    rest = candidates(rare).union(candidates(often))
-    rest = written(rest.distinct(), "rest")
+    of = lambda x: labels.withColumnsRenamed({"node": x, "label": f"label_{x}"})
+    apart = few.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
+    rest = candidates(rare).union(candidates(often)).union(apart).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = written(rest, "rest")
     if rest.limit(1).count():
         more = _checked(docs, text, rest, percent)
         if more.limit(1).count():
             dropped(labels)
             labels = components(near.union(more))
         dropped(more)
-    for t in (stars, mixed_rows, rows, rest, near):
+    for t in (few, stars, mixed_rows, rows, rest, near):
         dropped(t)
     settle(spark)
     return signed.select("doc_id", "n", "node"), labels

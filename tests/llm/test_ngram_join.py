@@ -148,3 +148,41 @@ def test_sets_that_share_too_little_leave(spark):
     shared = spark.createDataFrame([x for x in rows if sum(x[0] == y[0] for y in rows) > 1], "token bigint, node bigint, n bigint")
     left = {x.node for x in N._often_enough(shared, 75, N.MOST_MATCHES).select("node").distinct().collect()}
     assert {x for p in similar for x in p} <= left and len(left) < 60
+
+
+def test_two_that_share_much_meet_once(spark, monkeypatch):
+    r = random.Random(14)
+    vocab = [f"w{i}" for i in range(9000)]
+    passages, rows = [[r.choice(vocab) for _ in range(40)] for _ in range(12)], []
+    for k in range(12):  # pairs of texts that share about half of their shingles, too few to be similar; what they don't share is less rare
+        half = [r.choice(vocab) for _ in range(200)]
+        rows += [(len(rows) + i, " ".join(half + sum(r.sample(passages, 4), []))) for i in range(2)]
+    counts, written = {}, N.written
+
+    def counted(df, name, *args):
+        out = written(df, name, *args)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert all(x.component_id == x.doc_id for x in N.join(docs).collect())
+    assert counts["rows"] <= 12  # before: every shared shingle of the prefixes, twice
+
+
+def test_pairs_of_small_groups_are_whole(spark, monkeypatch):
+    for seed in (15, 16):
+        rows = _rows(seed, 50)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        want = sorted((str(d), len(brute.shingles(t)), str(c)) for (d, t), c in zip(rows, brute.near_components(rows)))
+        assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in N.join(docs).collect()) == want
+    for seed, most, few in ((18, 6, 8), (19, 2, 8), (20, 6, 3), (21, 1, 2)):
+        monkeypatch.setattr(N, "FEW", few)
+        sets, similar = _random_sets(random.Random(seed))
+        rows = _prefix_rows(sets, most)
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, t)) for c, t in zip(zip(*rows[at : at + 40]), (np.int64, np.int64, np.int64, np.int32, np.int64))], names=["token", "salt", "node", "place", "rank"]) for at in range(0, len(rows), 40)]
+        met = [x for b in N._rows_and_pairs(iter(batches), 75) for x in b.to_pylist()]
+        met = spark.createDataFrame([tuple(x[c] for c in ("node", "a", "b", "n", "m", "p", "q")) for x in met], "node bigint, a bigint, b bigint, n bigint, m bigint, p int, q int")
+        found = {(x.a, x.b) for x in N._pairs_of_few(met, 75, most).collect()}
+        some = {(x.a, x.b) for x in met.where("a IS NOT NULL").collect()}
+        assert {(min(p), max(p)) for p in similar} & some <= found and 0 < len(found) < len(some)
