@@ -57,8 +57,8 @@ FEW = 8
 CROWD = 32
 
 _LIMIT = 1_000_000
-#: Bytes that are hashed together.
-BLOCK = 1 << 20
+#: Bytes that are hashed together, and rows of prefixes that are given out together.
+BLOCK, PREFIX_ROWS = 1 << 20, 1 << 16
 # a word's hash is a polynomial of its bytes' numbers in _BASE, modulo 2 ** 64, whatever its place in the text
 _BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, np.uint8)
@@ -203,13 +203,13 @@ def _usual(counts: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node (a hash of the set), how many shingles are rare (they come first), a key of the frequent ones, whether the same task gave none of this set before; node, rank and the longest prefix in the global order, for the latter). Rank is n after how uncommon the set's shingles are on the whole, so that the middle of a group of near copies ranks first.
+    """(doc_id, n, node (a hash of the set), how many shingles are rare (they come first), a key of the frequent ones, whether the same task gave none of this set before; for these token, salt, node, place and rank of the longest prefix in the global order). Salt is -1, or for a frequent shingle one of as many as its bucket's count calls for. Rank is n after how uncommon the set's shingles are on the whole, so that the middle of a group of near copies ranks first.
 
     Both are made from the texts: prefixes are too large a table to be written first.
     """
     usual = _usual(counts)
     most_rare = usual + max(FREQUENT, DEVIATIONS * usual**0.5)
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    held_counts = docs.sparkSession.sparkContext.broadcast(counts)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def fresh_in(seen: set[int], node: int) -> bool:
@@ -226,7 +226,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, p
             n, nodes, rare, keys, new = [], [], [], [], []
             for own in shingle_sets(batch.column(1).to_pylist()):
                 node = node_of(own)
-                often = own[held.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > most_rare]
+                often = own[held_counts.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > most_rare]
                 n.append(len(own))
                 nodes.append(node)
                 rare.append(len(own) - len(often))
@@ -234,22 +234,37 @@ def signatures(docs: DataFrame, counts: np.ndarray, *, doc_id: str, text: str, p
                 new.append(fresh_in(seen, node))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(rare, pa.int64()), pa.array(keys, pa.int64()), pa.array(new, pa.bool_())], names=["doc_id", "n", "node", "rare", "often", "new"])
 
+    names = ["token", "salt", "node", "place", "rank"]
+
+    def given(held: list):
+        tokens, over, nodes, ranks = zip(*held)
+        sizes = [len(t) for t in tokens]
+        node, rank = (np.repeat(np.array(x, np.int64), sizes) for x in (nodes, ranks))
+        parts = np.maximum(1, np.ceil(np.concatenate(over) / GROUP)).astype(np.int64)
+        salt = np.where(parts > 1, (_mixed(node.view(np.uint64)) >> np.uint64(2)).astype(np.int64) % parts, -1)
+        place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), salt, node, place, rank)], names=names)
+
     def cut(batches):
         seen: set[int] = set()
         for batch in batches:
-            nodes, ranks, prefixes = [], [], []
+            held, size = [], 0
             for own in shingle_sets(batch.column(0).to_pylist()):
                 node = node_of(own)
                 if len(own) and fresh_in(seen, node):
-                    count = held.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                    order = np.argsort(count, kind="stable")
-                    nodes.append(node)
-                    ranks.append(int(1000 * (32 - np.log2(count.astype(np.float64)).mean())) << 32 | len(own))
-                    prefixes.append(own[order[: len(own) - least_overlap(len(own), percent) + most]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ranks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "rank", "prefix"])
+                    count = held_counts.value[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    order = np.argsort(count, kind="stable")[: len(own) - least_overlap(len(own), percent) + most]
+                    rank = int(1000 * (32 - np.log2(count.astype(np.float64)).mean())) << 32 | len(own)
+                    held.append((own[order].view(np.int64), count[order] - usual, node, rank))
+                    size += len(order)
+                    if size > PREFIX_ROWS:
+                        yield given(held)
+                        held, size = [], 0
+            if held:
+                yield given(held)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, rare bigint, often bigint, new boolean"), rows.select("text").mapInArrow(cut, "node bigint, rank bigint, prefix array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, rare bigint, often bigint, new boolean"), rows.select("text").mapInArrow(cut, "token bigint, salt bigint, node bigint, place int, rank bigint")
 
 
 def _may(group: np.ndarray, place: np.ndarray, rank: np.ndarray, percent: int):
@@ -506,21 +521,8 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percen
     settle(spark)
     signed, prefixes = signatures(docs, counts, doc_id=doc_id, text=text, percent=percent, most=most)
     signed = written(signed, "signatures")
-    usual = _usual(counts)
-    hot = spark.sparkContext.broadcast(counts)
-    tokens = prefixes.select("node", "rank", F.posexplode("prefix").alias("place", "token")).select("token", "node", "place", "rank")
-
-    def salted(batches):
-        """salt: -1, or for a frequent shingle one of as many as its bucket's count calls for."""
-        for batch in batches:
-            token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            over = hot.value[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] - usual
-            parts = np.maximum(1, np.ceil(over / GROUP)).astype(np.int64)
-            salt = np.where(parts > 1, (_mixed(node.view(np.uint64)) >> np.uint64(2)).astype(np.int64) % parts, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt), *batch.columns[1:]], names=["token", "salt", "node", "place", "rank"])
-
     schema = "token bigint, salt bigint, node bigint, place int, rank bigint"
-    dealt = tokens.mapInArrow(salted, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "rank", "node")
+    dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "rank", "node")
     columns = schema + ", pivot bigint, pivot_place int, pivot_rank bigint, a bigint, b bigint, n bigint, m bigint, p int, q int"
     both = written(dealt.mapInArrow(lambda batches: _rows_and_pairs(batches, percent), columns), "met")
     settle(spark)
